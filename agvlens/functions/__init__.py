@@ -1,9 +1,11 @@
 """Scalar column functions shared by the operators."""
 
-from .text import float_text, fixed3_text, iso_utc
+from .once import evaluated_once
+from .text import fixed3_text_sql, float_text, float_text_sql, iso_utc
 from .times import micros, seconds_between, from_micros, first_tick_after
 
 __all__ = [
-    "float_text", "fixed3_text", "iso_utc", "micros", "seconds_between", "from_micros",
+    "evaluated_once",
+    "fixed3_text_sql", "float_text", "float_text_sql", "iso_utc", "micros", "seconds_between", "from_micros",
     "first_tick_after",
 ]

@@ -6,35 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def float_text(x: Column) -> Column:
+# As SQL text, so that an expression this size reaches the JVM in one call.
+_FLOAT_TEXT = r"""
+case when abs({x}) >= 1e-3 and abs({x}) < 1e7 or {x} = 0 or not contains(cast({x} as string), 'E')
+  then cast({x} as string)
+when abs({x}) >= 1e-4 and abs({x}) < 1e16
+  then regexp_replace(cast(cast(cast({x} as string) as decimal(38,20)) as string), '([.][0-9]+?)0+$', '$1')
+else regexp_replace(replace(
+    regexp_replace(replace(cast({x} as string), '.0E', 'E'), 'E(-?)([0-9])$', 'E$10$2'), 'E-', 'e-'),
+    'E([0-9])', 'e+$1')
+end"""
+
+
+def float_text_sql(x: str) -> str:
     """A double as shortest decimal text: plain between 1e-4 and 1e16, ``1e-05`` style outside.
 
-    Spark's own cast switches to ``1.0E-4`` below 1e-3 and from 1e7 on; only those rows
-    take the digit-shifting branch.
+    Spark's own cast writes ``1.0E-4`` below 1e-3 and from 1e7 on; such rows are rewritten,
+    through a decimal wide enough for every digit in the plain range.
     """
-    size = F.abs(x)
-    text = x.cast("string")
-    plain = (size == 0) | ((size >= 1e-3) & (size < 1e7)) | F.isnan(x) | size.eqNullSafe(float("inf"))
-    sign = F.when(x < 0, "-").otherwise("")
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$", "")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
-    whole = exponent + 1
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    large = F.when(
-        F.length(digits) <= whole, F.concat(F.rpad(digits, whole, F.lit("0")), F.lit(".0")),
-    ).otherwise(F.concat(F.substring(digits, F.lit(1), whole), F.lit("."), F.substr(digits, whole + 1)))
-    scientific = F.concat(
-        mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")),
-    )
-    shifted = F.when((size >= 1e-4) & (size < 1e-3), small).when((size >= 1e7) & (size < 1e16), large)
-    return F.when(plain, text).otherwise(F.concat(sign, shifted.otherwise(scientific)))
-
-
-def fixed3_text(x: Column) -> Column:
+    return "(" + _FLOAT_TEXT.format(x=x).strip() + ")"
+
+
+def float_text(name: str) -> Column:
+    return F.expr(float_text_sql(name))
+
+
+def fixed3_text_sql(x: str) -> str:
     """Three decimals, rounding the exact binary value (``format_string`` rounds halves up)."""
-    return F.call_function("format_number", x, F.lit("0.000"))
+    return f"format_number({x}, '0.000')"
 
 
 def iso_utc(ts: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FEED_TYPES, WATCHED_TABLES, SkewPolicy, Thresholds
-from ..functions import iso_utc
-from ..schemas import PATCH_PAYLOAD
+from ..functions import evaluated_once, iso_utc
+from ..schemas import ENVELOPE
 from .rules import fired
 from .state import with_prior
 from .zones import running_counts
@@ -86,14 +86,7 @@ def parse_patches(messages: DataFrame) -> DataFrame:
     Text that is not JSON, an unknown type, or a payload that is not an object is dropped;
     transport metadata beside type and payload is left behind. Never fails on input.
     """
-    payload = F.try_variant_get("_message", "$.payload", "variant")
-    decoded = messages.withColumn("_message", F.try_parse_json("value")).filter(
-        F.try_variant_get("_message", "$.type", "string").isin(*FEED_TYPES)
-        & F.schema_of_variant(payload).startswith("OBJECT"))
-    fields = [
-        F.try_variant_get("_message", f"$.payload.{f.name}", f.dataType.simpleString()).alias(f.name)
-        for f in PATCH_PAYLOAD.fields
-    ]
-    return decoded.select(
-        "seq", "slot", F.try_variant_get("_message", "$.type", "string").alias("type"),
-        F.struct(*fields).alias("payload"))
+    envelope = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE"})
+    decoded = evaluated_once(messages, "m", envelope)
+    return decoded.filter(F.col("m.type").isin(*FEED_TYPES) & F.col("m.payload").isNotNull()).select(
+        "seq", "slot", "m.type", "m.payload")

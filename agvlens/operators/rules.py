@@ -1,80 +1,57 @@
-"""Anomaly rules as column expressions, and a registry to add more."""
+"""Anomaly rules as SQL expressions, and a registry to add more."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SkewPolicy, Thresholds
-from ..functions import fixed3_text, float_text
+from ..functions import fixed3_text_sql, float_text_sql
 from .skew import HotKeys
-from .state import PRIOR, gap_seconds, with_prior
+from .state import PRIOR, with_prior
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fires`` and ``detail`` map thresholds to columns over a reading and its ``prior``.
+    """``fires`` and ``detail`` are SQL over a reading, with thresholds named in braces.
 
-    A stateful rule is not evaluated on a vehicle's first reading.
+    Besides the reading's own columns there are ``prior`` (the previous reading), ``gap_s``
+    (seconds since it) and ``implied_mps`` (straight-line speed from its position). A stateful
+    rule is not evaluated on a vehicle's first reading.
     """
 
     name: str
     stateful: bool
-    fires: Callable[[Thresholds], Column]
-    detail: Callable[[Thresholds], Column]
+    fires: str
+    detail: str = "cast(null as string)"
 
-    def condition(self, t: Thresholds) -> Column:
-        holds = self.fires(t)
-        return F.col(PRIOR).isNotNull() & holds if self.stateful else holds
+    def condition(self, t: Thresholds) -> str:
+        holds = self.fires.format(**asdict(t))
+        return f"({PRIOR} is not null and {holds})" if self.stateful else f"({holds})"
 
-
-def _now(field: str) -> Column:
-    return F.col(field)
-
-
-def _before(field: str) -> Column:
-    return F.col(f"{PRIOR}.{field}")
-
-
-def _labelled(label: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{label}="), float_text(value))
-
-
-def _discharging() -> Column:
-    return _now("status") != "charging"
-
-
-def _implied_speed() -> Column:
-    """Straight-line metres per second; null unless time advanced and both positions are known."""
-    moved = F.hypot(_now("pos_x") - _before("pos_x"), _now("pos_y") - _before("pos_y"))
-    return F.when(gap_seconds() > 0, moved / gap_seconds())
-
-
-def _stands_still(t: Thresholds, status: Column, speed: Column) -> Column:
-    return (status == "moving") & (speed < t.stuck_mps)
+    def detail_column(self, t: Thresholds) -> Column:
+        return F.expr(self.detail.format(**asdict(t))).alias("detail")
 
 
 # In the order their anomalies are written for one reading.
 RULES: tuple[Rule, ...] = (
-    Rule("fault_status", False, lambda t: _now("status") == "fault", lambda t: F.lit(None).cast("string")),
-    Rule("error_codes", False, lambda t: F.size(F.coalesce(_now("error_codes"), F.array().cast("array<string>"))) > 0,
-         lambda t: F.array_join("error_codes", ",")),
-    Rule("low_battery", False, lambda t: (_now("battery_pct") < t.low_battery_pct) & _discharging(),
-         lambda t: _labelled("battery_pct", _now("battery_pct"))),
-    Rule("overspeed", False, lambda t: _now("speed_mps") > t.overspeed_mps,
-         lambda t: _labelled("speed_mps", _now("speed_mps"))),
+    Rule("fault_status", False, "status = 'fault'"),
+    Rule("error_codes", False, "size(coalesce(error_codes, array())) > 0", "array_join(error_codes, ',')"),
+    Rule("low_battery", False, "battery_pct < {low_battery_pct} and status <> 'charging'",
+         f"concat('battery_pct=', {float_text_sql('battery_pct')})"),
+    Rule("overspeed", False, "speed_mps > {overspeed_mps}",
+         f"concat('speed_mps=', {float_text_sql('speed_mps')})"),
     Rule("stuck", True,
-         lambda t: _stands_still(t, _before("status"), _before("speed_mps"))
-         & _stands_still(t, _now("status"), _now("speed_mps")) & (gap_seconds() >= t.stuck_seconds),
-         lambda t: F.concat(_labelled("speed_mps", _now("speed_mps")), F.lit(", "),
-                            _labelled("dt", gap_seconds()), F.lit("s"))),
-    Rule("teleport", True, lambda t: _implied_speed() > t.teleport_mps,
-         lambda t: F.concat(F.lit("implied_mps="), fixed3_text(_implied_speed()))),
-    Rule("battery_rising", True, lambda t: (_now("battery_pct") > _before("battery_pct")) & _discharging(),
-         lambda t: F.concat(float_text(_before("battery_pct")), F.lit(" -> "), float_text(_now("battery_pct")))),
+         "prior.status = 'moving' and prior.speed_mps < {stuck_mps}"
+         " and status = 'moving' and speed_mps < {stuck_mps} and gap_s >= {stuck_seconds}",
+         f"concat('speed_mps=', {float_text_sql('speed_mps')}, ', dt=', {float_text_sql('gap_s')}, 's')"),
+    Rule("teleport", True, "implied_mps > {teleport_mps}",
+         f"concat('implied_mps=', {fixed3_text_sql('implied_mps')})"),
+    Rule("battery_rising", True, "battery_pct > prior.battery_pct and status <> 'charging'",
+         f"concat({float_text_sql('prior.battery_pct')}, ' -> ', {float_text_sql('battery_pct')})"),
 )
 
 
@@ -82,37 +59,45 @@ def rule_named(name: str, rules: Sequence[Rule] = RULES) -> Rule:
     return next(r for r in rules if r.name == name)
 
 
+def with_motion(readings: DataFrame) -> DataFrame:
+    """Add ``gap_s`` and ``implied_mps``; the speed is null unless time advanced and both positions are known."""
+    gap = "(unix_micros(recorded_at) - unix_micros(prior.recorded_at)) / 1e6D"
+    return readings.selectExpr("*", f"{gap} as gap_s").selectExpr(
+        "*", "case when gap_s > 0 then hypot(pos_x - prior.pos_x, pos_y - prior.pos_y) / gap_s end as implied_mps")
+
+
+def _ready(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return with_motion(readings) if any(r.stateful for r in rules) else readings
+
+
 def fired(readings: DataFrame, rules: Sequence[Rule] = RULES, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """One row per fired rule, from readings that already carry ``prior``."""
-    hits = [
-        F.when(r.condition(thresholds), F.struct(
-            F.lit(i).alias("rule_ord"), F.lit(r.name).alias("anomaly_type"), r.detail(thresholds).alias("detail")))
+    """One row per fired rule, from readings that already carry ``prior`` if a rule is stateful."""
+    bounds = asdict(thresholds)
+    hits = ", ".join(
+        f"case when {r.condition(thresholds)} then named_struct('rule_ord', {i}, 'anomaly_type', '{r.name}',"
+        f" 'detail', {r.detail.format(**bounds)}) end"
         for i, r in enumerate(rules)
-    ]
+    )
     # explode then filter: both stay in generated code, a higher-order filter would not
-    one_each = readings.select("seq", "vehicle_id", "recorded_at", F.explode(F.array(*hits)).alias("hit"))
-    return one_each.filter(F.col("hit").isNotNull()).select(
-        "seq", "hit.rule_ord", "vehicle_id", "hit.anomaly_type", "hit.detail", F.col("recorded_at").alias("detected_at"))
+    one_each = _ready(readings, rules).selectExpr("seq", "vehicle_id", "recorded_at", f"explode(array({hits})) as hit")
+    return one_each.filter("hit is not null").selectExpr(
+        "seq", "hit.rule_ord", "vehicle_id", "hit.anomaly_type", "hit.detail", "recorded_at as detected_at")
 
 
 def fired_single(readings: DataFrame, rule: Rule, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Like :func:`fired` for one rule, as a plain filter the scan can take over."""
-    return readings.filter(rule.condition(thresholds)).select(
-        "seq", "vehicle_id", rule.detail(thresholds).alias("detail"), F.col("recorded_at").alias("detected_at"))
+    return _ready(readings, [rule]).filter(rule.condition(thresholds)).select(
+        "seq", "vehicle_id", rule.detail_column(thresholds), F.col("recorded_at").alias("detected_at"))
 
 
 def detect(telemetry: DataFrame, rules: Sequence[Rule] = RULES, thresholds: Thresholds = Thresholds(),
            hot: HotKeys | None = None, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """All anomalies of a telemetry log. No shuffle at all if every rule is stateless."""
-    if any(r.stateful for r in rules):
-        readings = with_prior(telemetry, hot, policy)
-    else:
-        readings = telemetry
-    return fired(readings, rules, thresholds)
+    stateful = any(r.stateful for r in rules)
+    return fired(with_prior(telemetry, hot, policy) if stateful else telemetry, rules, thresholds)
 
 
 def detect_one(telemetry: DataFrame, name: str, thresholds: Thresholds = Thresholds(),
                policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     rule = rule_named(name)
-    readings = with_prior(telemetry, policy=policy) if rule.stateful else telemetry
-    return fired_single(readings, rule, thresholds)
+    return fired_single(with_prior(telemetry, policy=policy) if rule.stateful else telemetry, rule, thresholds)

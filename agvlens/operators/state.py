@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import STATUSES, SkewPolicy
 from ..functions import seconds_between
+from .constants import constant_rows
 from .skew import HotKeys, find_hot_keys, with_neighbour
 
 PRIOR = "prior"
@@ -15,8 +16,7 @@ STATE_FIELDS = ["status", "battery_pct", "recorded_at", "speed_mps", "pos_x", "p
 
 
 def statuses_table(spark: SparkSession) -> DataFrame:
-    rows = list(enumerate(STATUSES))
-    return spark.createDataFrame(rows, "ord int, status string")
+    return constant_rows(spark, "ord, status", enumerate(STATUSES))
 
 
 def current_state(telemetry: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BATTERY_RANGE, STATUSES, VEHICLE_ID_MAX
+from ..functions import evaluated_once
 from ..schemas import STATUS_UPDATE_FIELDS, TELEMETRY, TELEMETRY_FIELDS
 
 REASON = "reject_reason"
@@ -56,48 +57,59 @@ def validate_readings(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumn(REASON, _first_reason(_value_checks() + optional))
 
 
-class _Body:
-    """Typed access to the members of a JSON object held as a variant."""
+# A JSON object is opened once, into ``_body``, and the type of each member is looked up once,
+# into ``_kind``: null if the key is missing, ``VOID`` for an explicit null.
 
-    def __init__(self, variant: Column):
-        self.variant = variant
+def _get(name: str, as_type: str) -> Column:
+    return F.try_variant_get("_body", f"$.{name}", as_type)
 
-    def kind(self, name: str) -> Column:
-        """Type name of a member: null if the key is missing, ``VOID`` for an explicit null."""
-        return F.schema_of_variant(F.try_variant_get(self.variant, f"$.{name}", "variant"))
 
-    def get(self, name: str, as_type: str) -> Column:
-        return F.try_variant_get(self.variant, f"$.{name}", as_type)
+def _kind(name: str) -> Column:
+    return F.col(f"_kind.{name}")
 
-    def is_number(self, name: str) -> Column:
-        return self.kind(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
 
-    def text(self, name: str) -> Column:
-        return F.when(self.kind(name) == "STRING", self.get(name, "string"))
+def _open_body(bodies: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    opened = evaluated_once(bodies, "_body", F.try_parse_json("raw"))
+    is_object = F.schema_of_variant("_body").startswith("OBJECT")
+    opened = opened.withColumn("_body", F.when(is_object, F.col("_body")))
+    kinds = [F.schema_of_variant(_get(n, "variant")).alias(n) for n in names]
+    return opened.withColumn("_kind", F.struct(*kinds))
 
-    def number(self, name: str) -> Column:
-        """Numbers, booleans, and text that reads as a number."""
-        return (
-            F.when(self.is_number(name) | (self.kind(name) == "BOOLEAN"), self.get(name, "double"))
-            .when(self.kind(name) == "STRING", self.get(name, "string").try_cast("double"))
-        )
 
-    def instant(self, name: str) -> Column:
-        """ISO-8601 text (UTC unless it names a zone), or unix seconds or milliseconds."""
-        text, number = self.get(name, "string"), self.get(name, "double")
-        iso = r"^\d{4}-\d{2}-\d{2}([Tt_ ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$"
-        cleaned = F.translate(text, "t_z,", "TTZ.")
-        seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
-        return (
-            F.when((self.kind(name) == "STRING") & text.rlike(iso), cleaned.try_cast("timestamp"))
-            .when(self.is_number(name), F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
-        )
+def _is_number(name: str) -> Column:
+    return _kind(name).isin("BIGINT", "DOUBLE", "FLOAT") | _kind(name).startswith("DECIMAL")
 
-    def wrong(self, name: str, value: Column, nullable: bool) -> Column:
-        """Present but not convertible; an explicit null is wrong unless the field is optional."""
-        kind = self.kind(name)
-        null_ok = kind == "VOID" if nullable else F.lit(False)
-        return kind.isNotNull() & value.isNull() & ~null_ok
+
+def _text(name: str) -> Column:
+    return F.when(_kind(name) == "STRING", _get(name, "string"))
+
+
+def _number(name: str) -> Column:
+    """Numbers, booleans, and text that reads as a number."""
+    direct = _is_number(name) | (_kind(name) == "BOOLEAN")
+    return F.when(direct, _get(name, "double")).when(
+        _kind(name) == "STRING", _get(name, "string").try_cast("double"))
+
+
+def _instant(name: str) -> Column:
+    """ISO-8601 text (UTC unless it names a zone), or unix seconds or milliseconds."""
+    text, number = _get(name, "string"), _get(name, "double")
+    iso = r"^\d{4}-\d{2}-\d{2}([Tt_ ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$"
+    seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
+    return F.when(
+        (_kind(name) == "STRING") & text.rlike(iso), F.translate(text, "t_z,", "TTZ.").try_cast("timestamp"),
+    ).when(_is_number(name), F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
+
+
+def _wrong(name: str, nullable: bool) -> Column:
+    """Present but not convertible; an explicit null is wrong unless the field is optional."""
+    bad = _kind(name).isNotNull() & F.col(name).isNull()
+    return bad & (_kind(name) != "VOID") if nullable else bad
+
+
+def _with_reason(typed: DataFrame, checks: list[tuple[Column, str]], names: list[str]) -> DataFrame:
+    row = F.struct(*names, _first_reason(checks).alias(REASON))
+    return evaluated_once(typed, "_row", row).select("_row.*")
 
 
 def unknown_fields(raw: Column, allowed: tuple[str, ...]) -> Column:
@@ -105,56 +117,47 @@ def unknown_fields(raw: Column, allowed: tuple[str, ...]) -> Column:
     return F.array_except(F.json_object_keys(raw), F.array(*[F.lit(name) for name in allowed]))
 
 
-def _as_object(raw: Column) -> Column:
-    variant = F.try_parse_json(raw)
-    return F.when(F.schema_of_variant(variant).startswith("OBJECT"), variant)
-
-
 def parse_readings(bodies: DataFrame) -> DataFrame:
     """Request bodies (seq, raw, ingest_ts) to typed readings plus ``reject_reason``.
 
     Defaults apply to missing keys only; ``ingest_ts`` is the clock for ``recorded_at``.
     """
-    body = _Body(F.col("_body"))
-    missing = lambda name: body.kind(name).isNull()
-    codes = body.get("error_codes", "array<string>")
-    plain_codes = body.kind("error_codes").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(codes, F.isnull)
+    missing = lambda name: _kind(name).isNull()
+    codes = _get("error_codes", "array<string>")
+    plain_codes = _kind("error_codes").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(codes, F.isnull)
     columns = {
-        "vehicle_id": body.text("vehicle_id"),
-        "status": body.text("status"),
-        "battery_pct": body.number("battery_pct"),
-        "recorded_at": F.when(missing("recorded_at"), F.col("ingest_ts")).otherwise(body.instant("recorded_at")),
-        "zone_entered": body.text("zone_entered"),
-        "speed_mps": F.when(missing("speed_mps"), 0.0).otherwise(body.number("speed_mps")),
+        "vehicle_id": _text("vehicle_id"),
+        "status": _text("status"),
+        "battery_pct": _number("battery_pct"),
+        "recorded_at": F.when(missing("recorded_at"), F.col("ingest_ts")).otherwise(_instant("recorded_at")),
+        "zone_entered": _text("zone_entered"),
+        "speed_mps": F.when(missing("speed_mps"), 0.0).otherwise(_number("speed_mps")),
         "error_codes": F.when(missing("error_codes"), F.array().cast("array<string>")).when(plain_codes, codes),
-        "pos_x": body.number("pos_x"),
-        "pos_y": body.number("pos_y"),
+        "pos_x": _number("pos_x"),
+        "pos_y": _number("pos_y"),
     }
     nullable = {"zone_entered", "pos_x", "pos_y"}
-    parsed = bodies.withColumn("_body", _as_object(F.col("raw")))
-    typed = parsed.withColumns(columns)
+    typed = _open_body(bodies, TELEMETRY_FIELDS).withColumns(columns)
     checks = [
         (F.col("_body").isNull(), "malformed_body"),
         (F.size(unknown_fields(F.col("raw"), TELEMETRY_FIELDS)) > 0, "unknown_field"),
-        *[(body.wrong(n, F.col(n), n in nullable), f"{n}_type") for n in columns],
+        *[(_wrong(n, n in nullable), f"{n}_type") for n in columns],
         *_value_checks(),
     ]
-    return typed.withColumn(REASON, _first_reason(checks)).select(*TELEMETRY.names, REASON)
+    return _with_reason(typed, checks, TELEMETRY.names)
 
 
 def parse_status_updates(bodies: DataFrame) -> DataFrame:
     """Command bodies (seq, vehicle_id from the path, raw) to typed commands plus ``reject_reason``."""
-    body = _Body(F.col("_body"))
-    parsed = bodies.withColumn("_body", _as_object(F.col("raw"))).withColumns({
-        "status": body.text("status"), "reason": body.text("reason"),
+    parsed = _open_body(bodies, STATUS_UPDATE_FIELDS).withColumns({
+        "status": _text("status"), "reason": _text("reason"),
     })
     checks = [
         (F.col("_body").isNull(), "malformed_body"),
         (F.size(unknown_fields(F.col("raw"), STATUS_UPDATE_FIELDS)) > 0, "unknown_field"),
-        (body.wrong("status", F.col("status"), False), "status_type"),
-        (body.wrong("reason", F.col("reason"), True), "reason_type"),
+        (_wrong("status", False), "status_type"),
+        (_wrong("reason", True), "reason_type"),
         (F.col("status").isNull(), "status_missing"),
         (~F.col("status").isin(*STATUSES), "status_unknown"),
     ]
-    return parsed.withColumn(REASON, _first_reason(checks)).select(
-        "seq", "vehicle_id", "status", "reason", REASON)
+    return _with_reason(parsed, checks, ["seq", "vehicle_id", "status", "reason"])

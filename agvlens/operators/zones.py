@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ZONES, SkewPolicy
+from .constants import constant_rows
 from .skew import every_key, with_running_sum
 
 
 def zones_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ZONES)), "ord int, zone_id string")
+    return constant_rows(spark, "ord, zone_id", enumerate(ZONES))
 
 
 def seed_zones(existing: DataFrame) -> DataFrame:

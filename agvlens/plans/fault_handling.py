@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import faults
 from .registry import query
 
@@ -28,11 +30,12 @@ def missions_after_faults(t):
 
 
 @query("fault_maintenance_records", """
-select f.vehicle_id, m.mission_id, f.reason, f.seq as opened_seq from first_moves f
+select f.vehicle_id, cast(m.mission_id as varchar) as mission_id, f.reason, f.seq as opened_seq from first_moves f
 left join missions m on m.vehicle_id=f.vehicle_id and m.status='active'
 where f.vehicle_id not in (select vehicle_id from open_records)""")
 def fault_maintenance_records(t):
-    return faults.maintenance_opened(_moves(t), t.missions(), t.open_records())
+    opened = faults.maintenance_opened(_moves(t), t.missions(), t.open_records())
+    return opened.withColumn("mission_id", F.col("mission_id").cast("string"))
 
 
 @query("vehicles_after_commands", """

@@ -64,7 +64,7 @@ def apply_patches(t):
     alarms = board.fold_anomalies(newest, patches)
     row = lambda entity, key, value: (F.lit(entity).alias("entity"), F.col(key).alias("id"), value.alias("value"))
     return union_all([
-        vehicles.select(*row("vehicle", "vehicle_id", F.concat_ws(" ", "status", float_text(F.col("battery_pct"))))),
+        vehicles.select(*row("vehicle", "vehicle_id", F.concat_ws(" ", "status", float_text("battery_pct")))),
         counters.select(*row("zone", "zone_id", F.col("entry_count").cast("string"))),
         alarms.select(*row("anomaly", "vehicle_id", F.concat_ws(" ", "anomaly_type", "detail"))),
     ])

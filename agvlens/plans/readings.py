@@ -28,13 +28,14 @@ def telemetry_scan(t):
 
 
 @query("raw_event_log", """
-select seq, vehicle_id, status, battery_pct, recorded_at, speed_mps, zone_entered, cast(recorded_at as date) as dt
+select seq, vehicle_id, status, battery_pct, recorded_at, speed_mps, zone_entered, strftime(recorded_at, '%Y-%m-%d') as dt
 from telemetry""")
 def raw_event_log(t):
     path = scratch_dir(t.spark, "raw-log")
     writers.append_raw_log(t.telemetry(), path)
     return t.spark.read.parquet(path).select(
-        "seq", "vehicle_id", "status", "battery_pct", "recorded_at", "speed_mps", "zone_entered", "dt")
+        "seq", "vehicle_id", "status", "battery_pct", "recorded_at", "speed_mps", "zone_entered",
+        F.col("dt").cast("string").alias("dt"))
 
 
 @query("validate_accept", """

@@ -54,6 +54,7 @@ PATCH_PAYLOAD = _schema(
     ("vehicle_id", STR), ("status", STR), ("battery_pct", DBL), ("anomaly_type", STR),
     ("detail", STR), ("detected_at", STR), ("zone_id", STR), ("entry_count", LNG),
 )
+ENVELOPE = _schema(("type", STR), ("payload", PATCH_PAYLOAD))
 REQUESTS = _schema(
     ("ts", TS), ("method", STR), ("route", STR), ("status_code", INT), ("duration_ms", DBL),
 )

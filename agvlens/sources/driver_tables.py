@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import ZONES
 from ..operators.metrics import counter_samples
-from ..operators.zones import zones_table
 from ..session import pin_utc
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, where the events begin
@@ -33,48 +32,44 @@ class DriverTables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def events(self) -> DataFrame:
-        number = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-        return self._read("events").select(
-            "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
-            number.alias("k"),
-        )
+        return self._read("events").selectExpr(
+            "event_id", "user_id", "event_type", "value", "cast(ts as timestamp) as ts",
+            "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k")
 
     def telemetry(self) -> DataFrame:
-        return self._telemetry(k().cast("double"))
+        return self._telemetry("cast(k as double)")
 
     def telemetry_dirty(self) -> DataFrame:
         """Typed readings whose battery is ``value``, hence often over 100."""
-        return self._telemetry(F.col("value"))
-
-    def _telemetry(self, battery: Column) -> DataFrame:
-        zones = zones_table(self.spark).filter(F.col("ord") < len(ZONES) - 1)
-        e = self.events().withColumn("ord", (F.col("event_id") % 25).cast("int"))
-        kind = F.col("event_type")
-        return e.join(F.broadcast(zones), "ord", "left").select(
-            F.col("event_id").alias("seq"),
-            vehicle_name(F.col("user_id")).alias("vehicle_id"),
-            F.when(kind.isin("view", "click"), "moving")
-            .when((kind == "error") & (k() % 2 == 0), "fault")
-            .when(kind == "error", "moving")
-            .when(kind == "purchase", "charging").otherwise("idle").alias("status"),
-            battery.alias("battery_pct"),
-            F.col("ts").alias("recorded_at"),
-            F.when(F.col("event_id") % 25 == 19, "zone-07").otherwise(F.col("zone_id")).alias("zone_entered"),
-            F.when(k() % 4 == 1, F.lit(0.0625)).otherwise(k() / F.lit(16.0)).alias("speed_mps"),
-            F.when(kind == "error", F.array(F.concat(F.lit("E"), k().cast("string"))))
-            .otherwise(F.array().cast("array<string>")).alias("error_codes"),
-            F.when(k() % 10 != 9, k().cast("double") * 10000).alias("pos_x"),
-            (F.col("value") * 1000).alias("pos_y"),
+        return self._telemetry("value")
+
+    def _telemetry(self, battery: str) -> DataFrame:
+        # place 0..18 is a zone, 19 an unknown one, 20..24 none
+        names = ", ".join(f"'{z}'" for z in (*ZONES[:19], "zone-07"))
+        return self.events().selectExpr(
+            "event_id as seq",
+            "concat('v-', cast(user_id as string)) as vehicle_id",
+            """case when event_type in ('view', 'click') then 'moving' when event_type = 'error' and k % 2 = 0 then 'fault'
+                 when event_type = 'error' then 'moving' when event_type = 'purchase' then 'charging'
+                 else 'idle' end as status""",
+            f"{battery} as battery_pct",
+            "ts as recorded_at",
+            f"get(array({names}), cast(event_id % 25 as int)) as zone_entered",
+            "case when k % 4 = 1 then 0.0625D else k / 16D end as speed_mps",
+            """case when event_type = 'error' then array(concat('E', cast(k as string)))
+                 else cast(array() as array<string>) end as error_codes""",
+            "case when k % 10 <> 9 then cast(k as double) * 10000 end as pos_x",
+            "value * 1000 as pos_y",
         )
 
     def telemetry_fast(self) -> DataFrame:
         """Time and position compressed alike, so that rules with a time bound matter."""
-        us = F.lit(EPOCH_US) + F.floor((F.unix_micros("recorded_at") - EPOCH_US) / F.lit(SPEEDUP))
-        return self.telemetry().withColumns({
-            "recorded_at": F.timestamp_micros(us),
-            "pos_x": F.col("pos_x") / SPEEDUP,
-            "pos_y": F.col("pos_y") / SPEEDUP,
-        })
+        us = f"{EPOCH_US} + floor((unix_micros(recorded_at) - {EPOCH_US}) / {SPEEDUP})"
+        moved = {
+            "recorded_at": f"timestamp_micros({us})", "pos_x": f"pos_x / {SPEEDUP}", "pos_y": f"pos_y / {SPEEDUP}",
+        }
+        plain = self.telemetry()
+        return plain.selectExpr(*[f"{moved.get(c, c)} as {c}" for c in plain.columns])
 
     def telemetry_delayed(self) -> DataFrame:
         """The same readings, every seventh one arriving 1500 events late."""
