@@ -110,7 +110,7 @@ def with_neighbour(
         *key, SLICE, step("_edge").over(Window.partitionBy(*key).orderBy(SLICE)).alias("_carried"),
     ).filter(F.col("_carried").isNotNull())
     joined = local.join(carried, [*key, SLICE], "left")
-    return joined.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", SLICE)
+    return joined.select(*df.columns, F.coalesce(name, "_carried").alias(name))
 
 
 def with_running_sum(
@@ -118,7 +118,7 @@ def with_running_sum(
     position: Column | None = None, policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the key's rows up to and including this one."""
-    key = list(hot.key)
+    key, columns = list(hot.key), df.columns
     df = df.withColumn("_value", value)
     frame = (Window.unboundedPreceding, Window.currentRow)
     if not hot:
@@ -135,7 +135,7 @@ def with_running_sum(
         F.col("_base").isNotNull())
     joined = local.join(bases, [*key, SLICE], "left")
     total = F.col(name) + F.coalesce(F.col("_base"), F.lit(0))
-    return joined.withColumn(name, total).drop("_base", "_value", SLICE)
+    return joined.select(*columns, total.alias(name))
 
 
 def join_dimension(

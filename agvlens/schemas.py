@@ -48,6 +48,9 @@ OUTCOMES = _schema(
 )
 TRANSITIONS = _schema(("seq", LNG), ("vehicle_id", STR), ("prior_status", STR), ("reason", STR))
 OPENED_RECORDS = _schema(("vehicle_id", STR), ("mission_id", LNG), ("reason", STR), ("opened_seq", LNG))
+TOUCHED = _schema(
+    ("vehicle_id", STR), ("status", STR), ("as_of", LNG), ("faulted", T.BooleanType()), ("opened", T.BooleanType()),
+)
 SWEPT = _schema(("vehicle_id", STR), ("anomaly_type", STR), ("detail", STR), ("detected_at", TS))
 CHANGE_FEED = _schema(("seq", LNG), ("slot", INT), ("type", STR), ("payload", STR), ("ts", TS))
 PATCH_PAYLOAD = _schema(

@@ -14,7 +14,7 @@ from ..operators import comms, faults, feed, zones
 from ..operators.rules import fired
 from ..operators.state import STATE_FIELDS, current_state, last_status, with_prior
 from ..schemas import (
-    ANOMALIES, CHANGE_FEED, CURRENT_STATE, OPENED_RECORDS, OUTCOMES, SWEPT, TELEMETRY, TRANSITIONS, VEHICLES,
+    ANOMALIES, CHANGE_FEED, CURRENT_STATE, OPENED_RECORDS, OUTCOMES, SWEPT, TELEMETRY, TOUCHED, TRANSITIONS,
     ZONE_COUNTS,
 )
 from ..sources.writers import publish_version
@@ -69,10 +69,7 @@ class TelemetryJob:
 
     def state(self) -> DataFrame:
         """Current state: the last full table and the batches since, the last arrival winning."""
-        full = self.store.newest("state_full")
-        kept = self.store.read("state_full", CURRENT_STATE, after=full - 1) if full >= 0 else None
-        recent = self.store.read("state", CURRENT_STATE, after=full)
-        rows = recent if kept is None else kept.unionByName(recent)
+        rows = self.store.layered("state", CURRENT_STATE).drop("batch_id")
         return current_state(rows.withColumnRenamed("last_seq", "seq"))
 
     def zone_counts(self) -> DataFrame:
@@ -116,7 +113,11 @@ class TelemetryJob:
 
 @dataclass
 class StatusCommandJob:
-    """Outcomes, transitions, cancelled missions and opened records of status commands."""
+    """Outcomes, transitions and opened records of status commands, committed together.
+
+    What later batches need per vehicle (its status, whether it faulted, whether a record was
+    opened) is kept like the telemetry job's state: a small table per batch, merged now and then.
+    """
 
     spark: SparkSession
     root: str
@@ -124,6 +125,7 @@ class StatusCommandJob:
     missions: DataFrame
     open_records: DataFrame
     policy: SkewPolicy = SkewPolicy()
+    compact_every: int = 20
     store: BatchStore = field(init=False)
 
     def __post_init__(self):
@@ -132,6 +134,8 @@ class StatusCommandJob:
     def start(self, commands: DataFrame, **trigger) -> StreamingQuery:
         return start_batches(commands, self.process, f"{self.root}/_checkpoint", **trigger)
 
+    # -- committed results ---------------------------------------------------------------
+
     def outcomes(self) -> DataFrame:
         return self.store.read("outcomes", OUTCOMES)
 
@@ -142,11 +146,22 @@ class StatusCommandJob:
         return self.store.read("records", OPENED_RECORDS)
 
     def vehicles_now(self) -> DataFrame:
-        changed = self.store.read("vehicle_status", VEHICLES)
-        return faults.vehicles_after(changed, self.vehicles, order="batch_id")
+        return faults.vehicles_after(self._touched(), self.vehicles, order="as_of")
 
     def missions_now(self) -> DataFrame:
-        return faults.missions_after(self.missions, self.transitions())
+        return faults.missions_after(self.missions, self._touched().filter("faulted"))
+
+    def _touched(self) -> DataFrame:
+        return self._merged(self.store.layered("touched", TOUCHED).drop("batch_id"))
+
+    @staticmethod
+    def _merged(rows: DataFrame) -> DataFrame:
+        """One row per vehicle: the newest status, and whether anything ever happened."""
+        happened = rows.groupBy("vehicle_id").agg(
+            F.max("as_of").alias("as_of"), F.bool_or("faulted").alias("faulted"), F.bool_or("opened").alias("opened"))
+        return last_status(rows, order="as_of").join(happened, "vehicle_id").select(*TOUCHED.names)
+
+    # -- one micro-batch -----------------------------------------------------------------
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.store.last_committed():
@@ -155,13 +170,21 @@ class StatusCommandJob:
         resolved = faults.outcomes(batch, self.vehicles_now(), policy=self.policy).persist()
         try:
             moves = faults.transitions(resolved)
-            already_open = self.open_records.select("vehicle_id").unionByName(self.records().select("vehicle_id"))
+            already_open = self.open_records.select("vehicle_id").unionByName(
+                self._touched().filter("opened").select("vehicle_id"))
+            opened = faults.maintenance_opened(moves, self.missions_now(), already_open)
             self.store.write(resolved, "outcomes", batch_id)
             self.store.write(moves, "transitions", batch_id)
-            self.store.write(
-                faults.maintenance_opened(moves, self.missions_now(), already_open), "records", batch_id)
-            known = resolved.filter(F.col("outcome") != "unknown_vehicle")
-            self.store.write(last_status(known), "vehicle_status", batch_id)
+            written = self.store.write(opened, "records", batch_id)
+            known = last_status(resolved.filter(F.col("outcome") != "unknown_vehicle"))
+            mark = lambda df, name: df.select("vehicle_id").distinct().withColumn(name, F.lit(True))
+            touched = known.join(mark(moves, "faulted"), "vehicle_id", "left").join(
+                mark(written, "opened"), "vehicle_id", "left").select(
+                "vehicle_id", "status", F.lit(batch_id).cast("long").alias("as_of"),
+                F.coalesce("faulted", F.lit(False)).alias("faulted"), F.coalesce("opened", F.lit(False)).alias("opened"))
+            self.store.write(touched, "touched", batch_id)
+            if (batch_id + 1) % self.compact_every == 0:
+                self.store.write(self._merged(self._touched().unionByName(touched)), "touched_full", batch_id)
             self.store.commit(batch_id)
         finally:
             resolved.unpersist()

@@ -34,8 +34,11 @@ class BatchStore:
         """The newest committed batch, -1 before the first. Batches commit in order."""
         return max(self._numbers("_committed"), default=-1)
 
-    def write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+    def write(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
+        """Write one output of a batch; returns it as read back, to build on without recomputing."""
+        path = f"{self.root}/{table}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def commit(self, batch_id: int) -> None:
         self._fs().create(self._path("_committed", str(batch_id)), True).close()
@@ -53,3 +56,11 @@ class BatchStore:
         """The newest committed batch that wrote ``table``, -1 if none did."""
         last = self.last_committed()
         return max((n for n in self._numbers(table, "batch_id=") if n <= last), default=-1)
+
+    def layered(self, table: str, schema: StructType) -> DataFrame:
+        """The last full copy of a table and the batches since; the reader merges them by key."""
+        full = self.newest(f"{table}_full")
+        recent = self.read(table, schema, after=full)
+        if full < 0:
+            return recent
+        return self.read(f"{table}_full", schema, after=full - 1).unionByName(recent)

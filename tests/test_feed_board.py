@@ -1,0 +1,112 @@
+import json
+import random
+
+from conftest import at, rows_of
+from pyspark.sql import functions as F
+
+from agvlens.config import FEED_TYPES, ZONES
+from agvlens.functions import iso_utc
+from agvlens.operators import anomalies, board, feed, rules, state, zones
+from agvlens.sources.writers import feed_to_messages
+
+STATE, ANOMALY, ZONE = "vehicle_state_changed", "anomaly_detected", "zone_count_changed"
+
+
+def patches(df):
+    ordered = feed.change_feed(df).orderBy("seq", "slot").collect()
+    return [(r["type"], json.loads(r["payload"])) for r in ordered]
+
+
+def test_a_clean_reading_is_one_state_patch(telemetry):
+    df = telemetry(dict(vehicle_id="veh-1", battery_pct=72))
+    assert patches(df) == [(STATE, {"vehicle_id": "veh-1", "status": "moving", "battery_pct": 72.0})]
+
+
+def test_order_within_a_reading_and_zone_totals(telemetry):
+    df = telemetry(dict(zone_entered="aisle_a", status="fault", battery_pct=5), dict(zone_entered="nowhere"),
+                   dict(zone_entered="aisle_a"))
+    got = patches(df)
+    assert [t for t, _ in got] == [STATE, ZONE, ANOMALY, ANOMALY, STATE, ANOMALY, STATE, ZONE]
+    assert [p["entry_count"] for t, p in got if t == ZONE] == [1, 2]
+    fault = next(p for t, p in got if t == ANOMALY)
+    assert fault == {"vehicle_id": "agv-1", "anomaly_type": "fault_status", "detail": None,
+                     "detected_at": "2026-06-16T12:00:00.000000Z"}
+
+
+def test_an_unchanged_reading_still_patches(telemetry):
+    assert [t for t, _ in patches(telemetry(dict(), dict()))] == [STATE, STATE]
+
+
+def test_only_watched_tables_are_fed(spark):
+    row = "struct<vehicle_id:string,status:string,battery_pct:string,anomaly_type:string,detail:string," \
+          "detected_at:string,zone_id:string,entry_count:string>"
+    changes = spark.createDataFrame([
+        (1, 0, "vehicle_current_state", ("v", "idle", "40.5", None, None, None, None, None)),
+        (2, 0, "raw_events", ("v", "idle", "40.5", None, None, None, None, None)),
+        (3, 0, "anomalies", ("v", None, None, "stuck", None, "t", None, None)),
+        (4, 0, "zone_counts", (None, None, None, None, None, None, "aisle_a", "3")),
+        (5, 0, "missions", (None,) * 8),
+    ], f"seq long, slot int, table string, row {row}")
+    got = {r["seq"]: (r["type"], json.loads(r["payload"])) for r in feed.table_changes(changes).collect()}
+    assert got == {
+        1: (STATE, {"vehicle_id": "v", "status": "idle", "battery_pct": 40.5}),
+        3: (ANOMALY, {"vehicle_id": "v", "anomaly_type": "stuck", "detail": None, "detected_at": "t"}),
+        4: (ZONE, {"zone_id": "aisle_a", "entry_count": 3})}
+
+
+def messages(spark, *values):
+    return spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "seq long, slot int, value string")
+
+
+def test_parsing_drops_what_it_cannot_use(spark):
+    body = '{"vehicle_id":"v","status":"idle","battery_pct":4}'
+    good = f'{{"type":"{STATE}","payload":{body}}}'
+    df = messages(spark, good, "nonsense", "", "[]", "null", f'{{"type":"other","payload":{body}}}',
+                  f'{{"type":"{STATE}"}}', f'{{"type":"{STATE}","payload":null}}', f'{{"type":"{STATE}","payload":[1]}}',
+                  f'{{"type":"{STATE}","payload":"{{}}"}}', f'{{"type":7,"payload":{body}}}',
+                  f'{{"_trace":{{"traceparent":"x"}},"type":"{STATE}","payload":{body}}}')
+    got = feed.parse_patches(df)
+    assert rows_of(got, "seq", "payload.vehicle_id", "payload.battery_pct") == [(0, "v", 4.0), (11, "v", 4.0)]
+    assert got.columns == ["seq", "slot", "type", "payload"]
+
+
+def test_folding(spark):
+    vehicles = spark.createDataFrame([("a", "idle", 50.0), ("b", "idle", 60.0)], "vehicle_id string, status string, battery_pct double")
+    counters = spark.createDataFrame([("aisle_a", 1), ("aisle_b", 0)], "zone_id string, entry_count long")
+    alarms = spark.createDataFrame([("a", "stuck", "x", "t0")], "vehicle_id string, anomaly_type string, detail string, detected_at string")
+    patch = lambda kind, **payload: json.dumps({"type": kind, "payload": payload})
+    parsed = feed.parse_patches(messages(
+        spark,
+        patch(STATE, vehicle_id="a", status="moving", battery_pct=49), patch(STATE, vehicle_id="a", status="fault", battery_pct=48),
+        patch(STATE, vehicle_id="ghost", status="idle", battery_pct=1), patch(ZONE, zone_id="aisle_b", entry_count=4),
+        patch(ZONE, zone_id="nowhere", entry_count=9), patch(ANOMALY, vehicle_id="a", anomaly_type="fault_status", detail=None, detected_at="t1"),
+        patch(ANOMALY, vehicle_id="new", anomaly_type="overspeed", detail="d", detected_at="t2")))
+    assert rows_of(board.fold_vehicles(vehicles, parsed)) == [("a", "fault", 48.0), ("b", "idle", 60.0)]
+    assert rows_of(board.fold_zones(counters, parsed)) == [("aisle_a", 1), ("aisle_b", 4)]
+    assert rows_of(board.fold_anomalies(alarms, parsed)) == [("a", "fault_status", None, "t1"), ("new", "overspeed", "d", "t2")]
+
+
+def test_snapshot_plus_feed_is_the_state(telemetry):
+    rnd = random.Random(2)
+    df = telemetry(*[dict(vehicle_id=f"v{rnd.randint(0, 8)}", at=i, battery_pct=rnd.randint(0, 100),
+                          speed_mps=rnd.choice([0.05, 3, 7]), zone_entered=rnd.choice([*ZONES, None]),
+                          status=rnd.choice(["idle", "moving", "fault"])) for i in range(200)]).cache()
+    before = df.filter("seq < 120")
+    later = feed.parse_patches(feed_to_messages(feed.change_feed(df).filter("seq >= 120")))
+    assert rows_of(board.fold_vehicles(state.current_state(before), later)) == rows_of(
+        state.current_state(df), "vehicle_id", "status", "battery_pct")
+    assert rows_of(board.fold_zones(zones.zone_counts(before), later)) == rows_of(zones.zone_counts(df))
+    newest = lambda d: anomalies.latest_per_vehicle(rules.detect(d)).withColumn("detected_at", iso_utc(F.col("detected_at")))
+    assert rows_of(board.fold_anomalies(newest(before), later)) == rows_of(newest(df))
+
+
+def test_snapshot_and_board(telemetry):
+    df = telemetry(dict(vehicle_id="a", battery_pct=19.9, zone_entered="aisle_a"), dict(vehicle_id="b", status="fault", battery_pct=20, at=1))
+    row = board.snapshot_envelope(state.fleet_state(df), zones.zone_counts(df)).first()
+    assert row["type"] == "snapshot"
+    assert row["payload"]["fleet"] == {"idle": 0, "moving": 1, "charging": 0, "fault": 1}
+    assert row["payload"]["zones"] == dict.fromkeys(ZONES, 0) | {"aisle_a": 1}
+    shown = board.fleet_board(state.current_state(df), anomalies.latest_per_vehicle(rules.detect(df)))
+    assert rows_of(shown, "vehicle_id", "battery_low", "anomaly_type", "detected_at") == [
+        ("a", True, None, None), ("b", False, "fault_status", at(1).replace(tzinfo=None))]
+    assert set(t for t, _ in patches(df)) <= set(FEED_TYPES)
