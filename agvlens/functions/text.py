@@ -12,9 +12,8 @@ case when abs({x}) >= 1e-3 and abs({x}) < 1e7 or {x} = 0 or not contains(cast({x
   then cast({x} as string)
 when abs({x}) >= 1e-4 and abs({x}) < 1e16
   then regexp_replace(cast(cast(cast({x} as string) as decimal(38,20)) as string), '([.][0-9]+?)0+$', '$1')
-else regexp_replace(replace(
-    regexp_replace(replace(cast({x} as string), '.0E', 'E'), 'E(-?)([0-9])$', 'E$10$2'), 'E-', 'e-'),
-    'E([0-9])', 'e+$1')
+else replace(replace(
+    regexp_replace(replace(cast({x} as string), '.0E', 'E'), 'E(-?)([0-9])$', 'E$10$2'), 'E-', 'e-'), 'E', 'e+')
 end"""
 
 

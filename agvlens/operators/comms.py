@@ -47,8 +47,8 @@ def episodes(telemetry: DataFrame, until: Column, thresholds: Thresholds = Thres
         telemetry.select("seq", "vehicle_id", "recorded_at"), hot, ["seq"], ["recorded_at"], "next",
         following=True, policy=policy)
     tick = first_tick_after(F.col("recorded_at"), thresholds.comms_loss_seconds)
-    heard_again = micros(F.col("next.recorded_at"))
-    missed = (tick <= micros(until)) & (F.col("next").isNull() | (tick < heard_again))
+    heard_again = micros(F.col("next_recorded_at"))
+    missed = (tick <= micros(until)) & (F.col("next_seq").isNull() | (tick < heard_again))
     return rows.filter(missed).select(
         "seq", "vehicle_id", F.lit(COMMS_LOSS).alias("anomaly_type"),
         comms_loss_detail(thresholds).alias("detail"), from_micros(tick).alias("detected_at"))

@@ -22,11 +22,11 @@ def outcomes(commands: DataFrame, vehicles: DataFrame, hot: HotKeys | None = Non
     """Each command with its prior status and outcome: applied, noop, or unknown_vehicle."""
     if hot is None:
         hot = find_hot_keys(commands, "vehicle_id", policy=policy)
-    ordered = with_neighbour(commands, hot, ["seq"], ["status"], "_last", policy=policy)
+    ordered = with_neighbour(commands, hot, ["seq"], ["status"], "last", policy=policy)
     initial = vehicles.select("vehicle_id", F.col("status").alias("_initial"))
     joined = join_dimension(ordered, initial, hot, "seq", "left", policy)
     known = F.col("_initial").isNotNull()
-    prior = F.when(known, F.coalesce(F.col("_last.status"), F.col("_initial")))
+    prior = F.when(known, F.coalesce(F.col("last_status"), F.col("_initial")))
     repeated = (F.col("status") == "fault") & (F.col("prior_status") == "fault")
     return joined.withColumn("prior_status", prior).select(
         "seq", "vehicle_id", "status", "reason", "prior_status",

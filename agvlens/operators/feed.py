@@ -62,10 +62,10 @@ def change_feed_from(readings: DataFrame, telemetry: DataFrame, zone_base: DataF
                      thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Patches of ``telemetry``; ``readings`` is the same with ``prior``.
 
-    ``zone_base`` holds the counters before the first reading. The zone patches start from
-    the plain log, so they do not repeat the shuffle by vehicle.
+    ``zone_base`` holds the counters before the first reading. State and zone patches start
+    from the plain log, so only the anomalies need the shuffle by vehicle.
     """
-    state = _patches(readings, F.lit(SLOT_STATE), "vehicle_current_state", state_payload(), F.col("recorded_at"))
+    state = _patches(telemetry, F.lit(SLOT_STATE), "vehicle_current_state", state_payload(), F.col("recorded_at"))
     zones = _patches(
         running_counts(telemetry, zone_base, policy), F.lit(SLOT_ZONE), "zone_counts", zone_payload(),
         F.col("recorded_at"))

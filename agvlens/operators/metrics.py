@@ -166,12 +166,12 @@ def counter_increases(samples: DataFrame, series: Sequence[str], policy: SkewPol
     """
     hot = find_hot_keys(samples, *series, policy=policy)
     rows = with_neighbour(
-        samples, hot, ["ts"], ["ts", "value"], "_prev",
+        samples, hot, ["ts"], ["value"], "prev",
         position=F.unix_micros("ts"), policy=SkewPolicy(hot_rows=policy.hot_rows * 1_000_000))
-    was = F.col("_prev.value")
+    was = F.col("prev_value")
     increase = F.when(F.col("value") < was, F.col("value")).otherwise(F.col("value") - was)
-    elapsed = seconds_between(F.col("ts"), F.col("_prev.ts"))
-    return rows.filter(F.col("_prev").isNotNull()).select(
+    elapsed = seconds_between(F.col("ts"), F.col("prev_ts"))
+    return rows.filter(F.col("prev_ts").isNotNull()).select(
         *series, "ts", increase.alias("increase"), (increase / elapsed).alias("rate_per_s"))
 
 

@@ -91,26 +91,36 @@ def with_neighbour(
     df: DataFrame, hot: HotKeys, order: list[str], payload: list[str], name: str, *,
     following: bool = False, position: Column | None = None, policy: SkewPolicy = SkewPolicy(),
 ) -> DataFrame:
-    """Add struct column ``name``: ``payload`` of the key's previous (or following) row, or null.
+    """Add the key's previous (or following) row as columns ``<name>_<column>``.
 
-    ``order`` must be total within a key; ``position`` is a long that never decreases along
-    it (default: its first column).
+    They cover ``payload`` and the first order column; the latter is null exactly where there
+    is no such row. ``order`` must be total within a key; ``position`` is a long that never
+    decreases along it (default: its first column).
+
+    Each column is looked up by itself: a struct of them would have to be built before the
+    shuffle, which would then carry the payload twice.
     """
-    key = list(hot.key)
-    step = F.lead if following else F.lag
-    item = F.struct(*payload)
+    key, step = list(hot.key), F.lead if following else F.lag
+    wanted = list(dict.fromkeys([*payload, order[0]]))
+    named = [f"{name}_{c}" for c in wanted]
+
+    def looked_up(rows: DataFrame, *within: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(*order)
+        return rows.select("*", *[step(c).over(w).alias(n) for c, n in zip(wanted, named)])
+
     if not hot:
-        return df.withColumn(name, step(item).over(Window.partitionBy(*key).orderBy(*order)))
+        return looked_up(df, *key)
 
     rows = sliced(df, hot, F.col(order[0]) if position is None else position, policy.hot_rows)
-    local = rows.withColumn(name, step(item).over(Window.partitionBy(*key, SLICE).orderBy(*order)))
-    edge = (F.min_by if following else F.max_by)(item, F.struct(*order))
+    edge = (F.min_by if following else F.max_by)(F.struct(*wanted), F.struct(*order))
     edges = rows.filter(F.col(SLICE) != _COLD).groupBy(*key, SLICE).agg(edge.alias("_edge"))
     carried = edges.select(
         *key, SLICE, step("_edge").over(Window.partitionBy(*key).orderBy(SLICE)).alias("_carried"),
     ).filter(F.col("_carried").isNotNull())
-    joined = local.join(carried, [*key, SLICE], "left")
-    return joined.select(*df.columns, F.coalesce(name, "_carried").alias(name))
+    joined = looked_up(rows, *key, SLICE).join(carried, [*key, SLICE], "left")
+    first = F.col(f"{name}_{order[0]}").isNull()
+    return joined.select(*df.columns, *[
+        F.when(first, F.col(f"_carried.{c}")).otherwise(F.col(n)).alias(n) for c, n in zip(wanted, named)])
 
 
 def with_running_sum(

@@ -75,7 +75,7 @@ def events_per_vehicle(telemetry: DataFrame) -> DataFrame:
 
 
 def with_prior(telemetry: DataFrame, hot: HotKeys | None = None, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Add ``prior``, the vehicle's previous arrived reading, null for its first."""
+    """Add the vehicle's previous arrived reading as ``prior_*``; ``prior_seq`` is null for its first."""
     if hot is None:
         hot = find_hot_keys(telemetry, "vehicle_id", policy=policy)
     return with_neighbour(telemetry, hot, ["seq"], PRIOR_FIELDS, PRIOR, policy=policy)
@@ -83,7 +83,7 @@ def with_prior(telemetry: DataFrame, hot: HotKeys | None = None, policy: SkewPol
 
 def gap_seconds() -> Column:
     """Seconds since the prior reading; negative when readings arrive out of order."""
-    return seconds_between(F.col("recorded_at"), F.col(f"{PRIOR}.recorded_at"))
+    return seconds_between(F.col("recorded_at"), F.col(f"{PRIOR}_recorded_at"))
 
 
 def late_readings(with_prior_df: DataFrame) -> DataFrame:

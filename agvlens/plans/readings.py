@@ -119,7 +119,7 @@ select seq, vehicle_id, p_status as prior_status, p_battery_pct as prior_battery
   p_pos_x as prior_pos_x, p_pos_y as prior_pos_y, p_recorded_at as prior_recorded_at from prior""")
 def prior_reading(t):
     return state.with_prior(t.telemetry()).select(
-        "seq", "vehicle_id", *[F.col(f"prior.{f}").alias(f"prior_{f}") for f in state.PRIOR_FIELDS])
+        "seq", "vehicle_id", *[f"prior_{f}" for f in state.PRIOR_FIELDS])
 
 
 @query("inter_event_gap", "select seq, vehicle_id, dt as gap_s from prior")

@@ -85,9 +85,11 @@ def test_thresholds_and_own_rules(telemetry):
     df = telemetry(dict(speed_mps=6), dict(speed_mps=6, battery_pct=50, at=1))
     strict = replace(Thresholds(), overspeed_mps=7.0)
     assert fired_types(df, thresholds=strict) == []
-    own = rules.Rule("battery_drop", True, "prior.battery_pct - battery_pct > 20",
-                     "cast(prior.battery_pct - battery_pct as string)")
+    own = rules.Rule("battery_drop", True, "prior_battery_pct - battery_pct > 20",
+                     x="prior_battery_pct - battery_pct", detail="concat('by ', a)")
     assert fired_types(df, rules=(*rules.RULES, own)) == ["overspeed", "overspeed", "battery_drop"]
+    assert rules.detect(df, rules=[own]).first()["detail"] == "by 30.0"
+    assert rules.detect_one(df, "battery_drop", rules=[own]).first()["detail"] == "by 30.0"
 
 
 def test_one_rule_equals_its_share_of_all(telemetry):

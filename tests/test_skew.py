@@ -43,8 +43,8 @@ def test_neighbour(log, mode, following):
     hot = {"cold": skew.no_hot_keys("key"), "hot": skew.find_hot_keys(log, "key", policy=TINY),
            "everything": skew.every_key("key")}[mode]
     got = skew.with_neighbour(log, hot, ["seq"], ["x"], "n", following=following, policy=TINY)
-    assert rows_of(got, "seq", "n.x") == reference_neighbours(log.collect(), 1 if following else -1)
-    assert got.columns == ["seq", "key", "x", "n"]
+    assert rows_of(got, "seq", "n_x") == reference_neighbours(log.collect(), 1 if following else -1)
+    assert got.columns == ["seq", "key", "x", "n_x", "n_seq"]
 
 
 @pytest.mark.parametrize("mode", ["cold", "hot", "everything"])
@@ -79,7 +79,7 @@ def test_hot_slices_survive_a_partitioning_by_the_key_alone(log):
     got = skew.with_neighbour(together, hot, ["seq"], ["x"], "n", policy=TINY)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(key#\d+, _slice#\d+L", plan)
-    assert rows_of(got, "seq", "n.x") == reference_neighbours(log.collect(), -1)
+    assert rows_of(got, "seq", "n_x") == reference_neighbours(log.collect(), -1)
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
