@@ -59,7 +59,8 @@ def _patches(df: DataFrame, slot: Column, table: str, payload: Column, ts: Colum
 
 
 def change_feed_from(readings: DataFrame, telemetry: DataFrame, zone_base: DataFrame | None = None,
-                     thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+                     thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy(),
+                     small: bool = False) -> DataFrame:
     """Patches of ``telemetry``; ``readings`` is the same with ``prior``.
 
     ``zone_base`` holds the counters before the first reading. State and zone patches start
@@ -67,7 +68,7 @@ def change_feed_from(readings: DataFrame, telemetry: DataFrame, zone_base: DataF
     """
     state = _patches(telemetry, F.lit(SLOT_STATE), "vehicle_current_state", state_payload(), F.col("recorded_at"))
     zones = _patches(
-        running_counts(telemetry, zone_base, policy), F.lit(SLOT_ZONE), "zone_counts", zone_payload(),
+        running_counts(telemetry, zone_base, policy, small), F.lit(SLOT_ZONE), "zone_counts", zone_payload(),
         F.col("recorded_at"))
     anomalies = _patches(
         fired(readings, thresholds=thresholds), F.lit(SLOT_ANOMALY) + F.col("rule_ord"), "anomalies",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ZONES, SkewPolicy
 from .constants import constant_rows
-from .skew import every_key, with_running_sum
+from .skew import every_key, no_hot_keys, with_running_sum
 
 
 def zones_table(spark: SparkSession) -> DataFrame:
@@ -43,16 +43,18 @@ def unknown_zone_entries(telemetry: DataFrame) -> DataFrame:
     return stray.groupBy(F.col("zone_entered").alias("zone_id")).agg(F.count(F.lit(1)).alias("entry_count"))
 
 
-def running_counts(telemetry: DataFrame, base: DataFrame | None = None,
-                   policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+def running_counts(telemetry: DataFrame, base: DataFrame | None = None, policy: SkewPolicy = SkewPolicy(),
+                   small: bool = False) -> DataFrame:
     """Each crossing with its zone's counter right after it: (seq, zone_id, entry_count, recorded_at).
 
     ``base`` holds the counters before the first reading (default: zero). There are only
-    20 zones, so each one is counted in slices.
+    20 zones, so each one is counted in slices, unless the caller knows the log to be ``small``
+    (at most ``policy.hot_rows`` readings).
     """
     entered = crossings(telemetry).select(
         "seq", F.col("zone_entered").alias("zone_id"), "recorded_at")
-    counted = with_running_sum(entered, every_key("zone_id"), ["seq"], F.lit(1).cast("long"), "entry_count",
+    split = no_hot_keys("zone_id") if small else every_key("zone_id")
+    counted = with_running_sum(entered, split, ["seq"], F.lit(1).cast("long"), "entry_count",
                                policy=policy)
     if base is None:
         return counted

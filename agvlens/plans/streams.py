@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import STATUS_UPDATE, TELEMETRY
+from ..schemas import ANOMALIES, STATUS_UPDATE, TELEMETRY
 from ..session import scratch_dir
 from ..sources.readers import read_table
 from ..sources.writers import read_at_version
-from ..streaming import jobs
+from ..streaming import jobs, stateful
+from ..streaming.store import BatchStore
 from .registry import query
 
 SLICES = 3
@@ -49,6 +50,14 @@ def stream_anomalies(t):
     return _telemetry_job(t, t.telemetry_fast()).anomalies().drop("batch_id")
 
 
+@query("stream_anomalies_stateful",
+       "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from anomalies_fast")
+def stream_anomalies_stateful(t):
+    root = scratch_dir(t.spark, "anomaly-stream")
+    deliver(t.telemetry_fast(), TELEMETRY, root, lambda s: stateful.start_anomalies(s, root).awaitTermination())
+    return BatchStore(t.spark, root).read("anomalies", ANOMALIES).drop("batch_id")
+
+
 @query("stream_change_feed", "select seq, slot, type, payload from feed")
 def stream_change_feed(t):
     return _telemetry_job(t, t.telemetry()).change_feed().select("seq", "slot", "type", "payload")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import SkewPolicy, Thresholds
 from ..operators import comms, faults, feed, zones
 from ..operators.rules import fired
+from ..operators.skew import no_hot_keys
 from ..operators.state import STATE_FIELDS, current_state, last_status, with_prior
 from ..schemas import (
     ANOMALIES, CHANGE_FEED, CURRENT_STATE, OPENED_RECORDS, OUTCOMES, SWEPT, TELEMETRY, TOUCHED, TRANSITIONS,
@@ -82,33 +83,38 @@ class TelemetryJob:
         if batch_id <= self.store.last_committed():
             return  # replayed after its commit
         batch = batch.persist()
-        readings = self._with_prior(batch).persist()
+        # the usual micro-batch is too small for any key in it to need splitting
+        small = batch.count() <= self.policy.hot_rows
+        readings = self._with_prior(batch, small).persist()
         try:
             base = self.zone_counts()
-            self.store.write(batch, "log", batch_id)
-            self.store.write(current_state(batch), "state", batch_id)
-            self.store.write(fired(readings, thresholds=self.thresholds), "anomalies", batch_id)
-            added = zones.entries_per_zone(batch)
-            totals = base.unionByName(added).groupBy("zone_id").agg(F.sum("entry_count").alias("entry_count"))
-            self.store.write(totals.coalesce(1), "zone_counts", batch_id)  # 20 rows
-            patches = feed.change_feed_from(readings, batch, base, self.thresholds, self.policy)
-            self.store.write(patches, "feed", batch_id)
+            totals = base.unionByName(zones.entries_per_zone(batch)).groupBy("zone_id").agg(
+                F.sum("entry_count").alias("entry_count"))
+            outputs = {
+                "log": batch,
+                "state": current_state(batch),
+                "anomalies": fired(readings, thresholds=self.thresholds),
+                "zone_counts": totals.coalesce(1),  # 20 rows
+                "feed": feed.change_feed_from(readings, batch, base, self.thresholds, self.policy, small),
+            }
             if (batch_id + 1) % self.compact_every == 0:
                 last = current_state(batch).unionByName(self.state()).withColumnRenamed("last_seq", "seq")
-                self.store.write(current_state(last), "state_full", batch_id)
+                outputs["state_full"] = current_state(last)
+            self.store.write_all(outputs, batch_id)
             self.store.commit(batch_id)
         finally:
             readings.unpersist()
             batch.unpersist()
 
-    def _with_prior(self, batch: DataFrame) -> DataFrame:
+    def _with_prior(self, batch: DataFrame, small: bool) -> DataFrame:
         """The batch's readings with their prior; the stored reading precedes a vehicle's first."""
         stored = self.state().withColumnRenamed("last_seq", "seq").join(
             batch.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
         absent = [f for f in TELEMETRY.fields if f.name not in {"vehicle_id", *STATE_FIELDS}]
         seeds = stored.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in absent])
         rows = batch.withColumn("_stored", F.lit(False)).unionByName(seeds.withColumn("_stored", F.lit(True)))
-        return with_prior(rows, policy=self.policy).filter(~F.col("_stored")).drop("_stored")
+        hot = no_hot_keys("vehicle_id") if small else None
+        return with_prior(rows, hot, self.policy).filter(~F.col("_stored")).drop("_stored")
 
 
 @dataclass
@@ -167,14 +173,13 @@ class StatusCommandJob:
         if batch_id <= self.store.last_committed():
             return
         batch = batch.persist()
-        resolved = faults.outcomes(batch, self.vehicles_now(), policy=self.policy).persist()
+        hot = no_hot_keys("vehicle_id") if batch.count() <= self.policy.hot_rows else None
+        resolved = faults.outcomes(batch, self.vehicles_now(), hot, self.policy).persist()
         try:
             moves = faults.transitions(resolved)
             already_open = self.open_records.select("vehicle_id").unionByName(
                 self._touched().filter("opened").select("vehicle_id"))
             opened = faults.maintenance_opened(moves, self.missions_now(), already_open)
-            self.store.write(resolved, "outcomes", batch_id)
-            self.store.write(moves, "transitions", batch_id)
             written = self.store.write(opened, "records", batch_id)
             known = last_status(resolved.filter(F.col("outcome") != "unknown_vehicle"))
             mark = lambda df, name: df.select("vehicle_id").distinct().withColumn(name, F.lit(True))
@@ -182,9 +187,10 @@ class StatusCommandJob:
                 mark(written, "opened"), "vehicle_id", "left").select(
                 "vehicle_id", "status", F.lit(batch_id).cast("long").alias("as_of"),
                 F.coalesce("faulted", F.lit(False)).alias("faulted"), F.coalesce("opened", F.lit(False)).alias("opened"))
-            self.store.write(touched, "touched", batch_id)
+            outputs = {"outcomes": resolved, "transitions": moves, "touched": touched}
             if (batch_id + 1) % self.compact_every == 0:
-                self.store.write(self._merged(self._touched().unionByName(touched)), "touched_full", batch_id)
+                outputs["touched_full"] = self._merged(self._touched().unionByName(touched))
+            self.store.write_all(outputs, batch_id)
             self.store.commit(batch_id)
         finally:
             resolved.unpersist()

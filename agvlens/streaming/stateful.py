@@ -1,0 +1,74 @@
+"""Anomaly detection with the previous reading in Spark's own state store.
+
+One job per micro-batch and no table to look the previous reading up in, which is what a
+latency of a second takes; :class:`~agvlens.streaming.jobs.TelemetryJob` is the one to use for
+throughput and for all outputs in step. Python only carries the previous reading from row to
+row; the rules stay column expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType
+
+from ..config import Thresholds
+from ..operators.rules import fired
+from ..operators.state import PRIOR, PRIOR_FIELDS
+from ..schemas import TELEMETRY
+from .jobs import ROCKSDB, start_batches
+from .store import BatchStore
+
+_CARRIED = [*PRIOR_FIELDS, "seq"]
+_STATE = StructType([TELEMETRY[f] for f in _CARRIED])
+_OUTPUT = StructType([
+    *TELEMETRY.fields, *[StructField(f"{PRIOR}_{f}", TELEMETRY[f].dataType, True) for f in _CARRIED],
+])
+
+
+def _previous_reading(fields: list[str], carried: list[str], state: StructType, output: StructType) -> StatefulProcessor:
+    """A processor that emits each reading with the one before it, and keeps the last per vehicle.
+
+    The class is local so that it travels to the workers by value: they need not have this
+    package installed.
+    """
+    emit = Row(*output.names)
+
+    class PreviousReading(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.stored = handle.getValueState("last", state)
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            last = tuple(self.stored.get()) if self.stored.exists() else (None,) * len(carried)
+            # a vehicle's rows of one micro-batch, so as many as the source's trigger limit allows
+            for row in sorted(rows, key=lambda r: r["seq"]):
+                yield emit(*[row[f] for f in fields], *last)
+                last = tuple(row[f] for f in carried)
+            self.stored.update(last)
+
+        def close(self) -> None:
+            pass
+
+    return PreviousReading()
+
+
+def with_prior_stream(readings: DataFrame) -> DataFrame:
+    """Streaming counterpart of :func:`~agvlens.operators.state.with_prior`."""
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return readings.select(*TELEMETRY.names).groupBy("vehicle_id").transformWithState(
+        statefulProcessor=_previous_reading(TELEMETRY.names, _CARRIED, _STATE, _OUTPUT), outputStructType=_OUTPUT, outputMode="Append", timeMode="None")
+
+
+def start_anomalies(readings: DataFrame, root: str, thresholds: Thresholds = Thresholds(), **trigger) -> StreamingQuery:
+    """Write the anomalies of each micro-batch to the batch store at ``root``."""
+    store = BatchStore(readings.sparkSession, root)
+
+    def write(anomalies: DataFrame, batch_id: int) -> None:
+        store.write(anomalies, "anomalies", batch_id)
+        store.commit(batch_id)
+
+    found = fired(with_prior_stream(readings), thresholds=thresholds)
+    return start_batches(found, write, f"{root}/_checkpoint", **trigger)

@@ -7,6 +7,9 @@ all its outputs or not at all, and a replayed batch replaces its own folders.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -40,6 +43,12 @@ class BatchStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_all(self, tables: dict[str, DataFrame], batch_id: int) -> None:
+        """Write several outputs of a batch at the same time; fails if any of them does."""
+        write = inheritable_thread_target(self.spark)(lambda item: self.write(item[1], item[0], batch_id))
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(write, tables.items()))
+
     def commit(self, batch_id: int) -> None:
         self._fs().create(self._path("_committed", str(batch_id)), True).close()
 

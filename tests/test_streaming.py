@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from agvlens.config import ZONES, SkewPolicy
 from agvlens.operators import faults, feed, rules, state, zones
-from agvlens.schemas import MISSIONS, STATUS_UPDATE, TELEMETRY, VEHICLES
+from agvlens.schemas import ANOMALIES, MISSIONS, STATUS_UPDATE, TELEMETRY, VEHICLES
 from agvlens.sources import readers, writers
-from agvlens.streaming import jobs
+from agvlens.streaming import jobs, stateful
 from agvlens.streaming.store import BatchStore
 
 FEED = ["seq", "slot", "type", "payload"]
@@ -81,6 +81,15 @@ def test_from_files_with_restart(spark, log, tmp_path):
     assert rows_of(job.anomalies().drop("batch_id")) == rows_of(rules.detect(log))
 
 
+def test_state_store_detection_equals_batch(spark, log, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for lo, hi in [(0, 90), (90, 91), (91, 240)]:
+        log.filter(F.col("seq").between(lo, hi - 1)).repartition(3).write.mode("append").parquet(source)
+        stateful.start_anomalies(readers.read_telemetry(spark, source, streaming=True), root).awaitTermination()
+    found = BatchStore(spark, root).read("anomalies", ANOMALIES).drop("batch_id")
+    assert rows_of(found) == rows_of(rules.detect(log))
+
+
 def test_running_aggregates(spark, log, tmp_path):
     source, a, b = (str(tmp_path / n) for n in ("in", "zones", "state"))
     for lo, hi in [(0, 90), (90, 240)]:
