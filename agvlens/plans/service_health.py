@@ -187,4 +187,4 @@ select client, server, instrumented, count(*) as calls, round(avg(ms), 6) as avg
   where c.kind in ('CLIENT','PRODUCER'))
 where server is not null group by 1, 2, 3""")
 def service_graph_edges(t):
-    return rounded(traces.service_graph(t.spans()).drop("p95_ms"), "avg_ms")
+    return rounded(traces.service_graph(t.spans()), "avg_ms")

@@ -20,14 +20,14 @@ from .registry import query
 SLICES = 3
 
 
-def deliver(log: DataFrame, schema, root: str, run) -> None:
+def deliver(log: DataFrame, schema, root: str, run, slices: int = SLICES) -> None:
     """Write the log to a source folder slice by slice; call ``run(stream)`` after each."""
     spark, source = log.sparkSession, f"{root}/source"
     span = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
     if span["lo"] is None:
         return
-    width = (span["hi"] - span["lo"]) // SLICES + 1
-    for i in range(SLICES):
+    width = (span["hi"] - span["lo"]) // slices + 1
+    for i in range(slices):
         start = span["lo"] + i * width
         log.filter(F.col("seq").between(start, start + width - 1)).write.mode("append").parquet(source)
         run(read_table(spark, source, schema, streaming=True))
@@ -54,7 +54,8 @@ def stream_anomalies(t):
        "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from anomalies_fast")
 def stream_anomalies_stateful(t):
     root = scratch_dir(t.spark, "anomaly-stream")
-    deliver(t.telemetry_fast(), TELEMETRY, root, lambda s: stateful.start_anomalies(s, root).awaitTermination())
+    deliver(t.telemetry_fast(), TELEMETRY, root, lambda s: stateful.start_anomalies(s, root).awaitTermination(),
+            slices=2)
     return BatchStore(t.spark, root).read("anomalies", ANOMALIES).drop("batch_id")
 
 

@@ -163,6 +163,15 @@ def test_feed_sink(spark, log, tmp_path):
     assert back.count() == feed.change_feed(log).count()
 
 
+def test_event_time_view_drops_repeats(spark, telemetry, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    telemetry(dict(at=0), dict(at=0), dict(at=1), dict(vehicle_id="b", at=0)).write.parquet(source)
+    view = jobs.event_time_view(readers.read_telemetry(spark, source, streaming=True))
+    view.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(out).count() == 3
+
+
 def test_store_reads_nothing_uncommitted(spark, tmp_path):
     store = BatchStore(spark, str(tmp_path / "s"))
     schema = spark.range(1).schema
