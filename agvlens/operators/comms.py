@@ -16,6 +16,12 @@ def comms_loss_detail(t: Thresholds) -> Column:
     return F.lit(f"no event for over {t.comms_loss_seconds}s")
 
 
+def newest_flags(flags: DataFrame) -> DataFrame:
+    """The last comms_loss per vehicle, which is all a later sweep can depend on."""
+    last = flags.groupBy("vehicle_id").agg(F.max("detected_at").alias("detected_at"), F.first("detail").alias("detail"))
+    return last.select("vehicle_id", F.lit(COMMS_LOSS).alias("anomaly_type"), "detail", "detected_at")
+
+
 def sweep(state: DataFrame, anomalies: DataFrame, now: Column, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Vehicles newly found silent at ``now``.
 

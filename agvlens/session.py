@@ -33,6 +33,9 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+_LOCAL_BASE: dict[str, str] = {}  # made up once per process, in local mode only
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the session's shared checkpoint location.
 
@@ -45,6 +48,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="agvlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL_BASE.get("dir") or tempfile.mkdtemp(prefix="agvlens-")
+        _LOCAL_BASE["dir"] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -70,12 +70,12 @@ class TelemetryJob:
 
     def state(self) -> DataFrame:
         """Current state: the last full table and the batches since, the last arrival winning."""
-        rows = self.store.layered("state", CURRENT_STATE).drop("batch_id")
+        rows = self.store.layered("state", CURRENT_STATE, self.compact_every).drop("batch_id")
         return current_state(rows.withColumnRenamed("last_seq", "seq"))
 
     def zone_counts(self) -> DataFrame:
-        newest = self.store.newest("zone_counts")
-        return zones.seed_zones(self.store.read("zone_counts", ZONE_COUNTS, after=newest - 1).drop("batch_id"))
+        last = self.store.last_committed()  # every batch writes all counters
+        return zones.seed_zones(self.store.read_batches("zone_counts", ZONE_COUNTS, [last]).drop("batch_id"))
 
     # -- one micro-batch -----------------------------------------------------------------
 
@@ -158,7 +158,7 @@ class StatusCommandJob:
         return faults.missions_after(self.missions, self._touched().filter("faulted"))
 
     def _touched(self) -> DataFrame:
-        return self._merged(self.store.layered("touched", TOUCHED).drop("batch_id"))
+        return self._merged(self.store.layered("touched", TOUCHED, self.compact_every).drop("batch_id"))
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
@@ -209,6 +209,7 @@ class SilenceSweepJob:
     root: str
     state: Callable[[], DataFrame]
     thresholds: Thresholds = Thresholds()
+    compact_every: int = 100
     store: BatchStore = field(init=False)
 
     def __post_init__(self):
@@ -224,9 +225,15 @@ class SilenceSweepJob:
         if batch_id <= self.store.last_committed():
             return
         now = ticks.agg(F.max("now").alias("now")).first()["now"]  # one value
+        known = self.store.layered("comms_loss", SWEPT, self.compact_every).drop("batch_id")
+        outputs = {}
         if now is not None:
-            known = self.flagged().drop("batch_id")
-            self.store.write(comms.sweep(self.state(), known, F.lit(now), self.thresholds), "comms_loss", batch_id)
+            outputs["comms_loss"] = comms.sweep(self.state(), known, F.lit(now), self.thresholds)
+        if (batch_id + 1) % self.compact_every == 0:
+            outputs["comms_loss_full"] = known.unionByName(outputs["comms_loss"]) if outputs else known
+            outputs["comms_loss_full"] = comms.newest_flags(outputs["comms_loss_full"])
+        if outputs:
+            self.store.write_all(outputs, batch_id)
         self.store.commit(batch_id)
 
 

@@ -7,6 +7,7 @@ all its outputs or not at all, and a replayed batch replaces its own folders.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -50,26 +51,44 @@ class BatchStore:
             list(pool.map(write, tables.items()))
 
     def commit(self, batch_id: int) -> None:
-        self._fs().create(self._path("_committed", str(batch_id)), True).close()
+        fs = self._fs()
+        fs.create(self._path("_committed", str(batch_id)), True).close()
+        # only the newest marker counts; a few are kept for readers in the middle of a listing
+        fs.delete(self._path("_committed", str(batch_id - 10)), False)
+
+    def _schema(self, schema: StructType) -> StructType:
+        return StructType([*schema.fields, StructField("batch_id", LongType(), True)])
+
+    def read(self, table: str, schema: StructType) -> DataFrame:
+        """Rows of all committed batches, with their ``batch_id``."""
+        last, full = self.last_committed(), self._schema(schema)
+        if last < 0 or not self._fs().exists(self._path(table)):
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(f"{self.root}/{table}").filter(F.col("batch_id") <= last)
 
-    def read(self, table: str, schema: StructType, after: int = -1) -> DataFrame:
-        """Rows of the committed batches later than ``after``, with their ``batch_id``."""
-        last = self.last_committed()
-        full = StructType([*schema.fields, StructField("batch_id", LongType(), True)])
-        if not any(after < n <= last for n in self._numbers(table, "batch_id=")):
+    def read_batches(self, table: str, schema: StructType, numbers: Iterable[int]) -> DataFrame:
+        """Rows of the given batches, those that wrote the table; opens their folders only."""
+        fs, full = self._fs(), self._schema(schema)
+        present = [n for n in numbers if fs.exists(self._path(table, f"batch_id={n}"))]
+        if not present:
             return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
-        return rows.filter((F.col("batch_id") > after) & (F.col("batch_id") <= last))
+        paths = [f"{self.root}/{table}/batch_id={n}" for n in present]
+        return self.spark.read.schema(full).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
     def newest(self, table: str) -> int:
         """The newest committed batch that wrote ``table``, -1 if none did."""
         last = self.last_committed()
         return max((n for n in self._numbers(table, "batch_id=") if n <= last), default=-1)
 
-    def layered(self, table: str, schema: StructType) -> DataFrame:
-        """The last full copy of a table and the batches since; the reader merges them by key."""
-        full = self.newest(f"{table}_full")
-        recent = self.read(table, schema, after=full)
-        if full < 0:
-            return recent
-        return self.read(f"{table}_full", schema, after=full - 1).unionByName(recent)
+    def layered(self, table: str, schema: StructType, every: int) -> DataFrame:
+        """The last full copy of a table and the batches since; the reader merges them by key.
+
+        Full copies are due after every ``every`` batches, so however long the job has run, at
+        most that many folders are opened.
+        """
+        last, copies = self.last_committed(), f"{table}_full"
+        full = last - (last + 1) % every
+        if full >= 0 and not self._fs().exists(self._path(copies, f"batch_id={full}")):
+            full = self.newest(copies)  # ``every`` was changed between runs
+        recent = self.read_batches(table, schema, range(max(full, -1) + 1, last + 1))
+        return recent if full < 0 else self.read_batches(copies, schema, [full]).unionByName(recent)

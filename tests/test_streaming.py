@@ -122,7 +122,7 @@ def test_status_commands(spark, tmp_path):
 
 def test_silence_sweep_runs_without_telemetry(spark, telemetry, tmp_path):
     readings = [telemetry(dict(at=0))]
-    job = jobs.SilenceSweepJob(spark, str(tmp_path / "job"), lambda: state.current_state(readings[0]))
+    job = jobs.SilenceSweepJob(spark, str(tmp_path / "job"), lambda: state.current_state(readings[0]), compact_every=2)
     counts = []
     for n, now in enumerate([6, 7, 8, 16]):
         if now == 16:
@@ -132,6 +132,16 @@ def test_silence_sweep_runs_without_telemetry(spark, telemetry, tmp_path):
     assert counts == [1, 1, 1, 2]
 
 
+def test_layers_stay_bounded_and_survive_another_interval(spark, log, tmp_path):
+    root = str(tmp_path / "job")
+    feed_slices(jobs.TelemetryJob(spark, root, compact_every=2), log, [50, 100, 150, 200])
+    for every in (1, 2, 3, 20):
+        assert rows_of(jobs.TelemetryJob(spark, root, compact_every=every).state()) == rows_of(state.current_state(log))
+    opened = BatchStore(spark, root).layered("state", state.current_state(log).schema, 2).inputFiles()
+    assert {f.split("batch_id=")[0].rsplit("/", 2)[1] + f.split("batch_id=")[1].split("/")[0] for f in opened} == {
+        "state_full3", "state4"}
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "t")
     with pytest.raises(LookupError):
