@@ -58,32 +58,34 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 
-HINTS = r"\b(licensed?|licence|copyright|warrant(y|ies))\b"  # a sentence that is not known but speaks of licences
+HINTS = r"(^| )(licensed?|licence|copyright|warrant(y|ies))( |$)"  # a sentence that is not known but speaks of licences
 BREAKS = r"(?:[.!?;]+\s+|\n+)"
+WORTH = "(?i)licen|copyright|warrant|permi|software|rights reserved"  # only sentences with one of these need normalising
+NORMAL = ((r"[^\p{L}\p{N}.]+", " "), (r"\.+( |$)", " "), (" +", " "))  # replaced in this order, after lower-casing
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's sentences in order; "unknown" for licence-like ones that are not listed."""
     known = F.create_map(*[F.lit(x) for name, forms in SENTENCES.items() for form in forms for x in (form, name)])
-    # only sentences that share a word with the knowledge need the costly normalising
-    worth = r"(?i)licen|copyright|warrant|permi|software|rights reserved"
 
     def normal(s: Column) -> Column:
-        plain = F.regexp_replace(F.lower(s), r"\.(?![0-9])|[^\p{L}\p{N}.]+", " ")
-        return F.trim(F.regexp_replace(plain, " +", " "))
+        s = F.lower(s)
+        for pattern, by in NORMAL:
+            s = F.regexp_replace(s, pattern, by)
+        return F.trim(s)
 
     def name(s: Column) -> Column:
         n = normal(s)
         return F.coalesce(known[n], F.when(n.rlike(HINTS), F.lit("unknown")))
 
-    parts = F.filter(F.split(text, BREAKS), lambda s: s.rlike(worth))
+    parts = F.filter(F.split(text, BREAKS), lambda s: s.rlike(WORTH))
     return F.filter(F.transform(parts, name), lambda s: s.isNotNull())
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, sentence_ids, licences (with how often) and n_unknown of each text."""
     t = F.col(f"`{text}`")
-    ids = F.when(t.rlike("(?i)licen|copyright|warrant|permi|software|rights reserved"), sentence_ids(t)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(t.rlike(WORTH), sentence_ids(t)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     rest = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))  # every identifier between two spaces
     for i, (_, sequence) in enumerate(RULES):
