@@ -80,12 +80,12 @@ WITH bare AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
          regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g') AS body
   FROM pages),
-p AS (SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)), x -> trim(x)), x -> x <> '') AS lines FROM bare),
+p AS (SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM bare),
 occ AS (SELECT page_id, host, unnest(list_distinct(lines)) AS line FROM p),
 tot AS (SELECT host, count(*) AS total FROM p GROUP BY host),
 often AS (SELECT host, line, count(*) AS n FROM occ GROUP BY host, line HAVING count(*) >= {line_dedup.MIN_PAGES}),
 bad AS (SELECT host, list(line) AS gone FROM often JOIN tot USING (host) WHERE n > {line_dedup.MAX_RATIO} * total GROUP BY host),
-cut AS (SELECT page_id, p.host, lines, list_filter(lines, x -> NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN bad ON p.host = bad.host)
+cut AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN bad ON p.host = bad.host)
 SELECT page_id, host, array_to_string(kept, chr(10)) AS "text", len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped FROM cut
 """
 
@@ -105,14 +105,14 @@ def _license_sql() -> str:
     shown = ", ".join(f"CASE WHEN {count[n]} > 0 THEN '{n}:' || ({count[n]}) END" for n in names)
     return rf"""
 WITH known(form, name) AS (VALUES {known}),
-part AS (SELECT doc_id, unnest(list_transform(string_split_regex(text, '{licenses.BREAKS}'), (s, i) -> {{'s': s, 'i': i}})) AS p FROM documents),
+part AS (SELECT doc_id, unnest(list_transform(string_split_regex(text, '{licenses.BREAKS}'), lambda s, i: {{'s': s, 'i': i}})) AS p FROM documents),
 worth AS (SELECT doc_id, p.i AS i, p.s AS s FROM part WHERE regexp_matches(p.s, '{licenses.WORTH}')),
 plain AS (SELECT doc_id, i, trim({normal}) AS form FROM worth),
 named AS (SELECT doc_id, i, coalesce(name, CASE WHEN regexp_matches(plain.form, '{licenses.HINTS}') THEN 'unknown' END) AS name FROM plain LEFT JOIN known ON plain.form = known.form),
 listed AS (SELECT doc_id, list(name ORDER BY i) AS ids FROM named WHERE name IS NOT NULL GROUP BY doc_id),
 seq AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(coalesce(ids, []), '  ') || ' ' AS start FROM documents d LEFT JOIN listed ON d.doc_id = listed.doc_id),
 {", ".join(steps)}
-SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, concat_ws(',', {shown}) AS licences, len(list_filter(ids, x -> x = 'unknown'))::BIGINT AS n_unknown FROM s{len(licenses.RULES) - 1}
+SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, concat_ws(',', {shown}) AS licences, len(list_filter(ids, lambda x: x = 'unknown'))::BIGINT AS n_unknown FROM s{len(licenses.RULES) - 1}
 """
 
 
