@@ -73,7 +73,7 @@ def page_lines(pages: DataFrame, **options) -> DataFrame:
     """Boilerplate removal on ``pages`` (page_id, url, html), the host being the site."""
     from .url_rules import url_host
 
-    lines = F.array_join(F.filter(F.transform(F.split(html_lines(F.col("html")), "\n"), F.trim), lambda s: s != ""), "\n")
+    lines = F.array_join(F.filter(F.transform(F.split(html_lines(F.col("html")), "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
     slim = pages.select("page_id", url_host(F.col("url")).alias("host"), lines.alias("body"))
     return drop_boilerplate(slim, F.col("host"), F.col("body"), **options).drop("body")
 
