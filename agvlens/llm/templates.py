@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
-Words become template tokens: numbers, units after numbers, and capitalised words within a sentence turn into typed
-placeholders, all others are lower-cased and stripped of punctuation. Windows of template tokens are joined by hash with
+Words become template tokens: numbers, units after numbers, and capitalised words within a sentence (words in capitals
+throughout aside) turn into typed placeholders, all others are lower-cased and stripped of punctuation. Windows of template tokens are joined by hash with
 those of the benchmark, so a question with other numbers and names still meets its original. Windows on one diagonal
 (item position minus text position) belong together; there every slot value of the item must stand for one value of the
 text and the other way round, or the diagonal is dropped. A text holds an item if enough of the item's windows are found.
@@ -70,7 +70,7 @@ class Words:
             plain = word.strip(EDGE)
             low = plain.lower()
             kind = int(NUMBER.fullmatch(plain) is not None or low in NUMBER_WORDS) | 2 * (low in UNITS) | 16 * (low == "")
-            kind |= 4 * (plain[:1].isupper()) | 8 * word.rstrip("\"')]»”’").endswith((".", "!", "?", ":"))
+            kind |= 4 * (plain[:1].isupper() and not plain.isupper()) | 8 * word.rstrip("\"')]»”’").endswith((".", "!", "?", ":"))
             i = self.number[word] = len(self.text)
             self.text.append(low)
             if i == len(self.kind):
