@@ -9,8 +9,8 @@ from ..config import ANOMALY_DETECTED, DISPLAY_LOW_BATTERY, VEHICLE_STATE_CHANGE
 
 
 def _latest(patches: DataFrame, kind: str, key: str, fields: list[str]) -> DataFrame:
-    """The last patch per id; combined map-side, so a hot id is no burden."""
-    rows = patches.filter(F.col("type") == kind).select("seq", "slot", "payload.*")
+    """The last patch per id that has the first of ``fields``; combined map-side, so a hot id is no burden."""
+    rows = patches.filter(F.col("type") == kind).select("seq", "slot", "payload.*").filter(F.col(fields[0]).isNotNull())
     last = F.max_by(F.struct(*fields), F.struct("seq", "slot"))
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(last.alias("patch"))
 

@@ -85,9 +85,10 @@ def parse_patches(messages: DataFrame) -> DataFrame:
     """Feed messages (seq, slot, value) to typed patches.
 
     Text that is not JSON, an unknown type, or a payload that is not an object is dropped;
-    transport metadata beside type and payload is left behind. Never fails on input.
+    transport metadata beside type and payload is left behind. Counters may be written as 3 or 3.0.
+    Never fails on input.
     """
     envelope = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE"})
     decoded = evaluated_once(messages, "m", envelope)
     return decoded.filter(F.col("m.type").isin(*FEED_TYPES) & F.col("m.payload").isNotNull()).select(
-        "seq", "slot", "m.type", "m.payload")
+        "seq", "slot", "m.type", F.col("m.payload").withField("entry_count", F.col("m.payload.entry_count").try_cast("long")).alias("payload"))

@@ -36,8 +36,8 @@ def rate_per_window(rows: DataFrame, by: Sequence[str], ts: str = "ts", length:
 
 
 def errors(requests: DataFrame) -> DataFrame:
-    """Requests whose status is not 2xx; the pattern is anchored, as label matchers are."""
-    return requests.filter(~F.col("status_code").cast("string").rlike("^(?:2..)$"))
+    """Requests whose status is not 2xx, as two bounds that reach the scan."""
+    return requests.filter((F.col("status_code") < 200) | (F.col("status_code") > 299))
 
 
 def sliding_rate(rows: DataFrame, by: Sequence[str], ts: str = "ts", minutes: int = 4) -> DataFrame:
@@ -104,16 +104,19 @@ def exact_quantiles(rows: DataFrame, value: str, by: Sequence[str], probs: Seque
 
     Equal values are counted together, the counts are accumulated in value order by slices
     of ``bin_width``, and the value at a rank is the least one whose running count exceeds it.
+    A null in ``by`` makes a group like any other; NaN is the largest value.
     """
-    keys = list(by) or ["_all"]
-    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    keys = ["_group", *by]  # the group as text, which is never null, so that joins keep null groups
+    rows = rows.withColumn("_group", F.to_json(F.struct(*by)) if by else F.lit(""))
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    groups = every_key(*keys)
+    groups = every_key("_group")
+    last = F.lit((1 << 63) - 1)
     upto = with_running_sum(
         counts, groups, ["_v"], F.col("_n"), "_upto",
-        position=F.floor(F.col("_v") / F.lit(bin_width)).cast("long"), policy=SkewPolicy(hot_rows=1))
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+        position=F.when(F.isnan("_v"), last).otherwise(F.floor(F.col("_v") / F.lit(bin_width)).try_cast("long")),
+        policy=SkewPolicy(hot_rows=1))
+    sizes = counts.groupBy("_group").agg(F.sum("_n").alias("_size"))
     ranked = join_dimension(upto, sizes, groups, "_v", "inner")
 
     def at_rank(rank: Column, name: str) -> Column:

@@ -27,23 +27,23 @@ def current_state(telemetry: DataFrame) -> DataFrame:
 
 
 def status_code(status: Column) -> Column:
-    """Position in STATUSES (0..3)."""
+    """Position in STATUSES (0..3); 4 for any other status."""
     code = F.when(status == STATUSES[0], 0)
     for i, name in enumerate(STATUSES[1:], 1):
         code = code.when(status == name, i)
-    return code
+    return code.otherwise(len(STATUSES))
 
 
 def last_status(rows: DataFrame, key: str = "vehicle_id", order: str = "seq") -> DataFrame:
-    """Last status per key.
+    """Last status per key, null for one that is not among STATUSES.
 
     The status travels in the low bits of the order, so the aggregate is ``max`` over one
     long: a hash aggregate, where ``max_by`` over text would sort every task's input first.
     """
-    packed = F.max(F.col(order) * 4 + status_code(F.col("status")))
+    packed = F.max(F.col(order) * 8 + status_code(F.col("status")))
     names = F.array(*[F.lit(s) for s in STATUSES])
     return rows.groupBy(key).agg(packed.alias("p")).select(
-        key, F.get(names, F.pmod("p", F.lit(4)).cast("int")).alias("status"))
+        key, F.get(names, F.pmod("p", F.lit(8)).cast("int")).alias("status"))
 
 
 def status_counts(per_vehicle: DataFrame) -> DataFrame:

@@ -91,14 +91,17 @@ def _number(name: str) -> Column:
         _kind(name) == "STRING", _get(name, "string").try_cast("double"))
 
 
+UNIX_RANGE = (-62_135_596_800.0, 253_402_300_799.0)  # years 1 to 9999, in seconds
+
+
 def _instant(name: str) -> Column:
-    """ISO-8601 text (UTC unless it names a zone), or unix seconds or milliseconds."""
+    """ISO-8601 text (UTC unless it names a zone), or unix seconds or milliseconds; years 1 to 9999."""
     text, number = _get(name, "string"), _get(name, "double")
-    iso = r"^\d{4}-\d{2}-\d{2}([Tt_ ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$"
+    iso = r"^(?!0000)\d{4}-\d{2}-\d{2}([Tt_ ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$"
     seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
     return F.when(
         (_kind(name) == "STRING") & text.rlike(iso), F.translate(text, "t_z,", "TTZ.").try_cast("timestamp"),
-    ).when(_is_number(name), F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
+    ).when(_is_number(name) & seconds.between(*UNIX_RANGE), F.timestamp_micros(F.round(seconds * 1e6).try_cast("long")))
 
 
 def _wrong(name: str, nullable: bool) -> Column:

@@ -55,7 +55,7 @@ SWEPT = _schema(("vehicle_id", STR), ("anomaly_type", STR), ("detail", STR), ("d
 CHANGE_FEED = _schema(("seq", LNG), ("slot", INT), ("type", STR), ("payload", STR), ("ts", TS))
 PATCH_PAYLOAD = _schema(
     ("vehicle_id", STR), ("status", STR), ("battery_pct", DBL), ("anomaly_type", STR),
-    ("detail", STR), ("detected_at", STR), ("zone_id", STR), ("entry_count", LNG),
+    ("detail", STR), ("detected_at", STR), ("zone_id", STR), ("entry_count", DBL),
 )
 ENVELOPE = _schema(("type", STR), ("payload", PATCH_PAYLOAD))
 REQUESTS = _schema(

@@ -30,7 +30,7 @@ def test_order_within_a_reading_and_zone_totals(telemetry):
     assert [p["entry_count"] for t, p in got if t == ZONE] == [1, 2]
     fault = next(p for t, p in got if t == ANOMALY)
     assert fault == {"vehicle_id": "agv-1", "anomaly_type": "fault_status", "detail": None,
-                     "detected_at": "2026-06-16T12:00:00.000000Z"}
+                     "detected_at": "2031-03-09T06:30:00.000000Z"}
 
 
 def test_an_unchanged_reading_still_patches(telemetry):

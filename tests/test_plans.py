@@ -43,7 +43,7 @@ def test_fleet_state_aggregates_by_hash(stored):
 
 
 def test_vehicle_and_time_filters_reach_the_scan(stored):
-    wanted = stored.filter("vehicle_id = 'v1' and recorded_at >= '2026-06-16'")
+    wanted = stored.filter("vehicle_id = 'v1' and recorded_at >= '2031-03-09'")
     text = plan(state.current_state(wanted))
     assert "EqualTo(vehicle_id,v1)" in text and "GreaterThanOrEqual(recorded_at" in text
 
