@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SkewPolicy, Thresholds
 from ..functions import first_tick_after, from_micros, micros, seconds_between
+from .rules import RULES, Rule, detect
 from .skew import find_hot_keys, with_neighbour, with_running_sum
 
 COMMS_LOSS = "comms_loss"
@@ -60,6 +63,24 @@ def episodes(telemetry: DataFrame, until: Column, thresholds: Thresholds = Thres
         comms_loss_detail(thresholds).alias("detail"), from_micros(tick).alias("detected_at"))
 
 
+def silence_anomalies(telemetry: DataFrame, until: Column, rule_ord: int = len(RULES),
+                      thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Silence episodes as rows of the anomalies table.
+
+    An episode has the ``seq`` of the last reading before it, and stands after all rules of that reading. Since it
+    is flagged before the vehicle's next reading, (seq, rule_ord) stays the order in which a vehicle's anomalies came up.
+    """
+    return episodes(telemetry, until, thresholds, policy).select(
+        "seq", F.lit(rule_ord).cast("int").alias("rule_ord"), "vehicle_id", "anomaly_type", "detail", "detected_at")
+
+
+def all_anomalies(telemetry: DataFrame, until: Column, rules: Sequence[Rule] = RULES,
+                  thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """The anomalies table: what the rules found, and the silences flagged up to ``until``."""
+    silent = silence_anomalies(telemetry, until, len(rules), thresholds, policy)
+    return detect(telemetry, rules, thresholds, policy=policy).unionByName(silent)
+
+
 def stuck_dwell(telemetry: DataFrame, thresholds: Thresholds = Thresholds(),
                 policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Unbroken runs of readings that are moving yet stationary, lasting at least the dwell time.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FEED_TYPES, WATCHED_TABLES, SkewPolicy, Thresholds
 from ..functions import evaluated_once, iso_utc
 from ..schemas import ENVELOPE
+from .comms import silence_anomalies
 from .rules import fired
 from .state import with_prior
 from .zones import running_counts
@@ -76,9 +77,18 @@ def change_feed_from(readings: DataFrame, telemetry: DataFrame, zone_base: DataF
     return state.unionByName(zones).unionByName(anomalies)
 
 
-def change_feed(telemetry: DataFrame, thresholds: Thresholds = Thresholds(),
-                policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    return change_feed_from(with_prior(telemetry, policy=policy), telemetry, None, thresholds, policy)
+def silence_patches(silences: DataFrame) -> DataFrame:
+    """Patches of lost communication, from rows of the anomalies table."""
+    return _patches(silences, F.lit(SLOT_ANOMALY) + F.col("rule_ord"), "anomalies", anomaly_payload(), F.col("detected_at"))
+
+
+def change_feed(telemetry: DataFrame, thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy(),
+                until: Column | None = None) -> DataFrame:
+    """Patches of a whole log; with ``until``, also of the silences that sweeps up to then would have flagged."""
+    readings = change_feed_from(with_prior(telemetry, policy=policy), telemetry, None, thresholds, policy)
+    if until is None:
+        return readings
+    return readings.unionByName(silence_patches(silence_anomalies(telemetry, until, thresholds=thresholds, policy=policy)))
 
 
 def parse_patches(messages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import LATENCY_BOUNDS_MS, SkewPolicy, SloBounds
 from ..functions import seconds_between
-from .skew import every_key, find_hot_keys, join_dimension, with_neighbour, with_running_sum
+from .skew import every_key, find_hot_keys, join_dimension, no_hot_keys, union_all, with_neighbour, with_running_sum
 
 HOUR = 3600.0
 # Counts in a window become per-second rates by dividing by its length.
@@ -25,7 +25,9 @@ def route_or_path(route: str = "route", path: str = "path") -> Column:
 
 
 def request_counts(requests: DataFrame) -> DataFrame:
-    return requests.groupBy("method", "route", "status_code").agg(F.count(F.lit(1)).alias("n"))
+    """Requests per method, route and status; those that matched no route count under their path, if there is one."""
+    route = route_or_path() if "path" in requests.columns else F.col("route")
+    return requests.groupBy("method", route.alias("route"), "status_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rate_per_window(rows: DataFrame, by: Sequence[str], ts: str = "ts", length: str = "1 hour",
@@ -98,6 +100,29 @@ def histogram_quantile(buckets: DataFrame, by: Sequence[str], q: float) -> DataF
     return first.select(*by, F.lit(q).alias("q"), estimate.cast("double").alias("quantile"))
 
 
+def bucket_samples(rows: DataFrame, value: str, by: Sequence[str],
+                   bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> DataFrame:
+    """Cumulative bucket counters (ts, by, le, value), sampled each minute and reset each day.
+
+    Rows are counted per minute first, so at most 1440 samples per bucket and day are ordered.
+    """
+    per_minute = cumulative_buckets(rows.withColumn("ts", F.date_trunc("minute", "ts")), value, ["ts", *by], bounds)
+    day = Window.partitionBy(*by, "le", F.to_date("ts")).orderBy("ts")
+    total = F.sum("value").over(day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return per_minute.select("ts", *by, "le", total.alias("value"))
+
+
+def windowed_histogram_quantiles(samples: DataFrame, by: Sequence[str], probs: Sequence[float],
+                                 length: str = "1 hour") -> DataFrame:
+    """Quantiles per window and group from what the bucket counters (ts, by, le, value) gained in it.
+
+    Buckets of series that ``by`` does not tell apart must be added up before. A counter's first sample is no gain.
+    """
+    steps = counter_increases(samples, [*by, "le"])
+    gained = steps.groupBy(window_start("ts", length), *by, "le").agg(F.sum("increase").alias("value"))
+    return union_all([histogram_quantile(gained, ["window_start", *by], p) for p in probs])
+
+
 def exact_quantiles(rows: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
                     bin_width: float = 0.25) -> DataFrame:
     """Exact interpolated quantiles, without gathering a group's values in one task.
@@ -161,16 +186,17 @@ def counter_samples(rows: DataFrame, label: str, name: str) -> DataFrame:
         F.lit(None).cast("double").alias("le"), total.cast("double").alias("value"))
 
 
-def counter_increases(samples: DataFrame, series: Sequence[str], policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+def counter_increases(samples: DataFrame, series: Sequence[str], policy: SkewPolicy | None = None) -> DataFrame:
     """Increase and rate from each sample to the next of its series.
 
     A value below its predecessor means the counter restarted, so all of it is new. Unlike
-    Prometheus, nothing is extrapolated to the edges of a range.
+    Prometheus, nothing is extrapolated to the edges of a range. Samples of a minute or more
+    apart need no ``policy``: a series has 1440 a day. With one, large series are split.
     """
-    hot = find_hot_keys(samples, *series, policy=policy)
+    hot = no_hot_keys(*series) if policy is None else find_hot_keys(samples, *series, policy=policy)
     rows = with_neighbour(
-        samples, hot, ["ts"], ["value"], "prev",
-        position=F.unix_micros("ts"), policy=SkewPolicy(hot_rows=policy.hot_rows * 1_000_000))
+        samples, hot, ["ts"], ["value"], "prev", position=F.unix_micros("ts"),
+        policy=SkewPolicy() if policy is None else SkewPolicy(hot_rows=policy.hot_rows * 1_000_000))
     was = F.col("prev_value")
     increase = F.when(F.col("value") < was, F.col("value")).otherwise(F.col("value") - was)
     elapsed = seconds_between(F.col("ts"), F.col("prev_ts"))
@@ -179,7 +205,7 @@ def counter_increases(samples: DataFrame, series: Sequence[str], policy: SkewPol
 
 
 def counter_rate(samples: DataFrame, series: Sequence[str], length: str = "1 hour", seconds: float = HOUR,
-                 policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+                 policy: SkewPolicy | None = None) -> DataFrame:
     """Per window and series: the counter's increase and its average per second."""
     steps = counter_increases(samples, series, policy)
     return steps.groupBy(window_start("ts", length), *series).agg(F.sum("increase").alias("increase")).withColumn(
@@ -217,6 +243,11 @@ def lag_by_source(samples: DataFrame) -> DataFrame:
         "application_name": name, "lag_bytes": F.col("lag_bytes").cast("long")})
 
 
+def freshness_max(samples: DataFrame) -> DataFrame:
+    """One row: the largest number of seconds behind among samples (now, replay_ts)."""
+    return samples.agg(F.max(freshness_seconds(F.col("now"), F.col("replay_ts"))).alias("lag_s"))
+
+
 def freshness_seconds(now: Column, replayed: Column) -> Column:
     """Seconds behind, never negative; null while nothing was replayed."""
     return F.when(replayed.isNotNull(), F.greatest(F.lit(0.0), seconds_between(now, replayed)))

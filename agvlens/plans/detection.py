@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomalies, comms, rules, state
-from .oracle_views import rule_sql
+from .oracle_views import HORIZON, PLAIN_HORIZON, rule_sql
 from .registry import query
 
-HORIZON = "2024-01-01 00:12:00"  # telemetry_fast ends before it
-
 
 def instant(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def anomaly_table(t):
+    """What the rules and the sweeps found in the plain log."""
+    return comms.all_anomalies(t.telemetry(), instant(PLAIN_HORIZON))
+
+
+def anomaly_table_fast(t):
+    return comms.all_anomalies(t.telemetry_fast(), instant(HORIZON))
+
+
 # The two rules with a time bound need the compressed log; the others read the plain one.
 RULE_INPUT = {"stuck": "telemetry_fast", "teleport": "telemetry_fast"}
 _SQL_INPUT = {"telemetry": "prior", "telemetry_fast": "prior_fast"}
@@ -33,24 +40,30 @@ for _rule in rules.RULES:
     _register_rule(_rule)
 
 
-@query("anomalies_all", "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from anomalies_fast")
+@query("anomalies_all", "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from fired_fast")
 def anomalies_all(t):
+    """All rules on readings, without the sweeps."""
     return rules.detect(t.telemetry_fast())
 
 
+@query("anomalies_with_silences", "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from anomalies_fast")
+def anomalies_with_silences(t):
+    return anomaly_table_fast(t)
+
+
 @query("anomaly_counts_by_type", "select anomaly_type, count(*) as n from anomalies_fast group by 1")
 def anomaly_counts_by_type(t):
-    return anomalies.counts_by_type(rules.detect(t.telemetry_fast()))
+    return anomalies.counts_by_type(anomaly_table_fast(t))
 
 
 @query("anomaly_counts_by_vehicle", "select vehicle_id, anomaly_type, count(*) as n from anomalies_fast group by 1, 2")
 def anomaly_counts_by_vehicle(t):
-    return anomalies.counts_by_type(rules.detect(t.telemetry_fast()), "vehicle_id", "anomaly_type")
+    return anomalies.counts_by_type(anomaly_table_fast(t), "vehicle_id", "anomaly_type")
 
 
 @query("latest_anomaly_per_vehicle", "select vehicle_id, anomaly_type, detail, detected_at from latest_anomaly")
 def latest_anomaly_per_vehicle(t):
-    return anomalies.latest_per_vehicle(rules.detect(t.telemetry()))
+    return anomalies.latest_per_vehicle(anomaly_table(t))
 
 
 @query("recent_anomalies", """
@@ -58,7 +71,7 @@ select vehicle_id, anomaly_type, detail, detected_at from anomalies
 where vehicle_id='v-3' and detected_at between timestamp '2024-01-05' and timestamp '2024-01-20'
 order by detected_at, seq, rule_ord""")
 def recent_anomalies(t):
-    return anomalies.recent(rules.detect(t.telemetry()), "v-3", "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z")
+    return anomalies.recent(anomaly_table(t), "v-3", "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z")
 
 
 @query("stuck_dwell", """

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import float_text, iso_utc
-from ..operators import anomalies, board, feed, rules, state, zones
+from ..operators import anomalies, board, comms, feed, state, zones
 from ..operators.skew import union_all
 from ..sources.writers import feed_to_messages
+from .detection import anomaly_table, instant
+from .oracle_views import PLAIN_HORIZON
 from .readings import HALF, first_half
 from .registry import query
 
 
+def whole_feed(t):
+    """Patches of the plain log's readings, and of its silences."""
+    return feed.change_feed(t.telemetry(), until=instant(PLAIN_HORIZON))
+
+
 @query("change_feed", "select seq, slot, type, payload from feed")
 def change_feed(t):
-    return feed.change_feed(t.telemetry()).select("seq", "slot", "type", "payload")
+    return whole_feed(t).select("seq", "slot", "type", "payload")
 
 
 @query("table_changes", """
@@ -23,19 +30,23 @@ select id as seq, 'vehicle_state_changed' as type,
 from maintenance_records where id%3=0
 union all
 select id, 'zone_count_changed', '{"zone_id":"aisle_a","entry_count":' || cast(id as varchar) || '}'
-from maintenance_records where id%3=1""")
+from maintenance_records where id%3=1
+union all
+select id, 'anomaly_detected', '{"vehicle_id":"' || vehicle_id || '","anomaly_type":"error_codes","detail":"' || reason
+  || '","detected_at":"' || strftime(opened_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}'
+from maintenance_records where id%3=2 and id%2=0""")
 def table_changes(t):
-    """Row changes of three tables, one of them unwatched."""
-    which = F.col("id") % 3
+    """Row changes of four tables, one of them unwatched."""
+    which = F.when((F.col("id") % 3 == 2) & (F.col("id") % 2 == 1), 3).otherwise(F.col("id") % 3)
     text = lambda value: F.when(value.isNotNull(), value.cast("string"))
     row = F.struct(
         text(F.col("vehicle_id")).alias("vehicle_id"), F.lit("fault").alias("status"),
-        text(F.col("id")).alias("battery_pct"), F.lit(None).cast("string").alias("anomaly_type"),
-        F.lit(None).cast("string").alias("detail"), F.lit(None).cast("string").alias("detected_at"),
+        text(F.col("id")).alias("battery_pct"), F.lit("error_codes").alias("anomaly_type"),
+        F.col("reason").alias("detail"), iso_utc(F.col("opened_at")).alias("detected_at"),
         F.lit("aisle_a").alias("zone_id"), text(F.col("id")).alias("entry_count"))
     changes = t.maintenance_records().select(
         F.col("id").alias("seq"), F.lit(0).alias("slot"), F.when(which == 0, "vehicle_current_state").when(
-            which == 1, "zone_counts").otherwise("maintenance_records").alias("table"), row.alias("row"))
+            which == 1, "zone_counts").when(which == 2, "anomalies").otherwise("maintenance_records").alias("table"), row.alias("row"))
     return feed.table_changes(changes).select("seq", "type", "payload")
 
 
@@ -56,11 +67,12 @@ def apply_patches(t):
     """Snapshot of the first half of the log, then the feed of the second half folded onto it."""
     telemetry = t.telemetry()
     before = first_half(telemetry)
-    later = feed.change_feed(telemetry).filter(F.col("ts") >= F.lit(HALF).cast("timestamp"))
+    later = whole_feed(t).filter(F.col("ts") >= instant(HALF))
     patches = feed.parse_patches(feed_to_messages(later))
     vehicles = board.fold_vehicles(state.current_state(before), patches)
     counters = board.fold_zones(zones.zone_counts(before), patches)
-    newest = anomalies.latest_per_vehicle(rules.detect(before)).withColumn("detected_at", iso_utc(F.col("detected_at")))
+    earlier = comms.all_anomalies(telemetry, instant(PLAIN_HORIZON)).filter(F.col("detected_at") < instant(HALF))
+    newest = anomalies.latest_per_vehicle(earlier).withColumn("detected_at", iso_utc(F.col("detected_at")))
     alarms = board.fold_anomalies(newest, patches)
     row = lambda entity, key, value: (F.lit(entity).alias("entity"), F.col(key).alias("id"), value.alias("value"))
     return union_all([
@@ -86,4 +98,4 @@ select l.vehicle_id, l.status, l.battery_pct, l.battery_pct<20 as battery_low, a
 from last_reading l left join latest_anomaly a on a.vehicle_id=l.vehicle_id""")
 def fleet_board(t):
     telemetry = t.telemetry()
-    return board.fleet_board(state.current_state(telemetry), anomalies.latest_per_vehicle(rules.detect(telemetry)))
+    return board.fleet_board(state.current_state(telemetry), anomalies.latest_per_vehicle(anomaly_table(t)))

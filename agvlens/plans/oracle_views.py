@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import re
 
-from ..config import LATENCY_BOUNDS_MS, STATUSES, ZONES
+from ..config import FEED_TYPES, LATENCY_BOUNDS_MS, STATUSES, ZONES
 
 _ZONES = ",".join(f"({i},'{z}')" for i, z in enumerate(ZONES))
 _STATUSES = ",".join(f"({i},'{s}')" for i, s in enumerate(STATUSES))
+_KINDS = " ".join(f"when {i} then '{t}'" for i, t in enumerate(FEED_TYPES))
 _BOUNDS = ",".join(f"({b})" for b in (*LATENCY_BOUNDS_MS, "null"))
 
+HORIZON = "2024-01-01 00:12:00"  # telemetry_fast ends before it
+PLAIN_HORIZON = "2024-02-01 00:00:00"  # up to which sweeps ran over the plain log
+
+
+def _episodes(source: str, until: str) -> str:
+    return f"""
+        select seq, vehicle_id, make_timestamp(tick) as detected_at from (
+          select seq, vehicle_id, (epoch_us(recorded_at)+5000000)//1000000*1000000+1000000 as tick,
+            lead(epoch_us(recorded_at)) over (partition by vehicle_id order by seq) as heard from {source})
+        where (heard is null or tick<heard) and tick <= epoch_us(timestamp '{until}')"""
+
+
 VIEWS: dict[str, str] = {
     "zones": f"select * from (values {_ZONES}) as z(ord, zone_id)",
     "statuses": f"select * from (values {_STATUSES}) as s(ord, status)",
@@ -52,6 +65,12 @@ VIEWS: dict[str, str] = {
         select ts, '/' || event_type as route,
           case when k<3 then 422 when k<5 then 404 when k<6 then 500 else 201 end as status_code, value as duration_ms
         from ev""",
+    "unrouted": """
+        select ts, case when k%13<>0 then '/' || event_type end as route, '/' || event_type as path,
+          case when k<3 then 422 when k<5 then 404 when k<6 then 500 else 201 end as status_code, value as duration_ms
+        from ev""",
+    "decoding": f"""
+        select ts, case k%3 {_KINDS} end as type, value/8 as lag_ms from ev""",
     "spans": """
         select event_id - event_id%4 as trace_id, event_id as span_id,
           case when event_id%4>0 then event_id-1 end as parent_span_id,
@@ -79,15 +98,18 @@ VIEWS: dict[str, str] = {
         left join vehicles v on v.vehicle_id=c.vehicle_id""",
     "moves": "select seq, vehicle_id, prior_status, reason from resolved where status='fault' and outcome='applied'",
     "first_moves": "select * from moves qualify row_number() over (partition by vehicle_id order by seq)=1",
-    "episodes": """
-        select seq, vehicle_id, make_timestamp(tick) as detected_at from (
-          select seq, vehicle_id, (epoch_us(recorded_at)+5000000)//1000000*1000000+1000000 as tick,
-            lead(epoch_us(recorded_at)) over (partition by vehicle_id order by seq) as heard from fast)
-        where (heard is null or tick<heard) and tick <= epoch_us(timestamp '2024-01-01 00:12:00')""",
+    "episodes": _episodes("fast", HORIZON),
+    "silences": _episodes("telemetry", PLAIN_HORIZON),
     "latest_anomaly": """
         select vehicle_id, anomaly_type, detail, detected_at from anomalies
         qualify row_number() over (partition by vehicle_id order by detected_at desc, seq desc, rule_ord desc)=1""",
     "feed": """
+        select * from feed_readings
+        union all
+        select seq, 9, 'anomaly_detected', '{"vehicle_id":"' || vehicle_id || '","anomaly_type":"comms_loss","detail":"'
+            || 'no event for over 5s","detected_at":"' || strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}', detected_at
+        from silences""",
+    "feed_readings": """
         select seq, 0 as slot, 'vehicle_state_changed' as type, '{"vehicle_id":"' || vehicle_id || '","status":"' || status
             || '","battery_pct":' || cast(battery_pct as varchar) || '}' as payload, recorded_at as ts from telemetry
         union all
@@ -96,7 +118,7 @@ VIEWS: dict[str, str] = {
         union all
         select seq, 2+rule_ord, 'anomaly_detected', '{"vehicle_id":"' || vehicle_id || '","anomaly_type":"' || anomaly_type
             || '","detail":' || coalesce('"' || detail || '"', 'null') || ',"detected_at":"'
-            || strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}', detected_at from anomalies""",
+            || strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}', detected_at from fired""",
     "metric_samples": """
         select ts, route, cast(sum(n) over (partition by route, cast(ts as date) order by ts) as double) as value from (
           select date_trunc('minute', ts) as ts, route, count(*) as n from requests group by 1, 2)""",
@@ -154,8 +176,33 @@ def rule_sql(name: str, source: str = "prior") -> str:
 
 VIEWS["prior"] = _stateful("telemetry")
 VIEWS["prior_fast"] = _stateful("fast")
-VIEWS["anomalies"] = " union all ".join(rule_sql(n) for n in RULE_SQL)
-VIEWS["anomalies_fast"] = " union all ".join(rule_sql(n, "prior_fast") for n in RULE_SQL)
+VIEWS["fired"] = " union all ".join(rule_sql(n) for n in RULE_SQL)
+VIEWS["fired_fast"] = " union all ".join(rule_sql(n, "prior_fast") for n in RULE_SQL)
+for _table, _rules, _silent in (("anomalies", "fired", "silences"), ("anomalies_fast", "fired_fast", "episodes")):
+    VIEWS[_table] = (
+        f"select * from {_rules} union all select seq, {len(RULE_SQL)}, vehicle_id, 'comms_loss', 'no event for over 5s',"
+        f" detected_at from {_silent}")
+
+
+def windowed_quantiles_sql(source: str, by: str, value: str, probs: tuple[float, ...] = (0.5, 0.95)) -> str:
+    """Hourly quantiles of ``value`` in ``source`` per ``by``, from bucket counters that restart every day."""
+    shares = ", ".join(f"({p}::double)" for p in probs)
+    return f"""
+select window_start, {by}, q, round(case when rank=0 then null when le is null then low when low is null and le<=0 then le
+    else coalesce(low, 0) + (le-coalesce(low, 0))*((rank-below)/(value-below)) end, 6) as quantile
+from (select *, row_number() over (partition by window_start, {by}, q order by le nulls last) as n from (
+    select window_start, {by}, q, le, value, q*max(value) over (partition by window_start, {by}, q) as rank,
+      lag(le) over (partition by window_start, {by}, q order by le nulls last) as low,
+      coalesce(lag(value) over (partition by window_start, {by}, q order by le nulls last), 0) as below
+    from (select date_trunc('hour', ts) as window_start, {by}, le, sum(case when value<was then value else value-was end) as value
+          from (select *, lag(value) over (partition by {by}, le order by ts) as was
+                from (select ts, {by}, le, sum(n) over (partition by {by}, le, cast(ts as date) order by ts) as value
+                      from (select date_trunc('minute', s.ts) as ts, s.{by}, b.le,
+                              count(*) filter (b.le is null or s.{value}<=b.le) as n
+                            from {source} s cross join bounds b group by all)))
+          where was is not null group by all), (values {shares}) as p(q))
+  where value>=rank)
+where n=1"""
 
 
 def with_views(sql: str) -> str:

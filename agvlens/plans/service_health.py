@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import feed, metrics, traces
+from ..operators import metrics, traces
+from .live_view import whole_feed
+from .oracle_views import windowed_quantiles_sql
 from .registry import query
 
 HOUR_SQL = "date_trunc('hour', ts)"
@@ -16,9 +18,10 @@ def rounded(df, *columns: str):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query("request_counts", "select 'POST' as method, route, status_code, count(*) as n from requests group by 2, 3")
+@query("request_counts", """
+select 'POST' as method, coalesce(route, path) as route, status_code, count(*) as n from unrouted group by 2, 3""")
 def request_counts(t):
-    return metrics.request_counts(t.requests())
+    return metrics.request_counts(t.requests_unrouted())
 
 
 @query("request_rate_by_route", f"""
@@ -48,9 +51,10 @@ def latency_histogram(t):
 
 @query("latency_quantiles", """
 select route, q, round(case when q=0.5 then quantile_cont(duration_ms, 0.5) else quantile_cont(duration_ms, 0.95) end, 6) as quantile
-from requests, (values (0.5::double), (0.95::double)) as p(q) group by route, q""")
+from unrouted, (values (0.5::double), (0.95::double)) as p(q) group by route, q""")
 def latency_quantiles(t):
-    return rounded(metrics.exact_quantiles(t.requests(), "duration_ms", ["route"], PROBS), "quantile")
+    """Requests without a route are a group of their own."""
+    return rounded(metrics.exact_quantiles(t.requests_unrouted(), "duration_ms", ["route"], PROBS), "quantile")
 
 
 @query("latency_quantiles_sketch")
@@ -72,10 +76,28 @@ def histogram_quantile(t):
     return rounded(metrics.histogram_quantile(buckets, ["route"], 0.95), "quantile")
 
 
+@query("histogram_quantile_windowed", windowed_quantiles_sql("requests", "route", "duration_ms"))
+def histogram_quantile_windowed(t):
+    samples = metrics.bucket_samples(t.requests(), "duration_ms", ["route"])
+    return rounded(metrics.windowed_histogram_quantiles(samples, ["route"], PROBS), "quantile")
+
+
+@query("decode_lag_quantiles_by_type", windowed_quantiles_sql("decoding", "type", "lag_ms"))
+def decode_lag_quantiles_by_type(t):
+    samples = metrics.bucket_samples(t.decode_samples(), "lag_ms", ["type"])
+    return rounded(metrics.windowed_histogram_quantiles(samples, ["type"], PROBS), "quantile")
+
+
+@query("decode_lag_quantiles", windowed_quantiles_sql("(select ts, 'all' as type, lag_ms from decoding)", "type", "lag_ms"))
+def decode_lag_quantiles(t):
+    samples = metrics.bucket_samples(t.decode_samples().withColumn("type", F.lit("all")), "lag_ms", ["type"])
+    return rounded(metrics.windowed_histogram_quantiles(samples, ["type"], PROBS), "quantile")
+
+
 @query("feed_throughput_by_type", f"""
 select {HOUR_SQL} as window_start, type, count(*) as n, count(*)/3600.0::double as rate_per_s from feed group by 1, 2""")
 def feed_throughput_by_type(t):
-    return metrics.rate_per_window(feed.change_feed(t.telemetry()), ["type"])
+    return metrics.rate_per_window(whole_feed(t), ["type"])
 
 
 @query("feed_rate_sliding", """
@@ -84,7 +106,7 @@ select window_start, type, cast(sum(n) as bigint) as n, sum(n)/240.0::double as
   from (select date_trunc('minute', ts) as minute, type, count(*) as n from feed group by 1, 2))
 group by 1, 2""")
 def feed_rate_sliding(t):
-    return metrics.sliding_rate(feed.change_feed(t.telemetry()), ["type"])
+    return metrics.sliding_rate(whole_feed(t), ["type"])
 
 
 @query("stage_throughput", """
@@ -97,7 +119,7 @@ group by 1""")
 def stage_throughput(t):
     stage = lambda df, name, ts="ts": df.select(F.col(ts).alias("ts"), F.lit(name).alias("stage"))
     stages = stage(t.requests(), "ingress").unionByName(
-        stage(feed.change_feed(t.telemetry()), "publish")).unionByName(
+        stage(whole_feed(t), "publish")).unionByName(
         stage(t.spans().filter(F.col("kind") == "CONSUMER"), "deliver", "start_ts"))
     return metrics.stage_throughput(stages, ["ingress", "publish", "deliver"])
 
@@ -140,6 +162,19 @@ def lag_max_by_source(t):
     return metrics.gauge_max(samples, ["application_name"], [], "lag_bytes", ("ts", "lag_bytes"))
 
 
+@query("lag_max_total", """
+select max(lag_bytes) as lag_bytes from (
+  select application_name, max_by(lag_bytes, (ts, lag_bytes)) as lag_bytes from lag_reported group by 1)""")
+def lag_max_total(t):
+    samples = metrics.lag_by_source(t.lag_samples())
+    return metrics.gauge_max(samples, [], ["application_name"], "lag_bytes", ("ts", "lag_bytes"))
+
+
+@query("freshness_lag_max", "select max(case when k%7<>0 then greatest(0.0, (k-5)*0.25)::double end) as lag_s from ev")
+def freshness_lag_max(t):
+    return metrics.freshness_max(t.replay_samples())
+
+
 @query("freshness_lag", """
 select event_id as seq, case when k%7<>0 then greatest(0.0, (k-5)*0.25)::double end as lag_s from ev""")
 def freshness_lag(t):

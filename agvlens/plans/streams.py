@@ -45,13 +45,13 @@ def _telemetry_job(t, log: DataFrame, after=None) -> jobs.TelemetryJob:
     return job
 
 
-@query("stream_anomalies", "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from anomalies_fast")
+@query("stream_anomalies", "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from fired_fast")
 def stream_anomalies(t):
     return _telemetry_job(t, t.telemetry_fast()).anomalies().drop("batch_id")
 
 
 @query("stream_anomalies_stateful",
-       "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from anomalies_fast")
+       "select seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at from fired_fast")
 def stream_anomalies_stateful(t):
     root = scratch_dir(t.spark, "anomaly-stream")
     deliver(t.telemetry_fast(), TELEMETRY, root, lambda s: stateful.start_anomalies(s, root).awaitTermination(),
@@ -59,7 +59,7 @@ def stream_anomalies_stateful(t):
     return BatchStore(t.spark, root).read("anomalies", ANOMALIES).drop("batch_id")
 
 
-@query("stream_change_feed", "select seq, slot, type, payload from feed")
+@query("stream_change_feed", "select seq, slot, type, payload from feed_readings")
 def stream_change_feed(t):
     return _telemetry_job(t, t.telemetry()).change_feed().select("seq", "slot", "type", "payload")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ZONES
+from ..config import FEED_TYPES, ZONES
 from ..operators.metrics import counter_samples
 from ..session import pin_utc
 
@@ -169,12 +169,25 @@ class DriverTables:
             F.col("event_id").alias("seq"), vehicle_name(F.col("user_id")).alias("vehicle_id"), raw.alias("raw"))
 
     def requests(self) -> DataFrame:
+        return self._requests(F.concat(F.lit("/"), F.col("event_type")))
+
+    def requests_unrouted(self) -> DataFrame:
+        """Requests with their path, some of which matched no route."""
+        path = F.concat(F.lit("/"), F.col("event_type"))
+        return self._requests(F.when(k() % 13 != 0, path), path.alias("path"))
+
+    def _requests(self, route: Column, *more: Column) -> DataFrame:
         code = F.when(k() < 3, 422).when(k() < 5, 404).when(k() < 6, 500).otherwise(201)
         return self.events().select(
-            "ts", F.lit("POST").alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("route"),
-            code.alias("status_code"), F.col("value").alias("duration_ms"),
+            "ts", F.lit("POST").alias("method"), route.alias("route"), code.alias("status_code"),
+            F.col("value").alias("duration_ms"), *more,
         )
 
+    def decode_samples(self) -> DataFrame:
+        """Milliseconds from decoding a change to publishing it, per feed type."""
+        kind = F.element_at(F.array(*[F.lit(x) for x in FEED_TYPES]), (k() % 3 + 1).cast("int"))
+        return self.events().select("ts", kind.alias("type"), (F.col("value") / 8).alias("lag_ms"))
+
     def metric_samples(self) -> DataFrame:
         """Requests so far per route, sampled each minute; the counter restarts every day."""
         return counter_samples(self.requests(), "route", "requests_total")
