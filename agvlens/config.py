@@ -83,9 +83,8 @@ class SkewPolicy:
     """When and how far a key's rows are split over several tasks.
 
     A key with more than about ``hot_rows`` rows is cut into slices of its ordering
-    column, each ``hot_rows`` wide; the ordering column of the telemetry log is a unique
-    sequence number, so a slice can never hold more than ``hot_rows`` rows. Only the
-    layout depends on these numbers, never a result.
+    column, wide enough for about ``hot_rows`` of its rows if these are spread evenly.
+    Only the layout depends on these numbers, never a result.
     """
 
     hot_rows: int = 2_000_000

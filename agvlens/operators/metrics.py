@@ -193,7 +193,7 @@ def counter_increases(samples: DataFrame, series: Sequence[str], policy: SkewPol
     Prometheus, nothing is extrapolated to the edges of a range. Samples of a minute or more
     apart need no ``policy``: a series has 1440 a day. With one, large series are split.
     """
-    hot = no_hot_keys(*series) if policy is None else find_hot_keys(samples, *series, policy=policy)
+    hot = no_hot_keys(*series) if policy is None else find_hot_keys(samples, *series, position=F.unix_micros("ts"), policy=policy)
     rows = with_neighbour(
         samples, hot, ["ts"], ["value"], "prev", position=F.unix_micros("ts"),
         policy=SkewPolicy() if policy is None else SkewPolicy(hot_rows=policy.hot_rows * 1_000_000))

@@ -2,22 +2,25 @@
 
 A plain ``lag(...) over (partition by key order by seq)`` sends all rows of a key to one
 task. Here the rows of a hot key are cut into slices of the ordering column; each slice is
-processed on its own and one summary row per slice carries what the next slice needs.
+processed on its own, led by one row that carries what it needs from the slices before.
 Cold keys keep the single-shuffle plan.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import SkewPolicy
 
 SLICE = "_slice"
-_COLD = -1
+_COLD = -(1 << 63)  # the slice of keys that are not split
+_SEED, _WIDTH = "_seed", "_width"
 
 
 @dataclass(frozen=True)
@@ -31,16 +34,15 @@ class HotKeys:
     def __bool__(self) -> bool:
         return self.everything or self.table is not None
 
-    def mark(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` with a boolean column telling hot rows apart."""
-        if self.everything:
-            return df.withColumn(name, F.lit(True))
-        if self.table is None:
-            return df.withColumn(name, F.lit(False))
+    def mark(self, df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
+        """``df`` with a column that holds ``value`` (over the table; default: true) for hot rows and null for others."""
+        value = F.lit(True) if value is None else value
+        if self.everything or self.table is None:
+            return df.withColumn(name, F.lit(True if self.everything else None).cast("boolean"))
         # at most SkewPolicy.max_hot_keys rows, see find_hot_keys
-        flagged = self.table.select(*self.key, F.lit(True).alias(name))
-        joined = df.join(F.broadcast(flagged), list(self.key), "left")
-        return joined.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+        flagged = self.table.select(*[F.col(k).alias(f"_hot_{k}") for k in self.key], value.alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in self.key]
+        return df.join(F.broadcast(flagged), reduce(Column.__and__, same), "left").drop(*[f"_hot_{k}" for k in self.key])
 
 
 def every_key(*key: str) -> HotKeys:
@@ -52,39 +54,46 @@ def no_hot_keys(*key: str) -> HotKeys:
     return HotKeys(key)
 
 
-def find_hot_keys(df: DataFrame, *key: str, policy: SkewPolicy = SkewPolicy()) -> HotKeys:
-    """Find keys with more than about ``policy.hot_rows`` rows by a seeded sample.
+def find_hot_keys(df: DataFrame, *key: str, position: Column | None = None,
+                  policy: SkewPolicy = SkewPolicy()) -> HotKeys:
+    """Find keys with more than about ``policy.hot_rows`` rows by a seeded sample, and how wide their slices must be.
 
-    Reads the key columns only, and brings at most ``max_hot_keys`` of them to the driver,
-    the heaviest first. A key the sample misses merely stays in one slice.
+    Reads the key columns and ``position`` (default: ``seq`` if there is one) only. Null is a key
+    like any other. A key's slices are as wide as its own positions are sparse, for about
+    ``hot_rows`` rows each. Should more than ``max_hot_keys`` keys be that large, those are
+    hot that hold more than one ``max_hot_keys``-th of all rows, of which there are fewer. A key the sample
+    misses merely stays in one slice.
     """
     fraction = min(1.0, policy.sample_hits / policy.hot_rows)
     needed = fraction * policy.hot_rows
-    rows = (
-        df.select(*key).sample(fraction, seed=17)
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > needed)
-        .orderBy(F.desc("_n"), *key).limit(policy.max_hot_keys)
-        .collect()
-    )
-    if not rows:
+    if position is None and "seq" in df.columns:
+        position = F.col("seq")
+    place = F.lit(None).cast("long") if position is None else position
+    counts = df.select(*key, place.alias("_at")).sample(fraction, seed=17).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max("_at") - F.min("_at") + 1).alias("_span"))
+    heavy = counts.filter(F.col("_n") > needed).orderBy(F.desc("_n"), *key).limit(policy.max_hot_keys + 1).collect()
+    if len(heavy) > policy.max_hot_keys:
+        needed = counts.agg(F.sum("_n")).first()[0] / policy.max_hot_keys
+        heavy = [r for r in heavy if r["_n"] > needed]
+    if not heavy:
         return HotKeys(key)
-    schema = df.select(*key).schema
-    table = df.sparkSession.createDataFrame([tuple(r[k] for k in key) for r in rows], schema)
-    return HotKeys(key, table.dropna())
+
+    def width(r) -> int | None:
+        return None if r["_span"] is None else max(1, math.ceil(r["_span"] / math.ceil(r["_n"] / needed)))
+
+    schema = StructType([*df.select(*key).schema.fields, StructField("width", LongType())])
+    for f in schema.fields:
+        f.nullable = True
+    return HotKeys(key, df.sparkSession.createDataFrame([(*(r[k] for k in key), width(r)) for r in heavy], schema))
 
 
 def sliced(df: DataFrame, hot: HotKeys, position: Column, width: int) -> DataFrame:
-    """Add the slice number and place rows by (key, slice); ``position`` is a long."""
-    number = F.floor(position / F.lit(width)).cast("long")
+    """Add the slice number; ``position`` is a long, ``width`` its span of a slice where the key has none of its own."""
     if hot.everything:
-        tagged = df.withColumn(SLICE, number)
-    else:
-        tagged = hot.mark(df, "_hot")
-        tagged = tagged.withColumn(SLICE, F.when(F.col("_hot"), number).otherwise(F.lit(_COLD))).drop("_hot")
-    # Explicit, because a partitioning by the key alone (after a join, say) would also be
-    # accepted for the windows below and bring the hot key back together.
-    return tagged.repartition(*hot.key, SLICE)
+        return df.withColumn(SLICE, F.floor(position / F.lit(width)).cast("long"))
+    marked = hot.mark(df, _WIDTH, F.coalesce(F.col("width"), F.lit(width)))
+    number = F.floor(position / F.col(_WIDTH)).cast("long")
+    return marked.withColumn(SLICE, F.coalesce(number, F.lit(_COLD))).drop(_WIDTH)
 
 
 def with_neighbour(
@@ -111,16 +120,33 @@ def with_neighbour(
     if not hot:
         return looked_up(df, *key)
 
-    rows = sliced(df, hot, F.col(order[0]) if position is None else position, policy.hot_rows)
+    tagged = sliced(df, hot, F.col(order[0]) if position is None else position, policy.hot_rows)
     edge = (F.min_by if following else F.max_by)(F.struct(*wanted), F.struct(*order))
-    edges = rows.filter(F.col(SLICE) != _COLD).groupBy(*key, SLICE).agg(edge.alias("_edge"))
+    edges = tagged.filter(F.col(SLICE) != _COLD).groupBy(*key, SLICE).agg(edge.alias("_edge"))
     carried = edges.select(
         *key, SLICE, step("_edge").over(Window.partitionBy(*key).orderBy(SLICE)).alias("_carried"),
     ).filter(F.col("_carried").isNotNull())
-    joined = looked_up(rows, *key, SLICE).join(carried, [*key, SLICE], "left")
-    first = F.col(f"{name}_{order[0]}").isNull()
-    return joined.select(*df.columns, *[
-        F.when(first, F.col(f"_carried.{c}")).otherwise(F.col(n)).alias(n) for c, n in zip(wanted, named)])
+    rows = _seeded(tagged, carried, hot, {c: F.col(f"_carried.{c}") for c in wanted})
+    seed_order = F.asc(_SEED) if following else F.desc(_SEED)
+    w = Window.partitionBy(*key, SLICE).orderBy(seed_order, *order)
+    found = rows.select("*", *[step(c).over(w).alias(n) for c, n in zip(wanted, named)])
+    return found.filter(~F.col(_SEED)).select(*df.columns, *named)
+
+
+def _seeded(tagged: DataFrame, carried: DataFrame, hot: HotKeys, values: dict[str, Column]) -> DataFrame:
+    """``tagged`` and, in each slice that something is carried into, one more row that holds it; placed by slice.
+
+    What is carried comes from an aggregate that combines before its shuffle, and reaches the slice as a row
+    instead of by a join, so every row is shuffled once, and null keys are keys like any other.
+    """
+    own = {*hot.key, SLICE}
+    filled = [
+        F.col(f.name) if f.name in own else values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in tagged.schema.fields]
+    seeds = carried.select(*filled, F.lit(True).alias(_SEED))
+    # Explicit, because a partitioning by the key alone (after a join, say) would also be
+    # accepted for the windows to come and bring the hot key back together.
+    return tagged.withColumn(_SEED, F.lit(False)).unionByName(seeds).repartition(*hot.key, SLICE)
 
 
 def with_running_sum(
@@ -135,17 +161,15 @@ def with_running_sum(
         w = Window.partitionBy(*key).orderBy(*order).rowsBetween(*frame)
         return df.withColumn(name, F.sum("_value").over(w)).drop("_value")
 
-    rows = sliced(df, hot, F.col(order[0]) if position is None else position, policy.hot_rows)
-    local = rows.withColumn(
-        name, F.sum("_value").over(Window.partitionBy(*key, SLICE).orderBy(*order).rowsBetween(*frame)),
-    )
-    totals = rows.filter(F.col(SLICE) != _COLD).groupBy(*key, SLICE).agg(F.sum("_value").alias("_total"))
+    tagged = sliced(df, hot, F.col(order[0]) if position is None else position, policy.hot_rows)
+    totals = tagged.filter(F.col(SLICE) != _COLD).groupBy(*key, SLICE).agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*key, SLICE, F.sum("_total").over(before).alias("_base")).filter(
         F.col("_base").isNotNull())
-    joined = local.join(bases, [*key, SLICE], "left")
-    total = F.col(name) + F.coalesce(F.col("_base"), F.lit(0))
-    return joined.select(*columns, total.alias(name))
+    wide = tagged.withColumn("_value", F.col("_value").cast(totals.schema["_total"].dataType))
+    rows = _seeded(wide, bases, hot, {"_value": F.col("_base")})
+    w = Window.partitionBy(*key, SLICE).orderBy(F.desc(_SEED), *order).rowsBetween(*frame)
+    return rows.withColumn(name, F.sum("_value").over(w)).filter(~F.col(_SEED)).select(*columns, name)
 
 
 def join_dimension(

@@ -67,10 +67,37 @@ def test_only_large_keys_are_hot(log):
 
 
 def test_a_hot_key_is_spread_and_its_slices_are_bounded(log):
+    n = log.filter("key = 'hot'").count()
+    for apart in (1, 1 << 16):  # a dense log, and positions as a partitioned queue numbers them
+        sparse = log.withColumn("seq", F.col("seq") * apart)
+        hot = skew.find_hot_keys(sparse, "key", policy=TINY)
+        sizes = skew.sliced(sparse, hot, F.col("seq"), TINY.hot_rows).filter("key = 'hot'").groupBy(skew.SLICE).count()
+        assert n / TINY.hot_rows <= sizes.count() <= n / TINY.hot_rows + 2
+        assert sizes.agg(F.max("count")).first()[0] <= 2 * TINY.hot_rows
+
+
+def test_null_keys_and_negative_positions_are_split_too(log):
+    odd = log.select((F.col("seq") - 2500).alias("seq"), F.when(F.col("key") != "hot", F.col("key")).alias("key"), "x")
+    hot = skew.find_hot_keys(odd, "key", policy=TINY)
+    assert skew.sliced(odd, hot, F.col("seq"), TINY.hot_rows).filter("key is null").select(skew.SLICE).distinct().count() > 10
+    for split in (hot, skew.every_key("key")):
+        for got, want in ((skew.with_neighbour(odd, split, ["seq"], ["x"], "n", policy=TINY), skew.with_neighbour(odd, skew.no_hot_keys("key"), ["seq"], ["x"], "n")),
+                          (skew.with_running_sum(odd, split, ["seq"], F.col("x"), "s", policy=TINY), skew.with_running_sum(odd, skew.no_hot_keys("key"), ["seq"], F.col("x"), "s"))):
+            assert rows_of(got) == rows_of(want)
+
+
+def test_no_key_is_left_out_where_more_are_large_than_may_be_hot(log):
+    few = SkewPolicy(hot_rows=5, sample_hits=5, max_hot_keys=10)
+    found = {r["key"] for r in skew.find_hot_keys(log, "key", policy=few).table.collect()}
+    total = log.count()
+    assert found == {r["key"] for r in log.groupBy("key").count().collect() if r["count"] > total / 10}
+
+
+def test_rows_are_shuffled_once_and_totals_combined_before(log):
     hot = skew.find_hot_keys(log, "key", policy=TINY)
-    sizes = skew.sliced(log, hot, F.col("seq"), TINY.hot_rows).filter("key = 'hot'").groupBy(skew.SLICE).count()
-    assert sizes.count() > 50
-    assert sizes.agg(F.max("count")).first()[0] <= TINY.hot_rows
+    plan = skew.with_running_sum(log, hot, ["seq"], F.col("x"), "s", policy=TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+    assert "partial_sum" in plan and "SortMergeJoin" not in plan
 
 
 def test_hot_slices_survive_a_partitioning_by_the_key_alone(log):
