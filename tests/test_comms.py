@@ -2,7 +2,7 @@ from conftest import at, rows_of
 from pyspark.sql import functions as F
 
 from agvlens.config import SkewPolicy
-from agvlens.operators import comms, state
+from agvlens.operators import anomalies, comms, feed, state
 from agvlens.schemas import SWEPT
 
 
@@ -75,3 +75,16 @@ def test_dwell_needs_an_unbroken_run(telemetry):
     for policy in (SkewPolicy(), SkewPolicy(hot_rows=5, sample_hits=5)):
         assert rows_of(comms.stuck_dwell(df, policy=policy), "vehicle_id", "readings", "dwell_s") == [
             ("a", 12, 11.0), ("d", 2, 10.0)]
+
+
+def test_silences_stand_in_the_anomaly_table_and_in_the_feed(telemetry):
+    df = telemetry(dict(vehicle_id="a", status="fault", at=0), dict(vehicle_id="b", at=1), dict(vehicle_id="a", at=20))
+    until = F.lit(at(30))
+    table = comms.all_anomalies(df, until)
+    assert rows_of(table, "seq", "rule_ord", "anomaly_type") == [
+        (0, 0, "fault_status"), (0, 7, "comms_loss"), (1, 7, "comms_loss"), (2, 7, "comms_loss")]
+    newest = {r["vehicle_id"]: (r["anomaly_type"], r["detected_at"]) for r in anomalies.latest_per_vehicle(table).collect()}
+    assert newest == {"a": ("comms_loss", at(26).replace(tzinfo=None)), "b": ("comms_loss", at(7).replace(tzinfo=None))}
+    patches = feed.change_feed(df, until=until).filter("slot = 9")
+    assert rows_of(patches, "seq", "type") == [(i, "anomaly_detected") for i in range(3)]
+    assert feed.change_feed(df).filter("slot = 9").count() == 0

@@ -125,3 +125,10 @@ def test_traces(spark):
     assert [r["trace_id"] for r in traces.recent_traces(df, "api", 1).collect()] == [2]
     assert rows_of(traces.span_search(df, "api", "GET", {"m": "GET"}), "span_id") == [(11,)]
     assert traces.span_search(df, "api", "GET", {"m": "PUT"}).count() == 0
+
+
+def test_quantiles_of_what_bucket_counters_gained(spark):
+    df = requests(spark, (0, "/a", 201, 1), *[(60, "/a", 201, v) for v in (2, 4, 7, 8)], (86_400, "/a", 201, 20), (86_460, "/a", 201, 9))
+    samples = metrics.bucket_samples(df, "duration_ms", ["route"], (5, 10))
+    got = metrics.windowed_histogram_quantiles(samples, ["route"], [0.5, 0.75])
+    assert [v for *_, v in sorted(tuple(r) for r in got.select("window_start", "q", "quantile").collect())] == [5.0, 7.5, 10.0, 10.0]
