@@ -2,6 +2,7 @@
 
 import math
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -15,8 +16,8 @@ QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for table in ("events", "orders"):
-        con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
+    for path in Path(DIR).glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
     return con
 
 
