@@ -35,9 +35,15 @@ def group_key(*columns: str) -> Column:
     return F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit(NO_SITE)) for c in columns])
 
 
-def row_digest(columns: list[str]) -> Column:
-    """Equal for rows that agree in all ``columns``, nulls included."""
-    return F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in columns])
+def row_digest(columns: list[str], salt: int = 0) -> Column:
+    """Equal for rows that agree in all ``columns``, nulls included; another ``salt`` gives a digest of its own."""
+    parts = [F.struct(F.col(f"`{c}`").isNull().alias("n"), F.col(f"`{c}`").alias("v")) for c in columns]
+    return F.xxhash64(*([F.lit(salt)] if salt else []), *parts)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, so that no name of theirs meets a working column's; ``doc.*`` restores them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
 
 
 def per_batch(df: DataFrame, schema: str, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

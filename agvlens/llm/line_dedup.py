@@ -80,6 +80,8 @@ def page_lines(pages: DataFrame, **options) -> DataFrame:
 
 def document_lines(docs: DataFrame, **options) -> DataFrame:
     """The same on ``documents``, the source being the site; returns the columns it was given, n_chars renewed."""
-    site = group_key("source")
-    clean = drop_boilerplate(docs.drop("n_lines", "n_dropped"), site, F.col("text"), **options)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # as one, so that no names clash
+    slim = docs.select(others.alias("doc"), group_key("source").alias("site"), F.col("text").alias("body"))
+    clean = drop_boilerplate(slim, F.col("site"), F.col("body"), **options)
+    renewed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return clean.select(*[renewed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

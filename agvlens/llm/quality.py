@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_key, written
+from .common import group_key, whole_row, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8  # words in a repeated window
@@ -249,5 +249,5 @@ def keep_good(docs: DataFrame, bounds: QualityBounds = QualityBounds()) -> DataF
     """The documents that are kept, with the columns they came with. Texts are not shuffled."""
     slim = docs.select("lang", "source", text_statistics("text").alias("stats"))
     model = fit(written(slim, "quality-stats"), bounds)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "lang", "source", text_statistics("text").alias("stats"))
+    own = docs.select(whole_row(docs), "lang", "source", text_statistics("text").alias("stats"))
     return verdicts(own, model, bounds).filter("kept").select("doc.*")

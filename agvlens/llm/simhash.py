@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, row_digest, written
+from .common import ASCII_LOWER, row_digest, whole_row, written
 from .components import components
 
 BITS = 64
@@ -112,15 +112,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class: that of the smallest doc_id (ties: the smallest digest), with its columns."""
-    columns = docs.columns
-    digest = row_digest(columns)
+    """One document of each class: that of the smallest doc_id (ties: the smallest digest), with its columns.
+
+    Documents are told apart by a digest of 128 bits, since with billions of rows some agree in 64.
+    """
+    digest = F.struct(row_digest(docs.columns).alias("a"), row_digest(docs.columns, 1).alias("b"))
     slim = docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), fingerprints(F.col("text")).alias("fp"))
     prints = written(slim, "simhash-prints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     least = prints.groupBy("fp").agg(F.min(order).alias("least"))
     roots = written(classes(prints, **options), "simhash-roots")
     placed = least.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    first = placed.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.digest").alias("__digest"))
-    own = docs.withColumn("__digest", digest)
-    return own.join(first, "__digest", "left_semi").dropDuplicates(["__digest"]).select(columns)
+    first = placed.groupBy("root").agg(F.min("least").alias("first")).select("first.digest")
+    own = docs.select(whole_row(docs), digest.alias("digest"))
+    return own.join(first, "digest", "left_semi").dropDuplicates(["digest"]).select("doc.*")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_digest, written
+from .common import row_digest, whole_row, written
 
 BITMAP_BITS = 24
 
@@ -184,5 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:
     """The documents that hold no benchmark item, with the columns they came with."""
-    bad = written(leaks(docs, benchmark, matching).select(F.col("r").alias("__r")).distinct(), "template-leaks")
-    return docs.withColumn("__r", row_digest(["doc_id", "text"])).join(bad, "__r", "left_anti").select(docs.columns)
+    bad = written(leaks(docs, benchmark, matching).select("doc_id", "r").distinct(), "template-leaks")
+    own = docs.select(whole_row(docs), row_digest(["doc_id", "text"]).alias("r"))
+    same = (F.col("own.r") == F.col("bad.r")) & F.col("own.doc.doc_id").eqNullSafe(F.col("bad.doc_id"))
+    return own.alias("own").join(bad.alias("bad"), same, "left_anti").select("doc.*")

@@ -11,6 +11,7 @@ import xxhash
 from agvlens.llm import bpe, lm, sharding, simhash, templates
 from agvlens.llm.components import components
 from agvlens.llm.gru import Model, Shape, start_weights
+from pyspark.sql import functions as F
 
 TEXTS = [None, "", "Hello world", "  a\n\n b  ", "<|endoftext|>x<|endoftext|>", "漢字と🙂 don't I'LL", "x" * 700 + "é" * 300, "\x85　\x1c1²Ⅷ", "=-" * 300, "word " * 70_000]
 
@@ -163,3 +164,24 @@ def test_pipeline_stages(spark, tmp_path, documents, prose):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.collect()} == set(range(60))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "tokenize"]
+
+
+#: Names that operators use for columns of their own, and one that needs quoting.
+CLASHING = ("n_lines", "n_dropped", "doc", "digest", "id", "fp", "r", "__r", "__digest", "__key", "site", "body", "stats", "kept", "pool", "x0", "a.b")
+
+
+def test_stages_leave_other_columns_alone(spark, documents, prose):
+    from agvlens.llm import line_dedup, quality
+
+    leak = prose(500, 40)
+    docs = documents(*[(prose(i, 60) + "\nMenu", "en", "a") for i in range(8)], (prose(3, 60) + "\nMenu", "en", "a", 3), (leak, "en", "a", None), (None, None, None, None))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    stages = {"quality": quality.keep_good(docs), "lines": line_dedup.document_lines(docs), "copies": simhash.keep_first(docs), "leaks": templates.drop_leaks(docs, bench)}
+    counts = {}
+    for name, out in stages.items():
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        counts[name] = len(rows)
+        assert all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASHING), name
+    assert counts == {"quality": 10, "lines": 11, "copies": 10, "leaks": 10}
