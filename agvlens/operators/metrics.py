@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATENCY_BOUNDS_MS, SkewPolicy, SloBounds
 from ..functions import seconds_between
-from .skew import every_key, find_hot_keys, join_dimension, no_hot_keys, union_all, with_neighbour, with_running_sum
+from .skew import SLICE, every_key, find_hot_keys, join_dimension, no_hot_keys, union_all, with_neighbour
 
 HOUR = 3600.0
 # Counts in a window become per-second rates by dividing by its length.
@@ -124,32 +125,37 @@ def windowed_histogram_quantiles(samples: DataFrame, by: Sequence[str], probs: S
 
 
 def exact_quantiles(rows: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                    bin_width: float = 0.25) -> DataFrame:
+                    slices: int = 128) -> DataFrame:
     """Exact interpolated quantiles, without gathering a group's values in one task.
 
-    Equal values are counted together, the counts are accumulated in value order by slices
-    of ``bin_width``, and the value at a rank is the least one whose running count exceeds it.
-    A null in ``by`` makes a group like any other; NaN is the largest value.
+    Equal values are counted together. A sketch of each group's values cuts them into ``slices`` of about equal
+    depth, whatever their unit; the exact totals of the slices tell which ones hold a wanted rank, and only those are
+    put in order. A null in ``by`` makes a group like any other; NaN is the largest value.
     """
     keys = ["_group", *by]  # the group as text, which is never null, so that joins keep null groups
     rows = rows.withColumn("_group", F.to_json(F.struct(*by)) if by else F.lit(""))
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    groups = every_key("_group")
-    last = F.lit((1 << 63) - 1)
-    upto = with_running_sum(
-        counts, groups, ["_v"], F.col("_n"), "_upto",
-        position=F.when(F.isnan("_v"), last).otherwise(F.floor(F.col("_v") / F.lit(bin_width)).try_cast("long")),
-        policy=SkewPolicy(hot_rows=1))
-    sizes = counts.groupBy("_group").agg(F.sum("_n").alias("_size"))
-    ranked = join_dimension(upto, sizes, groups, "_v", "inner")
+    edges = [i / slices for i in range(1, slices)]
+    cuts = counts.groupBy("_group").agg(
+        F.percentile_approx(F.when(~F.isnan("_v"), F.col("_v")), edges, 10 * slices).alias("_cuts"))
+    tagged = join_dimension(counts, cuts, every_key("_group"), "_v", "inner").select(
+        *keys, "_v", "_n", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(-1)).alias(SLICE))
+    totals = tagged.groupBy("_group", SLICE).agg(F.sum("_n").alias("_in"))  # a row per slice of a group
+    group = Window.partitionBy("_group")
+    totals = totals.select("_group", SLICE, "_in", F.sum("_in").over(group).alias("_size"),
+                           (F.sum("_in").over(group.orderBy(SLICE)) - F.col("_in")).alias("_before"))
+    places = [(F.col("_size") - 1) * F.lit(float(p)) for p in probs]
+    held = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_in")) for x in places for r in (F.floor(x), F.ceil(x))]
+    wanted = totals.filter(reduce(Column.__or__, held)).drop("_in")
+    run = Window.partitionBy("_group", SLICE).orderBy("_v")
+    ranked = tagged.join(wanted, ["_group", SLICE]).withColumn("_upto", F.sum("_n").over(run) + F.col("_before"))
 
     def at_rank(rank: Column, name: str) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.col("_v"))).alias(name)
 
     aggregates, results = [], []
-    for i, p in enumerate(probs):
-        place = (F.col("_size") - 1) * F.lit(float(p))
+    for i, (p, place) in enumerate(zip(probs, places, strict=True)):
         aggregates += [
             at_rank(F.floor(place), f"_lo{i}"), at_rank(F.ceil(place), f"_hi{i}"),
             F.max(place - F.floor(place)).alias(f"_part{i}"),

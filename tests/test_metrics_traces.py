@@ -58,6 +58,11 @@ def test_exact_quantiles(spark):
     assert len(got) == 12
     overall = metrics.exact_quantiles(df, "v", [], [0.95]).first()["quantile"]
     assert overall == pytest.approx(np.quantile(sum(values.values(), []), 0.95))
+    for unit in (1e-3, 1e6):  # slices follow the data, not their unit
+        scaled = df.withColumn("v", F.col("v") * unit)
+        for slices in (3, 128):
+            found = metrics.exact_quantiles(scaled, "v", ["g"], [0.25, 0.95], slices=slices).collect()
+            assert all(r["quantile"] == pytest.approx(np.quantile(values[r["g"]], r["q"]) * unit) for r in found) and len(found) == 6
     sketch = metrics.approx_quantiles(df, "v", ["g"], [0.5]).filter("g = 'b'").first()["quantile"]
     assert sketch == 7.0
 
