@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import VEHICLE_STATE_CHANGED, ZONE_COUNT_CHANGED
 from ..functions import float_text, iso_utc
 from ..operators import anomalies, board, comms, feed, state, zones
-from ..operators.skew import union_all
 from ..sources.writers import feed_to_messages
 from .detection import anomaly_table, instant
 from .oracle_views import PLAIN_HORIZON
@@ -69,17 +69,15 @@ def apply_patches(t):
     before = first_half(telemetry)
     later = whole_feed(t).filter(F.col("ts") >= instant(HALF))
     patches = feed.parse_patches(feed_to_messages(later))
-    vehicles = board.fold_vehicles(state.current_state(before), patches)
-    counters = board.fold_zones(zones.zone_counts(before), patches)
     earlier = comms.all_anomalies(telemetry, instant(PLAIN_HORIZON)).filter(F.col("detected_at") < instant(HALF))
     newest = anomalies.latest_per_vehicle(earlier).withColumn("detected_at", iso_utc(F.col("detected_at")))
-    alarms = board.fold_anomalies(newest, patches)
-    row = lambda entity, key, value: (F.lit(entity).alias("entity"), F.col(key).alias("id"), value.alias("value"))
-    return union_all([
-        vehicles.select(*row("vehicle", "vehicle_id", F.concat_ws(" ", "status", float_text("battery_pct")))),
-        counters.select(*row("zone", "zone_id", F.col("entry_count").cast("string"))),
-        alarms.select(*row("anomaly", "vehicle_id", F.concat_ws(" ", "anomaly_type", "detail"))),
-    ])
+    folded = board.fold(state.current_state(before), zones.zone_counts(before), newest, patches)
+    of = lambda kind, value: F.when(F.col("type") == kind, value)
+    return folded.select(
+        F.coalesce(of(VEHICLE_STATE_CHANGED, F.lit("vehicle")), of(ZONE_COUNT_CHANGED, F.lit("zone")), F.lit("anomaly")).alias("entity"), "id",
+        F.coalesce(
+            of(VEHICLE_STATE_CHANGED, F.concat_ws(" ", "status", float_text("battery_pct"))),
+            of(ZONE_COUNT_CHANGED, F.col("entry_count").cast("string")), F.concat_ws(" ", "anomaly_type", "detail")).alias("value"))
 
 
 @query("ws_snapshot", """

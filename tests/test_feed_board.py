@@ -84,6 +84,13 @@ def test_folding(spark):
     assert rows_of(board.fold_vehicles(vehicles, parsed)) == [("a", "fault", 48.0), ("b", "idle", 60.0)]
     assert rows_of(board.fold_zones(counters, parsed)) == [("aisle_a", 1), ("aisle_b", 4)]
     assert rows_of(board.fold_anomalies(alarms, parsed)) == [("a", "fault_status", None, "t1"), ("new", "overspeed", "d", "t2")]
+    whole = board.fold(vehicles, counters, alarms, parsed)
+    part = lambda kind, *fields: rows_of(whole.filter(F.col("type") == kind), "id", *fields)
+    assert part(STATE, "status", "battery_pct") == [("a", "fault", 48.0), ("b", "idle", 60.0)]
+    assert part(ZONE, "entry_count") == [("aisle_a", 1), ("aisle_b", 4)]
+    assert part(ANOMALY, "anomaly_type", "detail", "detected_at") == [("a", "fault_status", None, "t1"), ("new", "overspeed", "d", "t2")]
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_snapshot_plus_feed_is_the_state(telemetry):
