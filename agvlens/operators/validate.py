@@ -115,9 +115,10 @@ def _with_reason(typed: DataFrame, checks: list[tuple[Column, str]], names: list
     return evaluated_once(typed, "_row", row).select("_row.*")
 
 
-def unknown_fields(raw: Column, allowed: tuple[str, ...]) -> Column:
-    """The keys of a JSON object that are not in ``allowed``."""
-    return F.array_except(F.json_object_keys(raw), F.array(*[F.lit(name) for name in allowed]))
+def unknown_fields(body: Column, allowed: tuple[str, ...]) -> Column:
+    """The keys of a parsed object that are not in ``allowed``, in the order of their names."""
+    keys = F.map_keys(F.try_variant_get(body, "$", "map<string,variant>"))
+    return F.array_sort(F.array_except(keys, F.array(*[F.lit(name) for name in allowed])))
 
 
 def parse_readings(bodies: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def parse_readings(bodies: DataFrame) -> DataFrame:
     typed = _open_body(bodies, TELEMETRY_FIELDS).withColumns(columns)
     checks = [
         (F.col("_body").isNull(), "malformed_body"),
-        (F.size(unknown_fields(F.col("raw"), TELEMETRY_FIELDS)) > 0, "unknown_field"),
+        (F.size(unknown_fields(F.col("_body"), TELEMETRY_FIELDS)) > 0, "unknown_field"),
         *[(_wrong(n, n in nullable), f"{n}_type") for n in columns],
         *_value_checks(),
     ]
@@ -157,7 +158,7 @@ def parse_status_updates(bodies: DataFrame) -> DataFrame:
     })
     checks = [
         (F.col("_body").isNull(), "malformed_body"),
-        (F.size(unknown_fields(F.col("raw"), STATUS_UPDATE_FIELDS)) > 0, "unknown_field"),
+        (F.size(unknown_fields(F.col("_body"), STATUS_UPDATE_FIELDS)) > 0, "unknown_field"),
         (_wrong("status", False), "status_type"),
         (_wrong("reason", True), "reason_type"),
         (F.col("status").isNull(), "status_missing"),

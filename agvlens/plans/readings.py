@@ -55,7 +55,7 @@ def validate_reject_reasons(t):
 
 @query("reject_unknown_fields", "select event_id as seq, 'firmware' as unknown_field from ev where k%20=0")
 def reject_unknown_fields(t):
-    stray = validate.unknown_fields(F.col("raw"), readers.TELEMETRY.names)
+    stray = validate.unknown_fields(F.try_parse_json("raw"), readers.TELEMETRY.names)
     return t.telemetry_json().select("seq", F.explode(stray).alias("unknown_field"))
 
 

@@ -1,5 +1,6 @@
 """Inputs that must neither fail a batch nor lose rows."""
 
+import json
 import math
 
 import pytest
@@ -44,3 +45,11 @@ def test_status_filter_reaches_the_scan(spark, tmp_path):
     bad = metrics.errors(spark.read.parquet(path))
     assert "LessThan(status_code,200)" in bad._jdf.queryExecution().executedPlan().toString()
     assert bad.count() == 9
+
+
+@pytest.mark.parametrize("key", ["x", "a.b", "", "it's", "$", "é \U0001f642", "[0]"])
+def test_any_unknown_key_is_seen(spark, key):
+    bodies = [{"vehicle_id": "v1", "status": "idle", "battery_pct": 50, "recorded_at": 1781611200, **more} for more in ({}, {key: None}, {key: {"a": 1}})]
+    rows = spark.createDataFrame([(i, json.dumps(b), None) for i, b in enumerate(bodies)], "seq long, raw string, ingest_ts timestamp")
+    got = {r["seq"]: r["reject_reason"] for r in parse_readings(rows).collect()}
+    assert got[0] != "unknown_field" and got[1] == got[2] == "unknown_field"
