@@ -70,6 +70,20 @@ def test_simhash_components(documents, prose, limit):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 64])
+def test_stage_drops_copies_of_similarity_080(documents, prose, limit):
+    texts, similarity = [], []
+    for k, edits in enumerate([6, 8, 12, 14] * 5):  # words replaced in 300: 5 shingles each
+        words = prose(100 + k, 300).split()
+        copy = [f"new{i}" if i % 20 == 7 and i // 20 < edits else w for i, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(copy)]
+        a, b = ({tuple(w[i:i + 5]) for i in range(296)} for w in (words, copy))
+        similarity.append(len(a & b) / len(a | b))
+    want = {i for i in range(len(texts)) if i % 2 == 0 or similarity[i // 2] < 0.8}
+    assert any((simhash.fingerprint(a, 3) ^ simhash.fingerprint(b, 3)).bit_count() > 3 for a, b, j in zip(texts[::2], texts[1::2], similarity, strict=True) if j >= 0.8)
+    assert 20 < len(want) < 40 and {r["doc_id"] for r in simhash.keep_first(documents(*texts), list_limit=limit).collect()} == want
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(1000, 1100)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
