@@ -4,7 +4,7 @@ Words become template tokens: numbers, units after numbers, and capitalised word
 throughout aside) turn into typed placeholders, all others are lower-cased and stripped of punctuation. Windows of template tokens are joined by hash with
 those of the benchmark, so a question with other numbers and names still meets its original. Windows on one diagonal
 (item position minus text position) belong together; there every slot value of the item must stand for one value of the
-text and the other way round, or the diagonal is dropped. A text holds an item if enough of the item's windows are found.
+text, or the diagonal is dropped. Two item values may meet in one text value (new numbers coincide by chance); ``merged`` counts those. A text holds an item if enough of the item's windows are found.
 
 A bit map of the benchmark's window hashes (2 MB, whatever the benchmark's size) drops windows that cannot join before
 the shuffle; it never drops one that can.
@@ -159,7 +159,7 @@ def _bitmap(items: DataFrame) -> bytes:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each text and item it holds: key, item_id, share of the item's windows, first and last word, whether
-    slot values differ (``changed``), and the row digest ``r``."""
+    slot values differ (``changed``), how many item values met in another's text value (``merged``), and the row digest ``r``."""
     items = written(_windows(benchmark, "item_id", "text", matching, None, None), "template-items")
     lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # at most ``window`` numbers
     if not lengths:
@@ -174,12 +174,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("t"))))).alias("slots"),
     )
     values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f])))
-    steady = diagonals.filter((values("i") == F.size("slots")) & (values("t") == F.size("slots")) & (F.col("n") >= matching.min_share * F.col("wanted")))
+    steady = diagonals.filter((values("i") == F.size("slots")) & (F.col("n") >= matching.min_share * F.col("wanted"))).withColumn("merged", F.size("slots") - values("t"))
     best = F.max(F.struct((F.col("n") / F.col("wanted")).alias("share"), (-F.col("first")).alias("early"), (F.col("last") + F.col("len") - 1).alias("last"),
-                          F.exists("slots", lambda s: s["i"] != s["t"]).alias("changed")))
+                          F.exists("slots", lambda s: s["i"] != s["t"]).alias("changed"), F.col("merged")))
     return steady.groupBy("id", "r", "item_id").agg(best.alias("b")).select(
         F.col("id").alias(key), "item_id", F.round("b.share", 4).alias("share"), (-F.col("b.early")).alias("first_word"),
-        F.col("b.last").alias("last_word"), F.col("b.changed").alias("changed"), "r")
+        F.col("b.last").alias("last_word"), F.col("b.changed").alias("changed"), F.col("b.merged").alias("merged"), "r")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:

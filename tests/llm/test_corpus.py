@@ -106,6 +106,14 @@ def test_leaks(spark, documents, prose):
     assert templates.leaks(docs, bench.limit(0)).count() == 0 and templates.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_new_values_may_coincide(spark, documents):
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    same = QUESTION.replace("12", "9").replace("5", "9")
+    split = same.replace("does Tom", "does Ann")
+    got = {r["doc_id"]: r for r in templates.leaks(documents(same, split), bench).collect()}
+    assert set(got) == {0} and got[0]["changed"] and got[0]["merged"] == 1 and got[0]["share"] == 1.0
+
+
 def test_gradient():
     shape = Shape(classes=3, per_class=4, hidden=5, lanes=3, window=4)
     dice = np.random.default_rng(0)
