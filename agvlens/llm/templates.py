@@ -9,7 +9,10 @@ text, or the diagonal is dropped. Two item values may meet in one text value (ne
 A bit map of the benchmark's window hashes (2 MB, whatever the benchmark's size) drops windows that cannot join before
 the shuffle; it never drops one that can.
 
-Defined cases: null texts and items have no windows; items of fewer than ``min_literals`` words cannot be found; items
+Windows with fewer than ``min_literals`` literals say too little as templates. Those of items are looked for as they are instead:
+by the hash of their plain lower-cased words, so an exact copy is found whatever its words are, and only the relaxation is limited.
+
+Defined cases: null texts and items have no windows, nor do those without a word; items
 shorter than a window are one window of their own length; repeated rows are reported each once per doc_id and text;
 empty tables give an empty result.
 """
@@ -42,6 +45,7 @@ EDGE = " \t.,;:!?\"'()[]{}<>«»“”‘’*#|…-–—"
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 _MARK = np.array([0, *(xxhash.xxh64_intdigest(f"\0{k}", 1) for k in ("number", "unit", "name"))], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PLAIN = np.uint64(xxhash.xxh64_intdigest("\0plain", 1))  # sets hashes of plain words apart from those of templates
 
 
 @dataclass(frozen=True)
@@ -97,26 +101,33 @@ def tokens(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, types, np.where(types == LITERAL, words.hash[ids], _MARK[types])
 
 
-def window_hashes(hashes: np.ndarray, types: np.ndarray, size: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows of ``size`` tokens that have enough literals."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    n = max(0, len(hashes) - size + 1)
     h = np.zeros(n, np.uint64)
     for k in range(size):
         h = h * _BASE + (hashes[k:k + n] ^ (hashes[k:k + n] >> np.uint64(29)))
     h ^= h >> np.uint64(32)
-    h *= _BASE
+    return h * _BASE
+
+
+def _literals(types: np.ndarray, size: int) -> np.ndarray:
+    """The literals of each window."""
     run = np.concatenate([[0], np.cumsum(types == LITERAL)])
-    at = np.flatnonzero(run[size:] - run[:n] >= min_literals)
-    return at, h[at]
+    return run[size:] - run[:max(0, len(types) - size + 1)]
+
+
+def window_hashes(hashes: np.ndarray, types: np.ndarray, size: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows of ``size`` tokens that have enough literals."""
+    at = np.flatnonzero(_literals(types, size) >= min_literals)
+    return at, _rolled(hashes, size)[at]
 
 
-_WINDOWS = "id {}, r long, len int, total int, pos long, h long, slots array<string>"
+_WINDOWS = "id {}, r long, len int, exact boolean, total int, whole int, pos long, h long, slots array<string>"
 
 
-def _windows(rows: DataFrame, key: str, text: str, matching: Matching, lengths: list[int] | None, bitmap) -> DataFrame:
-    """Windows of a table. ``lengths`` None: of items, each of its own length at most; else those of texts, sieved."""
+def _windows(rows: DataFrame, key: str, text: str, matching: Matching, lengths: list[tuple[int, bool]] | None, bitmap) -> DataFrame:
+    """Windows of a table. ``lengths`` None: of items, each of its own length at most, those with too few literals ``exact``;
+    else those of texts, sieved, by length and whether exact. total: the item's templates; whole: all its windows."""
     kind = rows.schema[key].dataType.simpleString()
     slim = rows.select(F.col(f"`{key}`").alias("id"), row_digest([key, text]).alias("r"), F.col(f"`{text}`").alias("t")).filter("t is not null")
 
@@ -129,20 +140,27 @@ def _windows(rows: DataFrame, key: str, text: str, matching: Matching, lengths:
                 if len(words.text) > Words.LIMIT:
                     words.clear()
                 ids, types, hashes = tokens(t, words)
-                own = [min(matching.window, len(ids))] if lengths is None else lengths
-                for size in own:
-                    if size < matching.min_literals:
+                size = min(matching.window, len(ids))
+                own = [(size, False), (size, True)] if lengths is None else lengths
+                for size, exact in own:
+                    if size < 1 or (size < matching.min_literals and not exact):
                         continue
-                    at, h = window_hashes(hashes, types, size, matching.min_literals)
-                    total = len(at)
-                    if sieve is not None and total:
+                    if exact:
+                        h = _rolled(words.hash[ids] ^ _PLAIN, size)
+                        at = np.arange(len(h)) if lengths is not None else np.flatnonzero(_literals(types, size) < matching.min_literals)
+                        h = h[at]
+                    else:
+                        at, h = window_hashes(hashes, types, size, matching.min_literals)
+                    whole = max(0, len(ids) - size + 1)
+                    total = whole - len(at) if exact else len(at)  # of templates
+                    if sieve is not None and len(at):
                         bit = h >> np.uint64(64 - BITMAP_BITS)
                         passed = (sieve[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
                         at, h = at[passed], h[passed]
                     for p, x in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True):
-                        slots = [f"{types[i]}{words.text[ids[i]]}" for i in range(p, p + size) if types[i]]
-                        out.append((row_id, r, size, total, p, x, slots))
-            yield pd.DataFrame(out, columns=["id", "r", "len", "total", "pos", "h", "slots"])
+                        slots = [] if exact else [f"{types[i]}{words.text[ids[i]]}" for i in range(p, p + size) if types[i]]
+                        out.append((row_id, r, size, exact, total, whole, p, x, slots))
+            yield pd.DataFrame(out, columns=["id", "r", "len", "exact", "total", "whole", "pos", "h", "slots"])
 
     return slim.mapInPandas(work, _WINDOWS.format(kind))
 
@@ -161,21 +179,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
     """A row for each text and item it holds: key, item_id, share of the item's windows, first and last word, whether
     slot values differ (``changed``), how many item values met in another's text value (``merged``), and the row digest ``r``."""
     items = written(_windows(benchmark, "item_id", "text", matching, None, None), "template-items")
-    lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # at most ``window`` numbers
+    lengths = sorted(tuple(r) for r in items.select("len", "exact").distinct().collect())  # at most twice ``window`` pairs
     if not lengths:
-        lengths = [matching.window]
+        lengths = [(matching.window, False)]
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
     found = _windows(docs, key, text, matching, lengths, bitmap)
-    own = items.select(F.col("id").alias("item_id"), F.col("r").alias("item_r"), "len", "h", F.col("total").alias("wanted"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    pairs = found.join(own, ["len", "h"]).withColumn("diagonal", F.col("item_pos") - F.col("pos"))
+    own = items.select(F.col("id").alias("item_id"), F.col("r").alias("item_r"), "len", "exact", "h", F.col("total").alias("wanted"), F.col("whole").alias("all"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    pairs = found.drop("total", "whole").join(own, ["len", "exact", "h"]).withColumn("diagonal", F.col("item_pos") - F.col("pos"))
     # one diagonal has a window per item position at most, so what is gathered is no longer than the item
-    diagonals = pairs.groupBy("id", "r", "item_id", "item_r", "wanted", "len", "diagonal").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"),
+    diagonals = pairs.groupBy("id", "r", "item_id", "item_r", "wanted", "all", "len", "diagonal").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("exact")).alias("n_template"), F.min("pos").alias("first"), F.max("pos").alias("last"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("t"))))).alias("slots"),
     )
     values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f])))
-    steady = diagonals.filter((values("i") == F.size("slots")) & (F.col("n") >= matching.min_share * F.col("wanted"))).withColumn("merged", F.size("slots") - values("t"))
-    best = F.max(F.struct((F.col("n") / F.col("wanted")).alias("share"), (-F.col("first")).alias("early"), (F.col("last") + F.col("len") - 1).alias("last"),
+    # of the templates, or of all windows, whichever is more: exact windows add to what is found and take nothing away
+    share = F.greatest(F.when(F.col("wanted") > 0, F.col("n_template") / F.col("wanted")), F.col("n") / F.col("all"))
+    steady = diagonals.withColumn("share", share).filter((values("i") == F.size("slots")) & (F.col("share") >= matching.min_share)).withColumn("merged", F.size("slots") - values("t"))
+    best = F.max(F.struct(F.col("share"), (-F.col("first")).alias("early"), (F.col("last") + F.col("len") - 1).alias("last"),
                           F.exists("slots", lambda s: s["i"] != s["t"]).alias("changed"), F.col("merged")))
     return steady.groupBy("id", "r", "item_id").agg(best.alias("b")).select(
         F.col("id").alias(key), "item_id", F.round("b.share", 4).alias("share"), (-F.col("b.early")).alias("first_word"),

@@ -114,6 +114,15 @@ def test_new_values_may_coincide(spark, documents):
     assert set(got) == {0} and got[0]["changed"] and got[0]["merged"] == 1 and got[0]["share"] == 1.0
 
 
+def test_items_of_few_literals_are_found_exactly(spark, documents, prose):
+    short = ["What is 12 + 34?", "Name Three Rivers", "Anna Berlin 1999 Boris Cairo 2003 Clara Delhi 2007 Dora Essen 2011"]
+    bench = spark.createDataFrame([*enumerate(short), (3, "..."), (4, QUESTION + " " + short[2])], "item_id long, text string")
+    docs = documents(*[f"{prose(9, 20)} {x.lower()} {prose(8, 20)}" for x in short], short[0].replace("12", "13"), prose(7, 40), "he said " + short[2])
+    got = {(r["doc_id"], r["item_id"]): r for r in templates.leaks(docs, bench).collect()}
+    assert {(d, i) for d, i in got if i < 4} == {(0, 0), (1, 1), (2, 2), (5, 2)}
+    assert all(got[k]["share"] == 1.0 and not got[k]["changed"] for k in got if k[1] < 4)
+
+
 def test_gradient():
     shape = Shape(classes=3, per_class=4, hidden=5, lanes=3, window=4)
     dice = np.random.default_rng(0)
