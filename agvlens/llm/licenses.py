@@ -5,6 +5,10 @@ found, in order, make a sequence. Ordered rules then take runs of identifiers ou
 first, and name the licence; what is left of licence-like sentences is reported as unknown. The knowledge is fixed
 and small, so both steps are expressions over one row: no shuffle, no join.
 
+A sentence may be wrapped over lines: it is looked up whole, within its paragraph, and only if it is not known so are its lines
+looked up one by one. ``SENTENCES`` and ``RULES`` are those of the registered SQL, which knows short forms on one line;
+``WHOLE_SENTENCES`` and ``WHOLE_RULES`` add the sentences of the standard texts.
+
 Defined cases: a null or empty text has no sentences and no licences; repeated sentences count each; an empty table gives
 an empty table.
 """
@@ -58,15 +62,65 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_BSD = {
+    "bsdsource": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsdbinary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsdname": SENTENCES["bsdname"][0],
+}
+
+# Sentences of the standard texts in full, normalised likewise.
+WHOLE_SENTENCES = {
+    "apachesee": ("see the license for the specific language governing permissions and limitations under the license",),
+    "mittitle": ("mit license", "the mit license", "the mit license mit"),
+    "mitgrant": (f"{SENTENCES['mitgrant'][0]} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "asis": (f"{SENTENCES['asis'][0]} including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "noliability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+                    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"),
+    "gplprogram": ("this program is free software",),
+    "gplterms": (_GPL,),
+    "gplnotice2": tuple(f"{start}{_GPL} {_LATER.format(2)}" for start in ("this program is free software ", "")),
+    "gplnotice3": tuple(f"{start}{_GPL} {_LATER.format(3)}" for start in ("this program is free software ", "")),
+    "orlater3": (_LATER.format(3),),
+    "gplhope": ("this program is distributed in the hope that it will be useful but without any warranty",),
+    "gplimplied": ("without even the implied warranty of merchantability or fitness for a particular purpose",),
+    "gplsee": ("see the gnu general public license for more details",),
+    "gplcopy": ("you should have received a copy of the gnu general public license along with this program",),
+    "bsdtitle": ("bsd 3 clause license", "bsd 2 clause license", "the 3 clause bsd license", "the 2 clause bsd license"),
+    "bsdgrant": (f"{SENTENCES['bsdgrant'][0]} 1",),  # the number of the first condition, on the next line
+    **{name: (form, *(f"{i} {form}" for i in (1, 2, 3))) for name, form in _BSD.items()},
+    "bsdasis": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+}
+
+_BSD2, _BSD3 = ("bsdgrant", "bsdsource", "bsdbinary"), ("bsdgrant", "bsdsource", "bsdbinary", "bsdname")
+
+# Rules that go before RULES.
+WHOLE_RULES = (
+    *(("BSD-3-Clause", (*before, *_BSD3, *after)) for before in (("reserved",), ()) for after in (("bsdasis",), ())),
+    *(("BSD-2-Clause", (*before, *_BSD2, *after)) for before in (("reserved",), ()) for after in (("bsdasis",), ())),
+    ("GPL-2.0-or-later", ("gplprogram", "gplterms", "orlater")),
+    ("GPL-3.0-or-later", ("gplprogram", "gplterms", "orlater3")),
+    ("GPL-2.0-or-later", ("gplprogram", "gplnotice2")),
+    ("GPL-3.0-or-later", ("gplprogram", "gplnotice3")),
+    ("GPL-2.0-or-later", ("gplnotice2",)),
+    ("GPL-3.0-or-later", ("gplnotice3",)),
+    ("GPL-3.0-or-later", ("gplfree", "orlater3")),
+    ("GPL-3.0-or-later", ("gpl3", "orlater3")),
+)
+
 HINTS = r"(^| )(licensed?|licence|copyright|warrant(y|ies))( |$)"  # a sentence that is not known but speaks of licences
 BREAKS = r"(?:[.!?;]+\s+|\n+)"
+PARAGRAPHS = r"\n[^\p{L}\p{N}]*\n"  # empty lines, or with comment marks only
+STOPS = r"[.!?;]+\s+"
 WORTH = "(?i)licen|copyright|warrant|permi|software|rights reserved"  # only sentences with one of these need normalising
 NORMAL = ((r"[^\p{L}\p{N}.]+", " "), (r"\.+( |$)", " "), (" +", " "))  # replaced in this order, after lower-casing
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's sentences in order; "unknown" for licence-like ones that are not listed."""
-    known = F.create_map(*[F.lit(x) for name, forms in SENTENCES.items() for form in forms for x in (form, name)])
+    forms = {form: name for table in (SENTENCES, WHOLE_SENTENCES) for name, known_forms in table.items() for form in known_forms}
+    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
 
     def normal(s: Column) -> Column:
         s = F.lower(s)
@@ -78,8 +132,14 @@ def sentence_ids(text: Column) -> Column:
         n = normal(s)
         return F.coalesce(known[n], F.when(n.rlike(HINTS), F.lit("unknown")))
 
-    parts = F.filter(F.split(text, BREAKS), lambda s: s.rlike(WORTH))
-    return F.filter(F.transform(parts, name), lambda s: s.isNotNull())
+    def names(s: Column) -> Column:
+        whole = known[normal(s)]
+        lines = F.transform(F.filter(F.split(s, "\n+"), lambda x: x.rlike(WORTH)), name)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+
+    parts = F.flatten(F.transform(F.split(text, PARAGRAPHS), lambda x: F.split(x, STOPS)))
+    parts = F.filter(parts, lambda s: s.rlike(WORTH))
+    return F.filter(F.flatten(F.transform(parts, names)), lambda s: s.isNotNull())
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,14 +148,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ids = F.when(t.rlike(WORTH), sentence_ids(t)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     rest = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))  # every identifier between two spaces
-    for i, (_, sequence) in enumerate(RULES):
+    rules = (*WHOLE_RULES, *RULES)
+    for i, (_, sequence) in enumerate(rules):
         pattern = "  ".join(sequence)
         rows = rows.withColumn(f"r{i}", rest).withColumn(f"q{i}", F.replace(F.col(f"r{i}"), F.lit(f" {pattern} "), F.lit(" | ")))
         rest = F.col(f"q{i}")
     names = list(dict.fromkeys(n for n, _ in RULES))
     # a match of a sequence of length L leaves a bar in place of it
     bars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit("")))
-    count = {n: sum((bars(F.col(f"q{i}")) - bars(F.col(f"r{i}")) for i, (m, _) in enumerate(RULES) if m == n), F.lit(0)) for n in names}
+    count = {n: sum((bars(F.col(f"q{i}")) - bars(F.col(f"r{i}")) for i, (m, _) in enumerate(rules) if m == n), F.lit(0)) for n in names}
     found = F.filter(F.array(*[F.struct(F.lit(n).alias("licence"), count[n].cast("long").alias("n")) for n in names]), lambda s: s["n"] > 0)
     unknown = F.size(F.filter("ids", lambda s: s == "unknown"))
     return rows.select(F.col("__id").alias(key), F.col("ids").alias("sentence_ids"), found.alias("licences"), unknown.cast("long").alias("n_unknown"))
