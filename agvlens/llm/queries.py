@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, lm, quality, secrets, sharding, simhash, templates, url_rules
+from . import bpe, licenses, line_dedup, lm, quality, secrets, sharding, simhash, templates, turns, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(table(spark, sf_dir, "conversations"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES["op1_line_dedup"] = rf"""
