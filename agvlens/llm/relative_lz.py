@@ -191,7 +191,7 @@ def _shared(index: DataFrame) -> DataFrame:
     occurring = index.filter("id is not null").select(
         F.col("id").cast("long").alias("doc"), "td", F.explode(F.arrays_zip("at", "anchor", "content")).alias("b")).select("doc", "td", "b.*")
     often = occurring.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
-    live = written(occurring.join(often, "anchor", "left_semi").distinct(), "lz-live")
+    live = written(occurring.join(often, "anchor", "left_semi"), "lz-live")
     owners = live.groupBy("anchor", "content").agg(F.min("doc").alias("ref_doc"), F.min_by("at", "doc").alias("ref_at"), F.max("doc").alias("hi"))
     owners = written(owners, "lz-owners")
     differing = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("differing"))
@@ -205,7 +205,7 @@ def _shared(index: DataFrame) -> DataFrame:
 def _looked_into(rows: DataFrame, shared: DataFrame, texts: bool) -> DataFrame:
     """Documents that share blocks: finished if all these are whole, else with their text and the windows to be looked up."""
     block = F.struct("at", "anchor", "ref_doc", "ref_at")
-    listed = shared.groupBy("doc", "td").agg(F.collect_list(block).alias("b"))
+    listed = shared.groupBy("doc", "td").agg(F.collect_set(block).alias("b"))  # a set, as rows may be repeated
     whole, rims = F.filter("b", lambda b: b["ref_doc"].isNotNull()), F.filter("b", lambda b: b["ref_doc"].isNull())
     field = lambda blocks, name: F.transform(blocks, lambda b: b[name])
     listed = listed.select("doc", "td", *[field(whole, c).alias(c) for c in ("at", "ref_doc", "ref_at")], field(rims, "at").alias("rim"), field(rims, "anchor").alias("rim_anchor"))

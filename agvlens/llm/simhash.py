@@ -9,12 +9,6 @@ no pairs are formed: for r = 3, a pair is linked exactly if some 64-bit word lie
 other, so every node probes its neighbourhood words and all that meet at a word are tied to one node there. That costs a fixed number of rows
 for a node, however large the bucket. Links become components by star contraction.
 
-``keep_first`` is no fingerprint query: a document goes if it shares ``SIMILARITY`` per cent of its 5-word shingles (Jaccard)
-with another one of its class. Sixty-four bits cannot tell that (similarity 0.8 is 4 to 15 differing bits), so candidates come from
-``BANDS`` covering keys of ``ROWS`` minima of the shingle set each, and every candidate is verified on the shingle sets themselves. A
-pair of similarity 0.8 has no key in common once in 14,000, one of 0.9 practically never. Equal sets are one node. Buckets over
-``list_limit`` nodes are compared with ``HUBS`` of their nodes, not pair by pair; most hubs recur from key to key.
-
 Defined cases: a null or blank text has fingerprint zero; null ids stand in the result, their component is the smallest
 id that is not null, or null; repeated rows get the same component; an empty table gives an empty table.
 """
@@ -39,10 +33,6 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 LIST_LIMIT = 64
-STAGE_SHINGLE = 5
-SIMILARITY = 80  # per cent
-BANDS, ROWS = 24, 5
-HUBS = 16
 
 
 def masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
@@ -86,7 +76,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, list_limit: int = LIST_LIMIT)
     table = F.array(*[F.lit(_signed(m)) for m in masks(radius)])
     keyed = nodes.select("fp", F.posexplode(table).alias("t", "m")).select("fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(sizes, ["t", "key"]), "simhash-buckets")
+    members = written(keyed.join(sizes.hint("merge"), ["t", "key"]), "simhash-buckets")
     within = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
     lists = members.filter(F.col("n") <= list_limit).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     # candidates of a short list are verified where the list is; only links leave it
@@ -101,7 +91,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, list_limit: int = LIST_LIMIT)
     probes = probes.select("fp", "p.word", "p.close")
     # a word with a node at one bit or less ties every node that probes it to that node: at most three bits apart
     hubs = probes.groupBy("word").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1 and hub is not null")
-    crowd = probes.join(hubs, "word").filter("fp <> hub").select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v"))
+    crowd = probes.join(hubs.hint("merge"), "word").filter("fp <> hub").select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v"))
     return small.unionByName(crowd).distinct()
 
 
@@ -110,90 +100,31 @@ def classes(prints: DataFrame, **options) -> DataFrame:
     return components(links(prints.select("fp").distinct(), **options))
 
 
+def _rooted(least: DataFrame, roots: DataFrame) -> DataFrame:
+    """Fingerprints with their class's root, their own where nothing is linked. Both sides grow, so neither is sent whole."""
+    return least.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, fp, component): the smallest key reachable through links."""
     prints = written(docs.select(F.col(f"`{key}`").alias("id"), fingerprints(F.col(f"`{text}`")).alias("fp")), "simhash-prints")
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = written(classes(prints, **options), "simhash-roots")
-    placed = least.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _rooted(least, roots)
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named = placed.join(smallest, "root").select("fp", "component")
-    return prints.join(named, "fp").select(F.col("id").alias(key), "fp", "component")
-
-
-def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes of a text in order; of a shorter text the one of all its words."""
-    words = (text or "").encode("utf-8").translate(ASCII_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), np.uint64))
-
-
-_DICE = np.random.default_rng(11)
-_FLIP, _ODD = _DICE.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_ODD |= np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """A key for each band: equal for sets that agree in all of its minima."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for part in range(0, len(grams), 2048):  # bounded memory for long texts
-        least = np.minimum(least, ((grams[part:part + 2048, None] ^ _FLIP) * _ODD).min(axis=0))
-    keys = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ (keys >> np.uint64(31)) ^ column) * _MIX
-    return keys.view(np.int64)
-
-
-def sketches(text: Column) -> Column:
-    """node (128 bits of the shingle set), its band keys, and the set itself in 32 bits a shingle."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for t in batch:
-                grams = shingle_set(t)
-                keys = band_keys(grams) if len(grams) else np.zeros(0, np.int64)
-                out.append((xxhash.xxh3_128_digest(grams.tobytes()), keys, np.unique(grams.astype(np.uint32)).view(np.int32)))
-            yield pd.DataFrame(out, columns=["node", "bands", "grams"])
-
-    return F.pandas_udf(run, "node binary, bands array<long>, grams array<int>")(text)
-
-
-def similar(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Edges (u, v) between nodes of ``prints`` (s: a sketch) whose shingle sets are verified to be similar."""
-    keyed = prints.select("s.node", F.posexplode("s.bands").alias("t", "key")).distinct()
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(sizes, ["t", "key"]), "similar-buckets")
-    lists = members.filter(F.col("n") <= list_limit).groupBy("t", "key").agg(F.collect_list("node").alias("all"))
-    small = lists.select("all", F.explode("all").alias("u")).select("u", F.explode(F.filter("all", lambda v: v < F.col("u"))).alias("v"))
-    crowded = members.filter(F.col("n") > list_limit)
-    hubs = crowded.groupBy("t", "key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"] for k in range(HUBS)])).alias("hubs"))
-    crowd = crowded.join(hubs, ["t", "key"]).select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
-    crowd = crowd.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
-    pairs = written(small.unionByName(crowd).distinct(), "similar-pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = prints.select("s.node", "s.grams").join(asked, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
-    sets = written(sets, "similar-sets")
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("grams").alias(f"{n}_grams"))
-    both = F.size(F.array_intersect("u_grams", "v_grams"))
-    close = 100 * both >= SIMILARITY * (F.size("u_grams") + F.size("v_grams") - both)
-    return pairs.join(side("u"), "u").join(side("v"), "v").filter(close).select("u", "v")
+    named = placed.join(smallest.hint("merge"), "root").select("fp", "component")
+    return prints.join(named.hint("merge"), "fp").select(F.col("id").alias(key), "fp", "component")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class of ``similar`` ones: that of the smallest doc_id (ties: the smallest digest), with its columns.
+    """One document of each class of linked fingerprints: that of the smallest doc_id (ties: the smallest digest), with its columns.
 
     Documents are told apart by a digest of 128 bits, since with billions of rows some agree in 64.
     """
     digest = F.struct(row_digest(docs.columns).alias("a"), row_digest(docs.columns, 1).alias("b"))
-    slim = docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), sketches(F.col("text")).alias("s"))
-    prints = written(slim, "simhash-prints")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    least = prints.select("id", "digest", F.col("s.node").alias("own")).groupBy("own").agg(F.min(order).alias("least"))
-    roots = written(components(similar(prints, **options)), "simhash-roots")
-    placed = least.join(roots, F.col("own") == F.col("node"), "left").withColumn("root", F.coalesce("root", "own"))
-    first = placed.groupBy("root").agg(F.min("least").alias("first")).select("first.digest")
+    prints = written(docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), fingerprints(F.col("text")).alias("fp")), "simhash-prints")
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("least"))
+    roots = written(classes(prints, **options), "simhash-roots")
+    first = _rooted(least, roots).groupBy("root").agg(F.min("least").alias("first")).select("first.digest")
     own = docs.select(whole_row(docs), digest.alias("digest"))
-    return own.join(first, "digest", "left_semi").dropDuplicates(["digest"]).select("doc.*")
+    return own.join(first.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]).select("doc.*")

@@ -1,8 +1,11 @@
 """Line dedup, URL rules, licences, quality, secrets: small fixtures with the awkward rows."""
 
 import hashlib
+import random
 import re
 import textwrap
+import time
+from itertools import combinations
 
 import pytest
 from agvlens.llm import licenses, line_dedup, quality, secrets, url_rules
@@ -52,6 +55,37 @@ def test_mined_rules_block_without_a_listed_one(spark):
     assert len(got) == len(urls)
 
 
+def test_rules_equal_brute_force(spark):
+    """All token sets over the bounds whose subsets are no rules, as few tokens a page make it possible to list them."""
+    dice = random.Random(6)
+    baskets = [(["a", "b", "c", "d", "e"][:dice.randint(1, 5)] + dice.sample(["p", "q", "r", "s"], dice.randint(0, 3)), dice.random() < 0.4) for _ in range(400)]
+    baskets = [(t, bad or ("p" in t and "q" in t) or "e" in t) for t, bad in baskets]
+    share, want = sum(bad for _, bad in baskets) / 400, {}
+    for k in range(1, 9):
+        for c in combinations("abcdepqrs", k):
+            hits = [bad for t, bad in baskets if set(c) <= set(t)]
+            sure = sum(hits) / len(hits) if hits else 0
+            if sum(hits) >= 20 and sure >= 0.5 and sure >= 1.2 * share and not any(set(w) < set(c) for w in want):
+                want[c] = (sure, sum(hits) / 400)
+    rules = url_rules.mine(spark.createDataFrame(baskets + [([], True), (["a"], None)], "tokens array<string>, bad boolean"), url_rules.Mining(min_lift=1.2))
+    got = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in rules.collect()}
+    assert set(got) == set(want) and len(want) > 1
+    assert all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_long_urls_with_few_labels(spark):
+    deep = "http://spam.example.net/" + "/".join(f"part{chr(97 + i)}" for i in range(25))
+    pages = spark.createDataFrame([(i, deep if i < 31 else f"http://fine.example.net/{chr(97 + i - 31)}") for i in range(41)] + [(99, deep + "/" + "x/" * 50_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 31), 0) for i in range(41)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels, url_rules.Mining(min_lift=1.1)).collect()}
+    assert time.time() - began < 60
+    assert got == {i: "block" if i < 31 or i == 99 else "allow" for i in [*range(41), 99]}
+    few = url_rules.judge(pages, labels.limit(19)).collect()
+    assert {r["verdict"] for r in few} == {"allow"} and len(few) == 42
+    assert url_rules.judge(pages.limit(0), labels).count() == 0
+
+
 def test_licence_sequences(documents):
     apache = "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at\nhttp://x"
     docs = documents(apache, "Some text. Released under the MIT License.\nMore", "Copyright Nobody.", None, "", "Released under the MIT License. Released under the MIT License.", "x " * 50_000)
