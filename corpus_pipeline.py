@@ -23,7 +23,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
+    """One document of each class of fingerprints within three bits stays, that of the smallest doc_id."""
     return simhash.keep_first(docs)
 
 
