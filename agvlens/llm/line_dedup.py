@@ -1,6 +1,6 @@
 """Site-relative line frequency: lines that too large a share of a site's pages contain are dropped.
 
-Native DataFrame operations only. Lines travel as pairs of 64-bit hashes; the counts combine before the
+Native DataFrame operations only. Lines travel as pairs of 64-bit hashes, written once; the counts combine before the
 shuffle, the frequent lines are matched back over salted keys, and the text is shuffled once, by page content.
 
 Defined cases: a null text has no lines and stays null; blank lines are neither counted nor dropped; a line that
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_key
+from .common import group_key, written
 
 MAX_RATIO = 0.05  # a line on more than this share of a site's pages is boilerplate
 MIN_PAGES = 5  # and on so many pages at least, so that small sites lose nothing
@@ -22,14 +22,21 @@ SALTS = 32  # parts into which the occurrences of one line on one site are dealt
 _OWN = ("__site", "__text", "__page", "__drop")
 
 
+#: Scripts, styles and comments up to their first end, and tags. Possessive loops over what cannot be an end: no backing
+#: up, no recursion, and a character is looked at once where a lazy ``.*?`` would try the end at every place.
+_HIDDEN = r"<(?:(?i:script|style)\b[^<]*+(?:<(?!/(?i:script|style)>)[^<]*+)*+</(?i:script|style)>|!--[^-]*+(?:-(?!->)[^-]*+)*+-->)"
+_TAG = r"<[^>]*+>"
+
+
 def html_lines(html: Column) -> Column:
     """The visible text of a page, each run of text between two tags on a line of its own."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", "\n")
-    return F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
+    bare = F.regexp_replace(html, _HIDDEN, "\n")
+    # no tag begins behind the last ">", and looking for its end from each "<" there would take the square of their number
+    rest = F.substring_index(bare, ">", -1)
+    return F.concat(F.regexp_replace(F.left(bare, F.length(bare) - F.length(rest)), _TAG, "\n"), rest)
 
 
-def _line_id(line: Column) -> Column:
-    trimmed = F.trim(line)
+def _line_id(trimmed: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
@@ -41,9 +48,13 @@ def drop_boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: fl
     # the content key stands for the page: equal texts of one site lose the same lines
     rows = pages.select(*[F.col(f"`{c}`") for c in plain], F.coalesce(site, F.lit("\u0000")).alias(_OWN[0]), text.alias(_OWN[1]))
     rows = rows.withColumn(_OWN[2], F.struct(F.xxhash64(_OWN[1]).alias("a"), F.xxhash64(F.lit(1), F.col(_OWN[1])).alias("b")))
-    lines = F.array_distinct(F.transform(F.filter(F.split(_OWN[1], "\n"), lambda s: F.trim(s) != ""), _line_id))
-    occurrences = rows.select(F.col(_OWN[0]).alias("site"), F.col(_OWN[2]).alias("page"), F.explode(lines).alias("line"))
-    totals = rows.groupBy(F.col(_OWN[0]).alias("site")).agg(F.count(F.lit(1)).alias("total"))
+    # told apart as texts, which takes a hash set, where structs would be compared pair by pair
+    solid_lines = F.filter(F.array_distinct(F.transform(F.split(_OWN[1], "\n"), lambda s: F.trim(s))), lambda s: s != "")
+    lines = F.transform(solid_lines, _line_id)
+    # what the counts need of the pages, without their text: lines are cut and hashed once
+    slim = written(rows.select(F.col(_OWN[0]).alias("site"), F.col(_OWN[2]).alias("page"), lines.alias("lines")), "line-ids")
+    occurrences = slim.select("site", "page", F.explode("lines").alias("line"))
+    totals = slim.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     frequent = (
         occurrences.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
         .join(totals, "site").filter(F.col("n") > max_ratio * F.col("total"))
@@ -57,7 +68,7 @@ def drop_boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: fl
     joined = rows.join(drops, [_OWN[0], _OWN[2]], "left")
     all_lines = F.split(_OWN[1], "\n")
     dropped = F.coalesce(F.col(_OWN[3]), F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    kept = F.filter(all_lines, lambda s: ~F.array_contains(dropped, _line_id(s)))
+    kept = F.filter(all_lines, lambda s: ~F.array_contains(dropped, _line_id(F.trim(s))))
     solid = F.size(F.filter(all_lines, lambda s: F.trim(s) != ""))
     solid_kept = F.size(F.filter(kept, lambda s: F.trim(s) != ""))
     untouched = F.col(_OWN[3]).isNull()

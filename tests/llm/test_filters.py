@@ -9,6 +9,7 @@ from itertools import combinations
 
 import pytest
 from agvlens.llm import licenses, line_dedup, quality, secrets, url_rules
+from pyspark.sql import functions as F
 
 
 def test_lines_over_the_ratio_go(documents):
@@ -33,6 +34,19 @@ def test_lines_against_brute_force(spark, documents, prose):
     assert any(often.values())
 
 
+def test_hidden_parts_end_at_their_first_end(spark):
+    pieces = ["<script", "<STYLE>", "</script>", "</Style>", "</script >", "<!--", "-->", "--", "-", ">", "<", "a\n", " b ", "<p>", "scripts", "e<"]
+    dice = random.Random(2)
+    pages = ["".join(dice.choice(pieces) for _ in range(dice.randint(0, 14))) for _ in range(3000)] + ["<script>" + "<x>-" * 50_000 + "</style>z", "<!--" + "-<" * 50_000]
+    pages += ["<script>" + "<" * 100_000, None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string").repartition(4)
+    got = {r["id"]: r["t"] for r in df.select("id", line_dedup.html_lines(F.col("html")).alias("t")).collect()}
+    for i, p in enumerate(pages[:3000]):
+        bare = re.sub(r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", "\n", p, flags=re.ASCII)
+        assert got[i] == re.sub(r"(?s)<[^>]*>", "\n", bare), p
+    assert got[3000] == "\nz" and got[3003] is None
+
+
 @pytest.mark.parametrize("url,host,path,rule,verdict", [
     ("http://A.Org/x?y#z", "a.org", "/x", "org/", "allow"), ("https://example.org/es/1", "example.org", "/es/1", "example.org/es/", "block"),
     ("http://m.example.org/en/12", "m.example.org", "/en/12", "example.org/en/1", "block"), ("http://x.com/de/", "x.com", "/de/", "com/de/", "block"),
