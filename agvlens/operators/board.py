@@ -51,33 +51,44 @@ PARTS = {
 }
 
 
+FIELDS = tuple(f for _, own, _ in PARTS.values() for f in own)
+
+
+def patch_rows(patches: DataFrame) -> DataFrame:
+    """Typed patches as (type, id, place, FIELDS): those that name an id and set their part's required field."""
+    kind, ids, required = F.col("type"), F.lit(None).cast("string"), F.lit(False)
+    for t, (key, own, _) in PARTS.items():
+        ids = F.when(kind == t, F.col(f"payload.{key}")).otherwise(ids)
+        required = F.when(kind == t, F.col(f"payload.{own[0]}").isNotNull()).otherwise(required)
+    place = F.struct(F.col("seq").cast("long").alias("seq"), F.col("slot").cast("int").alias("slot"))
+    return patches.filter(required).select(
+        "type", ids.alias("id"), place.alias("place"), *[F.col(f"payload.{f}").alias(f) for f in FIELDS]).filter(F.col("id").isNotNull())
+
+
+def snapshot_rows(vehicles: DataFrame, zones: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """A snapshot's three tables as (type, id, FIELDS)."""
+    first = dict(zip(PARTS, (vehicles, zones, anomalies), strict=True))
+    parts = [first[t].select(F.lit(t).alias("type"), F.col(key).alias("id"), *own) for t, (key, own, _) in PARTS.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def may_be_added() -> Column:
+    """Whether a patch of this type may add what the snapshot lacks."""
+    return F.col("type").isin(*[t for t, (_, _, may_add) in PARTS.items() if may_add])
+
+
 def fold(vehicles: DataFrame, zones: DataFrame, anomalies: DataFrame, patches: DataFrame) -> DataFrame:
     """The whole board after ``patches``: (type, id, fields of all parts), as the three folds above give it.
 
     Snapshot rows stand before any patch, so the last row per (type, id) is the state: one parse of the feed, one
     aggregate that combines before its only shuffle, no join.
     """
-    kind, fields = F.col("type"), [f for _, own, _ in PARTS.values() for f in own]
-    first = dict(zip(PARTS, (vehicles, zones, anomalies), strict=True))
-    known = [
-        first[t].select(F.lit(t).alias("type"), F.col(key).alias("id"), F.lit(True).alias("known"),
-                        F.lit(None).cast("struct<seq:bigint,slot:int>").alias("place"), *own)
-        for t, (key, own, _) in PARTS.items()
-    ]
-    ids, required = F.lit(None).cast("string"), F.lit(False)
-    for t, (key, own, _) in PARTS.items():
-        ids = F.when(kind == t, F.col(f"payload.{key}")).otherwise(ids)
-        required = F.when(kind == t, F.col(f"payload.{own[0]}").isNotNull()).otherwise(required)
-    changes = patches.filter(required).select(
-        "type", ids.alias("id"), F.lit(False).alias("known"),
-        F.struct(F.col("seq").cast("long").alias("seq"), F.col("slot").cast("int").alias("slot")).alias("place"),
-        *[F.col(f"payload.{f}").alias(f) for f in fields]).filter(F.col("id").isNotNull())
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [changes, *known])
+    known = snapshot_rows(vehicles, zones, anomalies).withColumns({"known": F.lit(True), "place": F.lit(None).cast("struct<seq:bigint,slot:int>")})
+    rows = patch_rows(patches).withColumn("known", F.lit(False)).unionByName(known, allowMissingColumns=True)
     # the order is a struct, as max_by passes over rows whose order is null
-    last = F.max_by(F.struct(*fields), F.struct(~F.col("known"), "place")).alias("last")
+    last = F.max_by(F.struct(*FIELDS), F.struct(~F.col("known"), "place")).alias("last")
     folded = rows.groupBy("type", "id").agg(F.max("known").alias("known"), last)
-    adds = [t for t, (_, _, may_add) in PARTS.items() if may_add]
-    return folded.filter(F.col("known") | kind.isin(*adds)).select("type", "id", "last.*")
+    return folded.filter(F.col("known") | may_be_added()).select("type", "id", "last.*")
 
 
 def snapshot_envelope(status_counts: DataFrame, zone_counts: DataFrame) -> DataFrame:

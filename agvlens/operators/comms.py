@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import SkewPolicy, Thresholds
 from ..functions import first_tick_after, from_micros, micros, seconds_between
-from .rules import RULES, Rule, detect
+from .rules import RULES, Rule, fired
 from .skew import find_hot_keys, with_neighbour, with_running_sum
+from .state import with_prior
 
 COMMS_LOSS = "comms_loss"
 
@@ -19,12 +20,6 @@ def comms_loss_detail(t: Thresholds) -> Column:
     return F.lit(f"no event for over {t.comms_loss_seconds}s")
 
 
-def newest_flags(flags: DataFrame) -> DataFrame:
-    """The last comms_loss per vehicle, which is all a later sweep can depend on."""
-    last = flags.groupBy("vehicle_id").agg(F.max("detected_at").alias("detected_at"), F.first("detail").alias("detail"))
-    return last.select("vehicle_id", F.lit(COMMS_LOSS).alias("anomaly_type"), "detail", "detected_at")
-
-
 def sweep(state: DataFrame, anomalies: DataFrame, now: Column, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Vehicles newly found silent at ``now``.
 
@@ -63,22 +58,36 @@ def episodes(telemetry: DataFrame, until: Column, thresholds: Thresholds = Thres
         comms_loss_detail(thresholds).alias("detail"), from_micros(tick).alias("detected_at"))
 
 
-def silence_anomalies(telemetry: DataFrame, until: Column, rule_ord: int = len(RULES),
-                      thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Silence episodes as rows of the anomalies table.
+def ended_silence(t: Thresholds) -> Rule:
+    """A silence as a rule of the reading that ended it: it belongs to the reading before, at the tick that found it.
 
-    An episode has the ``seq`` of the last reading before it, and stands after all rules of that reading. Since it
-    is flagged before the vehicle's next reading, (seq, rule_ord) stays the order in which a vehicle's anomalies came up.
+    ``sweeps_until`` must be a column of the readings: the instant up to which sweeps ran.
     """
-    return episodes(telemetry, until, thresholds, policy).select(
-        "seq", F.lit(rule_ord).cast("int").alias("rule_ord"), "vehicle_id", "anomaly_type", "detail", "detected_at")
+    tick = f"timestamp_micros((floor((unix_micros(prior_recorded_at) + {t.comms_loss_seconds} * 1000000L) / 1000000) + 1) * 1000000)"
+    return Rule(COMMS_LOSS, True, f"{tick} < recorded_at and {tick} <= sweeps_until",
+                detail=f"'no event for over {t.comms_loss_seconds}s'", seq="prior_seq", at=tick)
+
+
+def lasting_silences(telemetry: DataFrame, until: Column, rule_ord: int = len(RULES), thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Silences up to ``until`` that no reading has ended: at most one per vehicle, from its last reading."""
+    last = telemetry.groupBy("vehicle_id").agg(F.max("seq").alias("seq"), F.max_by("recorded_at", "seq").alias("recorded_at"))
+    tick = first_tick_after(F.col("recorded_at"), thresholds.comms_loss_seconds)
+    return last.filter(tick <= micros(until)).select(
+        "seq", F.lit(rule_ord).cast("int").alias("rule_ord"), "vehicle_id", F.lit(COMMS_LOSS).alias("anomaly_type"),
+        comms_loss_detail(thresholds).alias("detail"), from_micros(tick).alias("detected_at"))
 
 
 def all_anomalies(telemetry: DataFrame, until: Column, rules: Sequence[Rule] = RULES,
                   thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """The anomalies table: what the rules found, and the silences flagged up to ``until``."""
-    silent = silence_anomalies(telemetry, until, len(rules), thresholds, policy)
-    return detect(telemetry, rules, thresholds, policy=policy).unionByName(silent)
+    """The anomalies table: what the rules found, and the silences flagged up to ``until``.
+
+    An episode of silence has the ``seq`` of the last reading before it, and stands after all rules of that reading. Since it
+    is flagged before the vehicle's next reading, (seq, rule_ord) stays the order in which a vehicle's anomalies came up.
+    Rules and silences look at the same previous reading, so the log is shuffled by vehicle once.
+    """
+    readings = with_prior(telemetry, policy=policy).withColumn("sweeps_until", until.cast("timestamp"))
+    found = fired(readings, [*rules, ended_silence(thresholds)], thresholds)
+    return found.unionByName(lasting_silences(telemetry, until, len(rules), thresholds))
 
 
 def stuck_dwell(telemetry: DataFrame, thresholds: Thresholds = Thresholds(),

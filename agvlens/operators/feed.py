@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..config import FEED_TYPES, WATCHED_TABLES, SkewPolicy, Thresholds
 from ..functions import evaluated_once, iso_utc
 from ..schemas import ENVELOPE
-from .comms import silence_anomalies
-from .rules import fired
-from .state import with_prior
+from .comms import all_anomalies
+from .rules import detect
 from .zones import running_counts
 
 # Order of the patches of one reading: its state, its zone, then its anomalies by rule.
@@ -59,10 +58,9 @@ def _patches(df: DataFrame, slot: Column, table: str, payload: Column, ts: Colum
         payload.alias("payload"), ts.alias("ts"))
 
 
-def change_feed_from(readings: DataFrame, telemetry: DataFrame, zone_base: DataFrame | None = None,
-                     thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy(),
-                     small: bool = False) -> DataFrame:
-    """Patches of ``telemetry``; ``readings`` is the same with ``prior``.
+def change_feed_of(telemetry: DataFrame, anomalies: DataFrame, zone_base: DataFrame | None = None,
+                   policy: SkewPolicy = SkewPolicy(), small: bool = False) -> DataFrame:
+    """Patches of ``telemetry`` and of its rows in the anomalies table, silences included.
 
     ``zone_base`` holds the counters before the first reading. State and zone patches start
     from the plain log, so only the anomalies need the shuffle by vehicle.
@@ -71,24 +69,16 @@ def change_feed_from(readings: DataFrame, telemetry: DataFrame, zone_base: DataF
     zones = _patches(
         running_counts(telemetry, zone_base, policy, small), F.lit(SLOT_ZONE), "zone_counts", zone_payload(),
         F.col("recorded_at"))
-    anomalies = _patches(
-        fired(readings, thresholds=thresholds), F.lit(SLOT_ANOMALY) + F.col("rule_ord"), "anomalies",
-        anomaly_payload(), F.col("detected_at"))
-    return state.unionByName(zones).unionByName(anomalies)
-
-
-def silence_patches(silences: DataFrame) -> DataFrame:
-    """Patches of lost communication, from rows of the anomalies table."""
-    return _patches(silences, F.lit(SLOT_ANOMALY) + F.col("rule_ord"), "anomalies", anomaly_payload(), F.col("detected_at"))
+    found = _patches(anomalies, F.lit(SLOT_ANOMALY) + F.col("rule_ord"), "anomalies", anomaly_payload(), F.col("detected_at"))
+    return state.unionByName(zones).unionByName(found)
 
 
 def change_feed(telemetry: DataFrame, thresholds: Thresholds = Thresholds(), policy: SkewPolicy = SkewPolicy(),
                 until: Column | None = None) -> DataFrame:
     """Patches of a whole log; with ``until``, also of the silences that sweeps up to then would have flagged."""
-    readings = change_feed_from(with_prior(telemetry, policy=policy), telemetry, None, thresholds, policy)
     if until is None:
-        return readings
-    return readings.unionByName(silence_patches(silence_anomalies(telemetry, until, thresholds=thresholds, policy=policy)))
+        return change_feed_of(telemetry, detect(telemetry, thresholds=thresholds, policy=policy), policy=policy)
+    return change_feed_of(telemetry, all_anomalies(telemetry, until, thresholds=thresholds, policy=policy), policy=policy)
 
 
 def parse_patches(messages: DataFrame) -> DataFrame:

@@ -43,18 +43,27 @@ def errors(requests: DataFrame) -> DataFrame:
     return requests.filter((F.col("status_code") < 200) | (F.col("status_code") > 299))
 
 
+def per_minute(rows: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Rows of each minute and group: (minute, by, n)."""
+    return rows.groupBy(F.date_trunc("minute", ts).alias("minute"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding_over(counts: DataFrame, by: Sequence[str], minutes: int = 4) -> DataFrame:
+    """Sums of per-minute counts, whole or in parts, over the windows that cover them."""
+    starts = F.sequence(
+        F.col("minute") - F.expr(f"interval {minutes - 1} minutes"), F.col("minute"), F.expr("interval 1 minute"))
+    covered = counts.select(F.explode(starts).alias("window_start"), *by, "n")
+    summed = covered.groupBy("window_start", *by).agg(F.sum("n").alias("n"))
+    return summed.withColumn("rate_per_s", F.col("n") / F.lit(minutes * 60.0))
+
+
 def sliding_rate(rows: DataFrame, by: Sequence[str], ts: str = "ts", minutes: int = 4) -> DataFrame:
     """Counts over ``minutes``-long windows that start every minute.
 
     Rows are counted per minute first; only those counts are copied to the windows that
     cover them, not the rows.
     """
-    per_minute = rows.groupBy(F.date_trunc("minute", ts).alias("minute"), *by).agg(F.count(F.lit(1)).alias("n"))
-    starts = F.sequence(
-        F.col("minute") - F.expr(f"interval {minutes - 1} minutes"), F.col("minute"), F.expr("interval 1 minute"))
-    covered = per_minute.select(F.explode(starts).alias("window_start"), *by, "n")
-    summed = covered.groupBy("window_start", *by).agg(F.sum("n").alias("n"))
-    return summed.withColumn("rate_per_s", F.col("n") / F.lit(minutes * 60.0))
+    return sliding_over(per_minute(rows, by, ts), by, minutes)
 
 
 # -- histograms -------------------------------------------------------------------------

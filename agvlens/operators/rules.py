@@ -27,7 +27,8 @@ class Rule:
     ``x``, ``y`` and ``note`` are SQL for up to two numbers and a text to describe it by, and
     ``detail`` is SQL over these and over ``a`` and ``b``, the shortest text of ``x`` and ``y``.
     Keeping the numbers apart means text is made for fired rules only, and that the number
-    formatting is generated once instead of once per rule.
+    formatting is generated once instead of once per rule. ``seq`` and ``at`` are SQL for the reading
+    the anomaly belongs to and the instant it was detected.
     """
 
     name: str
@@ -37,6 +38,8 @@ class Rule:
     y: str = NO_NUMBER
     note: str = NO_TEXT
     detail: str = NO_TEXT
+    seq: str = "seq"
+    at: str = "recorded_at"
 
     def condition(self, t: Thresholds) -> str:
         holds = self.fires.format(**asdict(t))
@@ -78,32 +81,32 @@ def _ready(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _described(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rows (seq, vehicle_id, recorded_at, rule_ord, x, y, note) to anomalies."""
+    """Rows (seq, vehicle_id, at, rule_ord, x, y, note) to anomalies."""
     texts = hits.selectExpr(
         "*", f"{float_text_sql('x')} as a", f"{float_text_sql('y')} as b")
     choose = lambda part: "case rule_ord " + " ".join(
         f"when {i} then {part(r)}" for i, r in enumerate(rules)) + " end"
     return texts.selectExpr(
         "seq", "rule_ord", "vehicle_id", choose(lambda r: f"'{r.name}'") + " as anomaly_type",
-        choose(lambda r: r.detail) + " as detail", "recorded_at as detected_at")
+        choose(lambda r: r.detail) + " as detail", "at as detected_at")
 
 
 def fired(readings: DataFrame, rules: Sequence[Rule] = RULES, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """One row per fired rule, from readings that already carry ``prior_*`` if a rule is stateful."""
     hits = ", ".join(
         f"case when {r.condition(thresholds)} then named_struct("
-        f"'rule_ord', {i}, 'x', {r.x}, 'y', {r.y}, 'note', {r.note}) end"
+        f"'rule_ord', {i}, 'x', {r.x}, 'y', {r.y}, 'note', {r.note}, 'seq', {r.seq}, 'at', {r.at}) end"
         for i, r in enumerate(rules)
     )
     # explode then filter: both stay in generated code, a higher-order filter would not
-    one_each = _ready(readings, rules).selectExpr("seq", "vehicle_id", "recorded_at", f"explode(array({hits})) as hit")
-    return _described(one_each.filter("hit is not null").selectExpr("seq", "vehicle_id", "recorded_at", "hit.*"), rules)
+    one_each = _ready(readings, rules).selectExpr("vehicle_id", f"explode(array({hits})) as hit")
+    return _described(one_each.filter("hit is not null").selectExpr("vehicle_id", "hit.*"), rules)
 
 
 def fired_single(readings: DataFrame, rule: Rule, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Like :func:`fired` for one rule, as a plain filter the scan can take over."""
     hits = _ready(readings, [rule]).filter(rule.condition(thresholds)).selectExpr(
-        "seq", "vehicle_id", "recorded_at", "0 as rule_ord", f"{rule.x} as x", f"{rule.y} as y", f"{rule.note} as note")
+        f"{rule.seq} as seq", "vehicle_id", f"{rule.at} as at", "0 as rule_ord", f"{rule.x} as x", f"{rule.y} as y", f"{rule.note} as note")
     return _described(hits, [rule]).select("seq", "vehicle_id", "detail", "detected_at")
 
 

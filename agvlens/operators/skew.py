@@ -21,6 +21,7 @@ from ..config import SkewPolicy
 SLICE = "_slice"
 _COLD = -(1 << 63)  # the slice of keys that are not split
 _SEED, _WIDTH = "_seed", "_width"
+CELLS = 64  # cells of equal depth that a key's positions are cut into before they are cut evenly
 
 
 @dataclass(frozen=True)
@@ -87,10 +88,36 @@ def find_hot_keys(df: DataFrame, *key: str, position: Column | None = None,
     return HotKeys(key, df.sparkSession.createDataFrame([(*(r[k] for k in key), width(r)) for r in heavy], schema))
 
 
+def depth_cells(df: DataFrame, key: tuple[str, ...], position: Column, rows: int, cells: int = CELLS) -> DataFrame:
+    """Per key, ``_cells`` (low, width, base): where slices of about ``rows`` rows lie, however its positions are spread.
+
+    A quantile sketch cuts each key's positions into cells of equal depth, and cells of more than ``rows`` rows are cut evenly;
+    ``base`` numbers a cell's first slice. One aggregate that combines before its shuffle; as many rows as there are keys.
+    """
+    edges = [i / cells for i in range(1, cells)]
+    found = df.select(*key, position.alias("_at")).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"), F.percentile_approx("_at", edges, 10 * cells).alias("_q"))
+    whole = F.col("_n") <= rows
+    lows = F.when(whole, F.array("_lo")).otherwise(F.array_sort(F.array_distinct(F.concat(F.array("_lo"), "_q"))))
+    each = F.when(whole, 1).otherwise(F.ceil(F.col("_n") / F.lit(cells * rows))).cast("long")
+    def cell(low: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_lows", i + 1), F.col("_hi") + 1)
+        width = F.greatest(F.ceil((end - low) / F.col("_each")), F.lit(1)).cast("long")
+        return F.struct(low.alias("low"), width.alias("width"), (i * F.col("_each")).cast("long").alias("base"))
+
+    return found.withColumns({"_lows": lows, "_each": each}).select(*key, F.transform("_lows", cell).alias("_cells"))
+
+
 def sliced(df: DataFrame, hot: HotKeys, position: Column, width: int) -> DataFrame:
-    """Add the slice number; ``position`` is a long, ``width`` its span of a slice where the key has none of its own."""
+    """Add the slice number; ``position`` is a long, ``width`` the rows of a slice, and its span where the key has none of its own."""
     if hot.everything:
-        return df.withColumn(SLICE, F.floor(position / F.lit(width)).cast("long"))
+        # every_key is for low-cardinality keys: a row for each
+        cells = depth_cells(df, hot.key, position, width).withColumnsRenamed({k: f"_of_{k}" for k in hot.key})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in hot.key]
+        placed = df.withColumn("_at", position).join(F.broadcast(cells), reduce(Column.__and__, same)).withColumn(
+            "_cell", F.element_at(F.filter("_cells", lambda c: c["low"] <= F.col("_at")), -1))
+        number = F.col("_cell.base") + F.floor((F.col("_at") - F.col("_cell.low")) / F.col("_cell.width"))
+        return placed.withColumn(SLICE, number.cast("long")).select(*df.columns, SLICE)
     marked = hot.mark(df, _WIDTH, F.coalesce(F.col("width"), F.lit(width)))
     number = F.floor(position / F.col(_WIDTH)).cast("long")
     return marked.withColumn(SLICE, F.coalesce(number, F.lit(_COLD))).drop(_WIDTH)

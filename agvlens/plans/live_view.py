@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import VEHICLE_STATE_CHANGED, ZONE_COUNT_CHANGED
 from ..functions import float_text, iso_utc
-from ..operators import anomalies, board, comms, feed, state, zones
+from ..operators import anomalies, board, feed, state, zones
+from ..session import stored
 from ..sources.writers import feed_to_messages
 from .detection import anomaly_table, instant
 from .oracle_views import PLAIN_HORIZON
@@ -58,20 +59,15 @@ def parse_patches(t):
         "seq", "type", "payload.vehicle_id", "payload.status", "payload.battery_pct")
 
 
-@query("apply_patches", f"""
+APPLIED_SQL = f"""
 select 'vehicle' as entity, vehicle_id as id, status || ' ' || cast(battery_pct as varchar) as value from last_reading
 where vehicle_id in (select vehicle_id from telemetry where recorded_at < timestamp '{HALF}')
 union all select 'zone', zone_id, cast(entry_count as varchar) from zone_totals
-union all select 'anomaly', vehicle_id, anomaly_type || coalesce(' ' || detail, '') from latest_anomaly""")
-def apply_patches(t):
-    """Snapshot of the first half of the log, then the feed of the second half folded onto it."""
-    telemetry = t.telemetry()
-    before = first_half(telemetry)
-    later = whole_feed(t).filter(F.col("ts") >= instant(HALF))
-    patches = feed.parse_patches(feed_to_messages(later))
-    earlier = comms.all_anomalies(telemetry, instant(PLAIN_HORIZON)).filter(F.col("detected_at") < instant(HALF))
-    newest = anomalies.latest_per_vehicle(earlier).withColumn("detected_at", iso_utc(F.col("detected_at")))
-    folded = board.fold(state.current_state(before), zones.zone_counts(before), newest, patches)
+union all select 'anomaly', vehicle_id, anomaly_type || coalesce(' ' || detail, '') from latest_anomaly"""
+
+
+def board_text(folded):
+    """The board's rows (type, id, fields) as one text each."""
     of = lambda kind, value: F.when(F.col("type") == kind, value)
     return folded.select(
         F.coalesce(of(VEHICLE_STATE_CHANGED, F.lit("vehicle")), of(ZONE_COUNT_CHANGED, F.lit("zone")), F.lit("anomaly")).alias("entity"), "id",
@@ -80,6 +76,19 @@ def apply_patches(t):
             of(ZONE_COUNT_CHANGED, F.col("entry_count").cast("string")), F.concat_ws(" ", "anomaly_type", "detail")).alias("value"))
 
 
+@query("apply_patches", APPLIED_SQL)
+def apply_patches(t):
+    """Snapshot of the first half of the log, then the feed of the second half folded onto it."""
+    telemetry = t.telemetry()
+    found = stored(anomaly_table(t), "anomalies")  # the snapshot and the feed both start from it
+    before = first_half(telemetry)
+    later = feed.change_feed_of(telemetry, found).filter(F.col("ts") >= instant(HALF))
+    patches = feed.parse_patches(feed_to_messages(later))
+    newest = anomalies.latest_per_vehicle(found.filter(F.col("detected_at") < instant(HALF)))
+    newest = newest.withColumn("detected_at", iso_utc(F.col("detected_at")))
+    return board_text(board.fold(state.current_state(before), zones.zone_counts(before), newest, patches))
+
+
 @query("ws_snapshot", """
 select 'snapshot' as type, '{"fleet":{' || (select string_agg('"' || status || '":' || cast(n as varchar), ',' order by status)
     from (select s.status, count(l.vehicle_id) as n from statuses s left join last_reading l on l.status=s.status group by 1))

@@ -48,8 +48,8 @@ OUTCOMES = _schema(
 )
 TRANSITIONS = _schema(("seq", LNG), ("vehicle_id", STR), ("prior_status", STR), ("reason", STR))
 OPENED_RECORDS = _schema(("vehicle_id", STR), ("mission_id", LNG), ("reason", STR), ("opened_seq", LNG))
-TOUCHED = _schema(
-    ("vehicle_id", STR), ("status", STR), ("as_of", LNG), ("faulted", T.BooleanType()), ("opened", T.BooleanType()),
+FLEET = _schema(
+    ("vehicle_id", STR), ("status", STR), ("known", T.BooleanType()), ("mission_id", LNG), ("faulted", T.BooleanType()), ("opened", T.BooleanType()),
 )
 SWEPT = _schema(("vehicle_id", STR), ("anomaly_type", STR), ("detail", STR), ("detected_at", TS))
 CHANGE_FEED = _schema(("seq", LNG), ("slot", INT), ("type", STR), ("payload", STR), ("ts", TS))
@@ -57,6 +57,10 @@ PATCH_PAYLOAD = _schema(
     ("vehicle_id", STR), ("status", STR), ("battery_pct", DBL), ("anomaly_type", STR),
     ("detail", STR), ("detected_at", STR), ("zone_id", STR), ("entry_count", DBL),
 )
+BOARD = _schema(
+    ("key", STR), ("type", STR), ("id", STR), ("status", STR), ("battery_pct", DBL), ("entry_count", LNG),
+    ("anomaly_type", STR), ("detail", STR), ("detected_at", STR),
+)
 ENVELOPE = _schema(("type", STR), ("payload", PATCH_PAYLOAD))
 REQUESTS = _schema(
     ("ts", TS), ("method", STR), ("route", STR), ("status_code", INT), ("duration_ms", DBL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "agvlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,3 +51,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         base = _LOCAL_BASE.get("dir") or tempfile.mkdtemp(prefix="agvlens-")
         _LOCAL_BASE["dir"] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared scratch location, for what is read more than once; survives lost executors."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import Folder
+
 
 def append_raw_log(telemetry: DataFrame, path: str, mode: str = "append") -> None:
     """Append full readings, partitioned by day.
@@ -28,27 +30,22 @@ def cluster_raw_log(telemetry: DataFrame, path: str) -> None:
 
 
 def publish_version(df: DataFrame, root: str, version: int) -> None:
-    """Write a complete table version, then its marker; readers see it only with the marker."""
+    """Write a complete table version, then its marker, then the pointer to the newest; readers see it only with the marker."""
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
-    marker = df.sparkSession.range(1).select(F.lit(True).alias("committed"))
-    marker.coalesce(1).write.mode("overwrite").parquet(f"{root}-committed/version={version}")
-
-
-def published_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions, ascending: one per publication, so a short list."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}-committed")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return []
-    rows = spark.read.parquet(f"{root}-committed").select(F.col("version").cast("long")).distinct().collect()
-    return sorted(r["version"] for r in rows)
+    marks = Folder(f"{root}-committed")
+    marks.put(str(version), "")
+    if not marks.exists("newest") or int(marks.text("newest")) < version:
+        marks.put("newest", str(version))
 
 
 def read_at_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The table as of one committed version (default: the last)."""
-    versions = published_versions(spark, root)
-    if not versions or (version is not None and version not in versions):
+    """The table as of one committed version (default: the last); asks for that version's marker alone, however many there are."""
+    marks = Folder(f"{root}-committed")
+    if version is None and marks.exists("newest"):
+        version = int(marks.text("newest"))
+    if version is None or not marks.exists(str(version)):
         raise LookupError(f"no committed version {version} under {root}")
-    return spark.read.parquet(f"{root}/version={versions[-1] if version is None else version}")
+    return spark.read.parquet(f"{root}/version={version}")
 
 
 def feed_to_messages(feed: DataFrame) -> DataFrame:

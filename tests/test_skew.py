@@ -128,3 +128,33 @@ def test_operators_do_not_depend_on_the_split(telemetry):
     assert rows_of(zones.running_counts(df, policy=TINY)) == rows_of(zones.running_counts(df))
     shuffled = df.repartition(7, "battery_pct")
     assert rows_of(state.current_state(shuffled)) == rows_of(state.current_state(df))
+
+
+def test_slices_of_every_key_are_of_equal_depth(spark):
+    """Sequence numbers as a Kafka reader makes them, one zone sparse, one in bursts, one tiny."""
+    rows = [(i * 65536 + i % 8, "sparse") for i in range(3000)]
+    rows += [(10**9 + (i % 100) + (i // 100) * 10**7, "bursts") for i in range(6000)]
+    rows += [(5, "tiny"), (6, None)]
+    log = spark.createDataFrame(rows, "seq long, key string")
+    cut = skew.sliced(log, skew.every_key("key"), F.col("seq"), 50)
+    depth = {(r["key"], r[skew.SLICE]): r["count"] for r in cut.groupBy("key", skew.SLICE).count().collect()}
+    for key, n in (("sparse", 3000), ("bursts", 6000)):
+        mine = [d for (k, _), d in depth.items() if k == key]
+        assert n / 50 <= len(mine) <= 4 * n / 50 and max(mine) <= 2 * 100
+    assert depth["tiny", 0] == depth[None, 0] == 1 and sum(depth.values()) == 9002
+    starts = {k: sorted((r[skew.SLICE], r["lo"], r["hi"]) for r in cut.filter(F.col("key") == k).groupBy(skew.SLICE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).collect()) for k in ("sparse", "bursts")}
+    for cells in starts.values():  # slices follow each other
+        assert all(a[2] < b[1] for a, b in zip(cells, cells[1:]))
+
+
+@pytest.mark.parametrize("mode", ["hot", "everything"])
+def test_running_sum_of_kafka_positions(spark, mode):
+    rnd = random.Random(9)
+    rows = [(s * 65536 + s % 3, rnd.choice(["a", "a", "b", None]), rnd.randint(0, 9)) for s in rnd.sample(range(10**6), 700)]
+    log = spark.createDataFrame(rows, "seq long, key string, x int")
+    hot = skew.every_key("key") if mode == "everything" else skew.find_hot_keys(log, "key", policy=TINY)
+    sums, want = {}, []
+    for seq, key, x in sorted(rows, key=lambda r: r[0]):
+        sums[key] = sums.get(key, 0) + x
+        want.append((seq, sums[key]))
+    assert rows_of(skew.with_running_sum(log, hot, ["seq"], F.col("x"), "s", policy=TINY), "seq", "s") == sorted(want, key=repr)
