@@ -38,3 +38,36 @@ def recent(anomalies: DataFrame, vehicle_id: str, since: datetime | str, until:
     wanted = (F.col("vehicle_id") == vehicle_id) & F.col("detected_at").between(F.lit(lo), F.lit(hi))
     return anomalies.filter(wanted).orderBy("detected_at", "seq", "rule_ord").select(
         "vehicle_id", "anomaly_type", "detail", "detected_at")
+
+
+def checked_parameters(parameters: DataFrame) -> DataFrame:
+    """Query parameters (query_id, vehicle_id, since, until; the bounds as text) with their instants and ``reject_reason``.
+
+    The same checks as :func:`recent`, first reason first; zone-less bounds are UTC, the session's time zone.
+    """
+    instant = lambda c: F.try_to_timestamp(F.translate(c, "Tt", "  "))
+    checked = parameters.withColumns({"since_ts": instant("since"), "until_ts": instant("until")})
+    reason = (
+        F.when(F.coalesce(F.col("vehicle_id"), F.lit("")) == "", "vehicle_id")
+        .when(F.col("since_ts").isNull(), "since").when(F.col("until_ts").isNull(), "until"))
+    return checked.withColumn("reject_reason", reason)
+
+
+def recent_for(anomalies: DataFrame, parameters: DataFrame, buckets: int = 64) -> DataFrame:
+    """The anomalies of many queries at once: (query_id, seq, rule_ord, vehicle_id, anomaly_type, detail, detected_at).
+
+    Rows are joined by vehicle and time bucket, so neither a vehicle with very many anomalies nor one that very many queries ask for
+    meets in one task whole. The span of the anomalies is cut into ``buckets``; a query is listed in those it reaches.
+    Rejected parameters give no rows.
+    """
+    span = anomalies.agg(F.min(F.unix_micros("detected_at")).alias("lo"), F.max(F.unix_micros("detected_at")).alias("hi")).first()  # two values
+    lo, hi = (0, 0) if span["lo"] is None else span
+    width = (hi - lo) // buckets + 1
+    place = lambda us: F.expr(f"({us} - {lo}) div {width}")
+    good = checked_parameters(parameters).filter("reject_reason is null").select(
+        "query_id", "vehicle_id", F.unix_micros("since_ts").alias("a"), F.unix_micros("until_ts").alias("b"))
+    reached = good.withColumns({"x": F.greatest("a", F.lit(lo)), "y": F.least("b", F.lit(hi))}).filter("x <= y")
+    listed = reached.withColumn("bucket", F.explode(F.sequence(place("x"), place("y")))).drop("x", "y")
+    rows = anomalies.withColumn("us", F.unix_micros("detected_at")).withColumn("bucket", place("us"))
+    return rows.join(listed, ["vehicle_id", "bucket"]).filter("us between a and b").select(
+        "query_id", "seq", "rule_ord", "vehicle_id", "anomaly_type", "detail", "detected_at")

@@ -185,6 +185,34 @@ def approx_quantiles(rows: DataFrame, value: str, by: Sequence[str], probs: Sequ
                                                                   F.col("_p")["quantile"].alias("quantile"))
 
 
+SKETCH_K = 800  # size of a quantile sketch; its rank error is then about half a per cent
+SKETCH_BOUND = 0.01
+
+
+def daily_sketches(rows: DataFrame, value: str, by: Sequence[str], ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """(day, by, n, sketch): a mergeable quantile sketch of each day, to be stored and added up over any days."""
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    return known.groupBy(F.to_date(ts).alias("day"), *by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(value, k).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, by: Sequence[str], probs: Sequence[float], k: int = SKETCH_K) -> DataFrame:
+    """Quantiles of all days given, from their sketches alone."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    each = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("quantile")) for p in probs])
+    return merged.select(*by, "n", F.inline(each))
+
+
+def rank_errors(rows: DataFrame, value: str, by: Sequence[str], estimates: DataFrame) -> DataFrame:
+    """``estimates`` (by, q, quantile, a few per group) with ``rank_error``: how far q lies from the exact ranks of the estimate."""
+    few = F.broadcast(estimates.groupBy(*by).agg(F.collect_list(F.struct("q", "quantile")).alias("_e")))  # a row per group
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).join(few, list(by))
+    each = known.select(*by, F.col(value).alias("_v"), F.explode("_e").alias("_e"))
+    counted = each.groupBy(*by, F.col("_e.q").alias("q"), F.col("_e.quantile").alias("quantile")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") < F.col("_e.quantile")).alias("_below"), F.count_if(F.col("_v") <= F.col("_e.quantile")).alias("_upto"))
+    off = F.greatest(F.col("_below") / F.col("n") - F.col("q"), F.col("q") - F.col("_upto") / F.col("n"), F.lit(0.0))
+    return counted.select(*by, "q", "n", "quantile", off.alias("rank_error"))
+
+
 # -- counters and gauges ----------------------------------------------------------------
 
 def counter_samples(rows: DataFrame, label: str, name: str) -> DataFrame:

@@ -74,6 +74,25 @@ def recent_anomalies(t):
     return anomalies.recent(anomaly_table(t), "v-3", "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z")
 
 
+# Parameters as callers send them, by vehicle number; some are to be rejected.
+_SINCE = "case when {u} % 7 = 3 then 'soon' when {u} % 2 = 0 then '2024-01-05T00:00:00Z' else '2024-01-10' end"
+_UNTIL = "case when {u} % 11 = 5 then '' else '2024-01-20T12:30:00Z' end"
+
+
+@query("recent_anomalies_tabular", """
+select p.user_id as query_id, seq, rule_ord, a.vehicle_id, anomaly_type, detail, detected_at
+from (select distinct user_id from events) p join anomalies a on a.vehicle_id = 'v-' || cast(p.user_id as varchar)
+where p.user_id%10<>9 and p.user_id%7<>3 and p.user_id%11<>5
+  and detected_at between case when p.user_id%2=0 then timestamp '2024-01-05' else timestamp '2024-01-10' end and timestamp '2024-01-20 12:30:00'""")
+def recent_anomalies_tabular(t):
+    """One query per vehicle, given as a table of parameters as text."""
+    users = t.events().select("user_id").distinct()
+    parameters = users.selectExpr(
+        "user_id as query_id", "case when user_id % 10 = 9 then '' else concat('v-', cast(user_id as string)) end as vehicle_id",
+        f"{_SINCE.format(u='user_id')} as since", f"{_UNTIL.format(u='user_id')} as until")
+    return anomalies.recent_for(anomaly_table(t), parameters)
+
+
 @query("stuck_dwell", """
 select vehicle_id, min_by(recorded_at, seq) as run_start, max_by(recorded_at, seq) as run_end, count(*) as readings,
   (epoch_us(max_by(recorded_at, seq))-epoch_us(min_by(recorded_at, seq)))/1000000.0::double as dwell_s

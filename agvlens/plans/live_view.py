@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..config import VEHICLE_STATE_CHANGED, ZONE_COUNT_CHANGED
 from ..functions import float_text, iso_utc
-from ..operators import anomalies, board, feed, state, zones
+from ..operators import anomalies, board, feed, state, versions, zones
 from ..session import stored
 from ..sources.writers import feed_to_messages
 from .detection import anomaly_table, instant
-from .oracle_views import PLAIN_HORIZON
+from .oracle_views import PLAIN_HORIZON, VIEWS
 from .readings import HALF, first_half
 from .registry import query
 
@@ -106,3 +106,35 @@ from last_reading l left join latest_anomaly a on a.vehicle_id=l.vehicle_id""")
 def fleet_board(t):
     telemetry = t.telemetry()
     return board.fleet_board(state.current_state(telemetry), anomalies.latest_per_vehicle(anomaly_table(t)))
+
+
+_STATE_ROWS = "select seq, vehicle_id, status, battery_pct, zone_entered from telemetry"
+
+
+def _published(t):
+    return t.telemetry().select("seq", "vehicle_id", "status", "battery_pct", "zone_entered")
+
+
+def _altered(t):
+    """The same table after a faulty replay: some rows changed, some lost, some there twice."""
+    rows = _published(t).withColumn("status", F.when(F.col("seq") % 97 == 0, "fault").otherwise(F.col("status"))).filter("seq % 101 <> 5")
+    return rows.unionByName(rows.filter("seq % 103 = 1"))
+
+
+VIEWS["altered_once"] = """
+    select seq, vehicle_id, case when seq%97=0 then 'fault' else status end as status, battery_pct, zone_entered from telemetry where seq%101<>5"""
+VIEWS["altered"] = "select * from altered_once union all select * from altered_once where seq%103=1"
+
+
+@query("versions_differ", f"""
+select only_in, count(*) as n, seq, vehicle_id, status, battery_pct, zone_entered from (
+  select 'left' as only_in, * from ({_STATE_ROWS} except all select * from altered)
+  union all select 'right', * from (select * from altered except all {_STATE_ROWS})) group by all""")
+def versions_differ(t):
+    return versions.difference(_published(t), _altered(t))
+
+
+@query("versions_equal", "select true as equal, count(*) as left_rows, count(*) as right_rows, 0::bigint as buckets_differing from telemetry")
+def versions_equal(t):
+    """A table against itself, in another order and as stored and read back."""
+    return versions.same_rows(_published(t), stored(_published(t).repartition(5, "status"), "version"))

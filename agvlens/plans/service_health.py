@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, traces
+from ..session import stored
 from .live_view import whole_feed
 from .oracle_views import windowed_quantiles_sql
 from .registry import query
@@ -57,8 +58,19 @@ def latency_quantiles(t):
     return rounded(metrics.exact_quantiles(t.requests_unrouted(), "duration_ms", ["route"], PROBS), "quantile")
 
 
-@query("latency_quantiles_sketch")
+@query("latency_quantiles_sketch", """
+select route, q, count(*) as n, true as within_bound from requests, (values (0.5::double), (0.95::double)) as p(q) group by 1, 2""")
 def latency_quantiles_sketch(t):
+    """Quantiles from stored sketches of each day, merged; each is held against the exact ranks of its value."""
+    sketches = stored(metrics.daily_sketches(t.requests(), "duration_ms", ["route"]), "latency-sketches")
+    found = metrics.sketched_quantiles(sketches, ["route"], PROBS)
+    held = metrics.rank_errors(t.requests(), "duration_ms", ["route"], found.drop("n"))
+    return held.select("route", "q", "n", (F.col("rank_error") <= metrics.SKETCH_BOUND).alias("within_bound"))
+
+
+@query("latency_quantiles_approx")
+def latency_quantiles_approx(t):
+    """One pass, nothing stored; sketches differ between engines, so there is no SQL to equal."""
     return metrics.approx_quantiles(t.requests(), "duration_ms", ["route"], PROBS)
 
 
