@@ -1,15 +1,15 @@
 """Histogram sort into shards of near equal bytes.
 
-Rows are ordered by (key, content hash). Each round counts, over all partitions, the exact bytes below every candidate
+Rows are ordered by (key, content, number of the row). Each round counts, over all partitions, the exact bytes below every candidate
 boundary; the candidates around a wanted splitter close in on it until the bytes below are within the tolerance, or the
-candidates are neighbouring keys, in which case the splitter falls inside that key's rows. Then the rows are exchanged
-once, into fine buckets that each belong to one shard, and numbered there.
+candidates are neighbours. Then the whole rows are exchanged once, into fine buckets that each belong to one shard, and numbered
+there in order; sizes and checksums are taken from the rows as they arrive.
 
-Equal (key, hash) rows travel as one row with a count, combined before any shuffle, and are dealt over neighbouring
-buckets by count when a splitter falls among them: a key of any weight is split exactly.
+A row's place among those of its key is 32 bits of its content's hash and 32 of its own number's, so equal texts stand together and
+a splitter can fall between copies: a key or a text of any weight is split. A bucket is sorted by Spark, which spills, so it may hold any number of rows.
 
-Defined cases: a null key sorts first; a null text is empty (size 8, checksum 0); repeated rows get slots of their own;
-an empty table gives an empty table.
+Defined cases: a null key sorts first; a null text is empty (size 8, checksum 0); repeated rows get slots of their own; a very long text
+makes its shard larger by at most itself; an empty table gives an empty table; other columns travel along, those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -19,38 +19,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_row, written
 
 SHARDS = 24
 PROBES = 16  # candidates per open splitter and round
 TOLERANCE = 0.001  # of a shard's bytes
-BUCKET_ROWS = 500_000  # rows a bucket should hold
+BUCKET_BYTES = 1 << 28  # about what a bucket should hold; only layout depends on it
 LAW = "bytes"
 _LOW = -(1 << 63)
+RESULT = ("size", "text_crc32", "law", "shard", "slot")
 
 
-def weighed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct (key, text) with its size, checksum and number of copies."""
+def placed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The whole rows (``doc``) with what they are ordered by (k, tie) and their size; written once, so that places stay."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.octet_length(t).cast("long").alias("bytes"),
-                       F.crc32(t).alias("crc"), F.xxhash64(t).alias("tie"))
-    return (
-        rows.groupBy("id", "tie", "bytes", "crc").agg(F.count(F.lit(1)).alias("copies"))
-        .withColumns({"k": F.coalesce("id", F.lit(_LOW)), "size": F.col("bytes") + 8}).drop("bytes")
-    )
+    tie = F.xxhash64(t).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 32) - 1)))
+    return written(docs.select(
+        whole_row(docs), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LOW)).alias("k"), tie.alias("tie"),
+        (F.octet_length(t) + 8).cast("long").alias("size")), "shard-rows")
 
 
-def _rank(keys: np.ndarray, ties: np.ndarray, probes: list[tuple[int, int]], right: bool) -> np.ndarray:
-    """For each (key, tie), the number of probes at or below it (``right``) or below it."""
+def _rank(keys: np.ndarray, ties: np.ndarray, probes: list[tuple[int, int]]) -> np.ndarray:
+    """For each (key, tie), the number of probes at or below it."""
+    if not probes:
+        return np.zeros(len(keys), np.int64)
     pk, pt = (np.array(x, np.int64) for x in zip(*probes, strict=True))
     side = np.searchsorted(pk, keys, "left")
     end = np.searchsorted(pk, keys, "right")
     out = side.copy()
     for i in np.flatnonzero(end > side):  # probes with the very same key: compare ties
-        out[i] += np.searchsorted(pt[side[i]:end[i]], ties[i], "right" if right else "left")
+        out[i] += np.searchsorted(pt[side[i]:end[i]], ties[i], "right")
     return out
 
 
@@ -59,11 +60,11 @@ def bytes_below(rows: DataFrame, probes: list[tuple[int, int]]) -> list[int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(probes) + 1, np.int64)
         for b in batches:
-            np.add.at(total, _rank(b["k"].to_numpy(), b["tie"].to_numpy(), probes, True), (b["size"] * b["copies"]).to_numpy())
+            np.add.at(total, _rank(b["k"].to_numpy(), b["tie"].to_numpy(), probes), b["size"].to_numpy())
         at = np.flatnonzero(total)
         yield pd.DataFrame({"p": at, "b": total[at]})
 
-    got = {r["p"]: r["b"] for r in rows.select("k", "tie", "size", "copies").mapInPandas(count, "p long, b long").groupBy("p").agg(F.sum("b").alias("b")).collect()}
+    got = {r["p"]: r["b"] for r in rows.select("k", "tie", "size").mapInPandas(count, "p long, b long").groupBy("p").agg(F.sum("b").alias("b")).collect()}
     return np.cumsum([got.get(i, 0) for i in range(len(probes))]).tolist()
 
 
@@ -80,7 +81,7 @@ def _between(low: tuple[int, int], high: tuple[int, int], n: int) -> list[tuple[
 
 def splitters(rows: DataFrame, wanted: list[int], tolerance: float, probes: int = PROBES) -> list[tuple[int, int, int]]:
     """(key, tie, bytes below it) for each wanted number of bytes."""
-    edge = rows.agg(F.min("k"), F.max("k"), F.sum(F.col("size") * F.col("copies"))).first()
+    edge = rows.agg(F.min("k"), F.max("k"), F.sum("size")).first()
     low = [((edge[0], _LOW), 0)] * len(wanted)
     high = [((edge[1], (1 << 63) - 1), edge[2])] * len(wanted)
     done: dict[int, tuple[int, int, int]] = {}
@@ -102,59 +103,42 @@ def splitters(rows: DataFrame, wanted: list[int], tolerance: float, probes: int
     return [done[i] for i in range(len(wanted))]
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE,
-           bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """key, size, text_crc32, law, shard and slot of every row."""
-    rows = written(weighed(docs, key, text), "shard-keys")
-    kind = docs.schema[key].dataType
-    total = rows.agg(F.sum(F.col("size") * F.col("copies")), F.sum("copies")).first()
-    columns = [F.col("id").cast(kind).alias(key), "size", F.col("crc").alias("text_crc32"), F.lit(LAW).alias("law")]
-    if not total[1]:
-        return rows.select(*columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    parts = max(1, math.ceil(total[1] / bucket_rows / n_shards))  # buckets per shard
+def sharded(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE,
+            bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The whole rows of ``docs`` with RESULT: their size, checksum, shard and place in it."""
+    rows = placed(docs, key, text)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, math.ceil(total / bucket_bytes / n_shards))  # buckets per shard
     buckets = n_shards * parts
-    wanted = [total[0] * i // buckets for i in range(1, buckets)]
-    cuts = splitters(rows, wanted, tolerance * total[0] / n_shards)
-    bounds = [(k, t) for k, t, _ in cuts]
-    short = [w - b for w, (_, _, b) in zip(wanted, cuts, strict=True)]  # bytes wanted of the splitter's own rows
-    inside = [max(0, s) if s > tolerance * total[0] / n_shards else 0 for s in short]
+    wanted = [total * i // buckets for i in range(1, buckets)] if total else []
+    bounds = [(k, t) for k, t, _ in splitters(rows, wanted, tolerance * total / n_shards)] if wanted else []
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            k, tie = b["k"].to_numpy(), b["tie"].to_numpy()
-            first, last = (_rank(k, tie, bounds, r) for r in (False, True)) if bounds else (np.zeros(len(b), int),) * 2
-            # first..last: the splitters that are this very row; its copies go to the buckets between them
-            size, copies = b["size"].to_numpy(), b["copies"].to_numpy()
-            out = []
-            for i in range(len(b)):
-                taken = 0
-                for s in range(first[i], last[i]):
-                    upto = min(int(copies[i]), max(taken, round(inside[s] / int(size[i]))))
-                    if upto > taken:
-                        out.append((i, s, upto - taken))
-                        taken = upto
-                if taken < copies[i]:
-                    out.append((i, int(last[i]), int(copies[i]) - taken))
-            at = [o[0] for o in out]
-            yield b.iloc[at].assign(bucket=[o[1] for o in out], copies=[o[2] for o in out])[_DEALT]
-
-    dealt = rows.mapInPandas(deal, "id long, tie long, crc long, size long, k long, copies long, bucket int")
-    dealt = written(dealt, "shard-dealt")
-    held = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.sum("copies").alias("n")).collect()}  # a number per bucket
+    def bucket(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for k, tie in batches:
+            yield pd.Series(_rank(k.to_numpy(), tie.to_numpy(), bounds).astype(np.int32))
+
+    marked = rows.withColumn("bucket", F.pandas_udf(bucket, "int")("k", "tie"))
+    held = {r["bucket"]: r["n"] for r in marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number per bucket
     base, upto = [], 0
     for i in range(buckets):
         upto = 0 if i % parts == 0 else upto
         base.append(upto)
         upto += held.get(i, 0)
+    ahead = F.get(F.array(*[F.lit(n).cast("long") for n in base]), F.col("bucket"))
+    order = Window.partitionBy("bucket").orderBy("k", "tie")
+    numbered = marked.withColumn("nth", F.row_number().over(order))
+    t = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
+    own = {
+        "size": (F.octet_length(t) + 8).cast("long"), "text_crc32": F.crc32(t), "law": F.lit(LAW),
+        "shard": F.floor(F.col("bucket") / parts).cast("int"), "slot": ahead + F.col("nth") - 1}
+    return numbered.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in own], *[v.alias(c) for c, v in own.items()])
 
-    def number(key_: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["k", "id", "tie", "crc"], na_position="first", kind="stable").reset_index(drop=True)
-        out = b.loc[np.repeat(b.index, b["copies"])]
-        return pd.DataFrame({"id": out["id"], "size": out["size"], "crc": out["crc"], "bucket": out["bucket"],
-                             "slot": base[key_[0]] + np.arange(len(out), dtype=np.int64)})
 
-    numbered = dealt.groupBy("bucket").applyInPandas(number, "id long, size long, crc long, bucket int, slot long")
-    return numbered.select(*columns, F.floor(F.col("bucket") / parts).cast("int").alias("shard"), "slot")
+def shards(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """key and RESULT of every row, without its other columns."""
+    return sharded(docs, key=key, **options).select(key, *RESULT)
 
 
-_DEALT = ["id", "tie", "crc", "size", "k", "copies", "bucket"]
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """The shards as files, one folder each; rows keep their slots."""
+    sharded(docs, **options).write.partitionBy("shard").parquet(path)

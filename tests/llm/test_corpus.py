@@ -175,19 +175,35 @@ def test_scores(documents, prose):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows", [5, 500_000])
-def test_shards(documents, bucket_rows):
+@pytest.mark.parametrize("bucket_bytes", [200, 1 << 28])
+def test_shards(spark, documents, tmp_path, bucket_bytes):
     texts = ["x" * (i * 7 % 90) for i in range(150)]
-    rows = [(t, "en", "a", i) for i, t in enumerate(texts)] + [("same", "en", "a", 77)] * 60 + [(None, "en", "a", None)] * 3
-    got = sharding.shards(documents(*rows), n_shards=4, bucket_rows=bucket_rows).collect()
-    assert len(got) == len(rows)
-    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for t, _, _, i in rows)
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    rows = [(t, "en", "a", i) for i, t in enumerate(texts)] + [("same", "en", "a", 77)] * 60 + [(None, "en", "a", None)] * 3 + [("", "en", "a", 500 + i // 9) for i in range(200)]
+    docs = documents(*rows).withColumn("slot", F.lit("clash")).withColumn("size", F.lit(-1))
+    got = sharding.sharded(docs, n_shards=4, bucket_bytes=bucket_bytes).collect()
+    want = Counter((i, t, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for t, _, _, i in rows)
+    assert Counter((r["doc_id"], r["text"], r["size"], r["text_crc32"]) for r in got) == want
+    assert set(got[0].asDict()) == {*docs.columns, *sharding.RESULT}
     loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
     assert max(loads) - min(loads) <= 2 * 98 and {r["law"] for r in got} == {"bytes"}
+    last = -1
     for s in range(4):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+        mine = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(len(mine)))
+        keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in mine]
+        assert keys == sorted(keys) and keys[0] >= last
+        last = keys[-1]
     assert sharding.shards(documents("a").limit(0)).count() == 0
+    path = str(tmp_path / "shards")
+    sharding.write_shards(documents(*rows), path, n_shards=4)
+    assert spark.read.parquet(path).count() == len(rows) and len(list((tmp_path / "shards").glob("shard=*"))) == 4
+
+
+def test_shards_of_one_text_and_of_a_long_one(documents):
+    same = sharding.shards(documents(*[("copy", "en", "a", 5)] * 400), n_shards=8).collect()
+    assert Counter(r["shard"] for r in same) == Counter({s: 50 for s in range(8)})
+    long = sharding.shards(documents("y" * 300_000, *["z" * 50] * 300), n_shards=3).collect()
+    assert len(long) == 301 and len({(r["shard"], r["slot"]) for r in long}) == 301
 
 
 def test_pipeline_stages(spark, tmp_path, documents, prose):
