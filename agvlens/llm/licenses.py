@@ -6,11 +6,10 @@ first, and name the licence; what is left of licence-like sentences is reported
 and small, so both steps are expressions over one row: no shuffle, no join.
 
 A sentence may be wrapped over lines: it is looked up whole, within its paragraph, and only if it is not known so are its lines
-looked up one by one. ``SENTENCES`` and ``RULES`` are those of the registered SQL, which knows short forms on one line;
-``WHOLE_SENTENCES`` and ``WHOLE_RULES`` add the sentences of the standard texts.
+looked up one by one. ``KNOWN`` and ``ALL_RULES`` are all there is to know; the registered SQL is made from them and the same patterns.
 
 Defined cases: a null or empty text has no sentences and no licences; repeated sentences count each; an empty table gives
-an empty table.
+an empty table; other columns are left out; a very long text is one row's work, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -109,6 +108,56 @@ WHOLE_RULES = (
     ("GPL-3.0-or-later", ("gpl3", "orlater3")),
 )
 
+# Further licences by the sentences of their notices, normalised likewise.
+MORE_SENTENCES = {
+    "iscgrant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+                 "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    "iscasis": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "iscliability": ("in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",),
+    "mplsubject": ("this source code form is subject to the terms of the mozilla public license v",),
+    "unlicensefree": ("this is free and unencumbered software released into the public domain",),
+    "unlicenseuse": ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",),
+    "lgpllibrary": ("this library is free software",),
+    "lgplterms": (_GPL.replace("gnu general", "gnu lesser general"),),
+    "orlater21": (_LATER.format(2.1),),
+    "lgplnotice3": tuple(f"this {what} is free software {_GPL.replace('gnu general', 'gnu lesser general')} {_LATER.format(3)}" for what in ("program", "library")),
+    "agplnotice3": (f"this program is free software {_GPL.replace('gnu general', 'gnu affero general')} {_LATER.format(3)}",),
+    "epl2": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0",
+             "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which accompanies this distribution and is available at https www.eclipse.org legal epl 2.0"),
+    "cc0waiver": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",),
+    "cc0": ("licensed under cc0 1.0", "this work is licensed under cc0 1.0"),
+    "ccbynd4": ("licensed under cc by nd 4.0", "this work is licensed under cc by nd 4.0"),
+    "ccbyncsa4": ("licensed under cc by nc sa 4.0", "this work is licensed under cc by nc sa 4.0"),
+}
+
+# The rules of these, longest first.
+MORE_RULES = (
+    ("ISC", ("iscgrant", "iscasis", "iscliability")),
+    ("ISC", ("iscgrant", "iscasis")),
+    ("ISC", ("iscgrant",)),
+    ("MPL-2.0", ("mplsubject",)),
+    ("Unlicense", ("unlicensefree", "unlicenseuse")),
+    ("Unlicense", ("unlicensefree",)),
+    ("LGPL-2.1-or-later", ("lgpllibrary", "lgplterms", "orlater21")),
+    ("LGPL-3.0-or-later", ("lgpllibrary", "lgplterms", "orlater3")),
+    ("LGPL-3.0-or-later", ("gplprogram", "lgplterms", "orlater3")),
+    ("LGPL-3.0-or-later", ("lgplnotice3",)),
+    ("AGPL-3.0-or-later", ("agplnotice3",)),
+    ("EPL-2.0", ("epl2",)),
+    ("CC0-1.0", ("cc0waiver",)),
+    ("CC0-1.0", ("cc0",)),
+    ("CC-BY-ND-4.0", ("ccbynd4",)),
+    ("CC-BY-NC-SA-4.0", ("ccbyncsa4",)),
+)
+
+NAMES = tuple(dict.fromkeys(n for n, _ in (*RULES, *MORE_RULES)))
+#: A tag that names a licence by its identifier, as "SPDX-License-Identifier: MIT".
+TAGS = {f"spdx:{n}": (f"spdx license identifier {n.lower().replace('-', ' ')}",) for n in NAMES if n != "Proprietary"}
+
+#: Every known sentence and the identifier it stands for, and every rule in its order.
+KNOWN = {form: name for part in (SENTENCES, WHOLE_SENTENCES, MORE_SENTENCES, TAGS) for name, forms in part.items() for form in forms}
+ALL_RULES = (*WHOLE_RULES, *MORE_RULES, *RULES, *((name.removeprefix("spdx:"), (name,)) for name in TAGS))
+
 HINTS = r"(^| )(licensed?|licence|copyright|warrant(y|ies))( |$)"  # a sentence that is not known but speaks of licences
 BREAKS = r"(?:[.!?;]+\s+|\n+)"
 PARAGRAPHS = r"\n[^\p{L}\p{N}]*\n"  # empty lines, or with comment marks only
@@ -119,8 +168,7 @@ NORMAL = ((r"[^\p{L}\p{N}.]+", " "), (r"\.+( |$)", " "), (" +", " "))  # replace
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's sentences in order; "unknown" for licence-like ones that are not listed."""
-    forms = {form: name for table in (SENTENCES, WHOLE_SENTENCES) for name, known_forms in table.items() for form in known_forms}
-    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
 
     def normal(s: Column) -> Column:
         s = F.lower(s)
@@ -148,15 +196,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ids = F.when(t.rlike(WORTH), sentence_ids(t)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     rest = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))  # every identifier between two spaces
-    rules = (*WHOLE_RULES, *RULES)
-    for i, (_, sequence) in enumerate(rules):
+    for i, (_, sequence) in enumerate(ALL_RULES):
         pattern = "  ".join(sequence)
         rows = rows.withColumn(f"r{i}", rest).withColumn(f"q{i}", F.replace(F.col(f"r{i}"), F.lit(f" {pattern} "), F.lit(" | ")))
         rest = F.col(f"q{i}")
-    names = list(dict.fromkeys(n for n, _ in RULES))
     # a match of a sequence of length L leaves a bar in place of it
     bars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit("")))
-    count = {n: sum((bars(F.col(f"q{i}")) - bars(F.col(f"r{i}")) for i, (m, _) in enumerate(rules) if m == n), F.lit(0)) for n in names}
-    found = F.filter(F.array(*[F.struct(F.lit(n).alias("licence"), count[n].cast("long").alias("n")) for n in names]), lambda s: s["n"] > 0)
+    count = {n: sum((bars(F.col(f"q{i}")) - bars(F.col(f"r{i}")) for i, (m, _) in enumerate(ALL_RULES) if m == n), F.lit(0)) for n in NAMES}
+    found = F.filter(F.array(*[F.struct(F.lit(n).alias("licence"), count[n].cast("long").alias("n")) for n in NAMES]), lambda s: s["n"] > 0)
     unknown = F.size(F.filter("ids", lambda s: s == "unknown"))
     return rows.select(F.col("__id").alias(key), F.col("ids").alias("sentence_ids"), found.alias("licences"), unknown.cast("long").alias("n_unknown"))

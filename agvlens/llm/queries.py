@@ -31,9 +31,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def license_report(docs: DataFrame) -> DataFrame:
     shown = F.transform("licences", lambda s: F.concat_ws(":", s["licence"], s["n"].cast("string")))
-    return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join(shown, ",").alias("licences"), "n_unknown")
+    return licenses.scan(docs).select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join(shown, ",").alias("licences"), "n_unknown")
 
 
 @query
@@ -105,29 +108,37 @@ SELECT page_id, host, array_to_string(kept, chr(10)) AS "text", len(lines)::BIGI
 """
 
 
-def _license_sql() -> str:
-    normal = "lower(s)"
-    for pattern, by in licenses.NORMAL:
-        normal = f"regexp_replace({normal}, '{pattern}', '{by}', 'g')"
-    known = ", ".join(f"('{form}', '{name}')" for name, forms in licenses.SENTENCES.items() for form in forms)
+def _license_sql(documents: str = "documents") -> str:
+    """The licence scan from the operator's own tables and patterns."""
+    def normal(s: str) -> str:
+        s = f"lower({s})"
+        for pattern, by in licenses.NORMAL:
+            s = f"regexp_replace({s}, '{pattern}', '{by}', 'g')"
+        return f"trim({s})"
+
+    known = ", ".join(f"('{form}', '{name}')" for form, name in licenses.KNOWN.items())
     steps, rest = [], "start"
-    for i, (_, sequence) in enumerate(licenses.RULES):
+    for i, (_, sequence) in enumerate(licenses.ALL_RULES):
         steps.append(f"s{i} AS (SELECT *, replace({rest}, ' {'  '.join(sequence)} ', ' | ') AS q{i} FROM {f's{i - 1}' if i else 'seq'})")
         rest = f"q{i}"
     bars = lambda c: f"(length({c}) - length(replace({c}, '|', '')))"
-    names = list(dict.fromkeys(n for n, _ in licenses.RULES))
-    count = {n: " + ".join(f"{bars(f'q{i}')} - {bars(f'q{i - 1}' if i else 'start')}" for i, (m, _) in enumerate(licenses.RULES) if m == n) for n in names}
-    shown = ", ".join(f"CASE WHEN {count[n]} > 0 THEN '{n}:' || ({count[n]}) END" for n in names)
+    count = {n: " + ".join(f"{bars(f'q{i}')} - {bars(f'q{i - 1}' if i else 'start')}" for i, (m, _) in enumerate(licenses.ALL_RULES) if m == n) for n in licenses.NAMES}
+    shown = ", ".join(f"CASE WHEN {count[n]} > 0 THEN '{n}:' || ({count[n]}) END" for n in licenses.NAMES)
+    listed = lambda of, name: f"unnest(list_transform({of}, lambda s, i: {{'s': s, 'i': i}})) AS {name}"
+    parts = f"flatten(list_transform(string_split_regex(text, '{licenses.PARAGRAPHS}'), lambda x: string_split_regex(x, '{licenses.STOPS}')))"
     return rf"""
 WITH known(form, name) AS (VALUES {known}),
-part AS (SELECT doc_id, unnest(list_transform(string_split_regex(text, '{licenses.BREAKS}'), lambda s, i: {{'s': s, 'i': i}})) AS p FROM documents),
+part AS (SELECT doc_id, {listed(parts, 'p')} FROM {documents} WHERE regexp_matches(text, '{licenses.WORTH}')),
 worth AS (SELECT doc_id, p.i AS i, p.s AS s FROM part WHERE regexp_matches(p.s, '{licenses.WORTH}')),
-plain AS (SELECT doc_id, i, trim({normal}) AS form FROM worth),
-named AS (SELECT doc_id, i, coalesce(name, CASE WHEN regexp_matches(plain.form, '{licenses.HINTS}') THEN 'unknown' END) AS name FROM plain LEFT JOIN known ON plain.form = known.form),
-listed AS (SELECT doc_id, list(name ORDER BY i) AS ids FROM named WHERE name IS NOT NULL GROUP BY doc_id),
-seq AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(coalesce(ids, []), '  ') || ' ' AS start FROM documents d LEFT JOIN listed ON d.doc_id = listed.doc_id),
+whole AS (SELECT doc_id, i, s, name FROM worth LEFT JOIN known ON form = {normal('s')}),
+line AS (SELECT doc_id, i, {listed("string_split_regex(s, chr(10) || '+')", 'l')} FROM whole WHERE name IS NULL),
+plain AS (SELECT doc_id, i, l.i AS j, {normal('l.s')} AS form FROM line WHERE regexp_matches(l.s, '{licenses.WORTH}')),
+named AS (SELECT doc_id, i, 0 AS j, name FROM whole WHERE name IS NOT NULL
+  UNION ALL SELECT doc_id, i, j, coalesce(name, CASE WHEN regexp_matches(plain.form, '{licenses.HINTS}') THEN 'unknown' END) FROM plain LEFT JOIN known ON plain.form = known.form),
+listed AS (SELECT doc_id, list(name ORDER BY i, j) AS ids FROM named WHERE name IS NOT NULL GROUP BY doc_id),
+seq AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(coalesce(ids, []), '  ') || ' ' AS start FROM {documents} d LEFT JOIN listed ON d.doc_id = listed.doc_id),
 {", ".join(steps)}
-SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, concat_ws(',', {shown}) AS licences, len(list_filter(ids, lambda x: x = 'unknown'))::BIGINT AS n_unknown FROM s{len(licenses.RULES) - 1}
+SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, concat_ws(',', {shown}) AS licences, len(list_filter(ids, lambda x: x = 'unknown'))::BIGINT AS n_unknown FROM s{len(licenses.ALL_RULES) - 1}
 """
 
 

@@ -147,6 +147,41 @@ def test_standard_texts_wrapped_and_unwrapped(documents):
         assert got[i]["n_unknown"] == text.count("Copyright (c)")
 
 
+ISC = """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+NOTICES = {
+    "ISC": ISC, "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL-2.1-or-later": "This library is free software; " + GPL.format(";", ";", 2).split("; ", 1)[1].replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 2.1 ").split(" This program is dist")[0],
+    "Unlicense": "This is free and unencumbered software released into the public domain.", "CC0-1.0": "// SPDX-License-Identifier: CC0-1.0\n", "AGPL-3.0-or-later": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def test_more_notices_and_the_sql_is_the_same_program(documents):
+    import duckdb
+    from agvlens.llm.queries import _license_sql, license_report
+
+    wrap = lambda t, mark: "\n".join(mark + x for line in t.split("\n") for x in (textwrap.wrap(line, 60) or [""]))
+    named = [(n, f) for n, t in NOTICES.items() for f in (t, wrap(t, ""), wrap(t, " * "), "Intro words. " + t + "\n\nMore words.")]
+    dice, pieces = random.Random(4), [MIT, BSD, ISC, *[GPL.format(a, b, v) for a in ":;" for b in ",;" for v in (2, 3)], *NOTICES.values()]
+    torn = []
+    for _ in range(150):
+        words = " \n".join(dice.choice(pieces) for _ in range(2)).split(" ")
+        a = dice.randrange(len(words))
+        torn.append(" ".join(words[a:a + dice.randrange(400)]).replace(" ", dice.choice([" ", " ", "\n", "  "])))
+    texts = [f for _, f in named] + torn + [None, "", "Licensed under the\nApache License, Version 2.0", "All rights reserved"]
+    docs = documents(*texts)
+    got = {r["doc_id"]: tuple(r) for r in license_report(docs).collect()}
+    for i, (name, text) in enumerate(named):
+        assert got[i][2] == f"{name}:1", (text, got[i])
+    given = docs.select("doc_id", "text").toPandas()  # noqa: F841 duckdb finds it by name
+    want = duckdb.connect().execute(_license_sql("given")).fetchall()
+    assert sorted(got.values()) == sorted(want)
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
