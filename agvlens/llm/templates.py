@@ -4,7 +4,9 @@ Words become template tokens: numbers, units after numbers, and capitalised word
 throughout aside) turn into typed placeholders, all others are lower-cased and stripped of punctuation. Windows of template tokens are joined by hash with
 those of the benchmark, so a question with other numbers and names still meets its original. Windows on one diagonal
 (item position minus text position) belong together; there every slot value of the item must stand for one value of the
-text, or the diagonal is dropped. Two item values may meet in one text value (new numbers coincide by chance); ``merged`` counts those. A text holds an item if enough of the item's windows are found.
+text, or the diagonal is dropped. Two item values may meet in one text value (new numbers coincide by chance); ``merged`` counts those. A text holds an item if enough of the item's windows are found,
+on one diagonal or on neighbouring ones (up to ``drift`` apart) together: words put in or left out move a copy from diagonal to diagonal. Slot values must agree over all
+that are added up, and a window of the item counts once.
 
 A bit map of the benchmark's window hashes (2 MB, whatever the benchmark's size) drops windows that cannot join before
 the shuffle; it never drops one that can.
@@ -12,7 +14,7 @@ the shuffle; it never drops one that can.
 Windows with fewer than ``min_literals`` literals say too little as templates. Those of items are looked for as they are instead:
 by the hash of their plain lower-cased words, so an exact copy is found whatever its words are, and only the relaxation is limited.
 
-Defined cases: null texts and items have no windows, nor do those without a word; items
+Defined cases: null texts and items have no windows, nor do those without a word; a very long text is read whole, batch by batch; items
 shorter than a window are one window of their own length; repeated rows are reported each once per doc_id and text;
 empty tables give an empty result.
 """
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_digest, whole_row, written
@@ -53,6 +55,7 @@ class Matching:
     window: int = 8
     min_literals: int = 4  # words of a window that are no placeholders
     min_share: float = 0.3  # of an item's windows
+    drift: int = 8  # between diagonals that are added up: words put in or left out at one place
 
 
 class Words:
@@ -187,14 +190,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
     own = items.select(F.col("id").alias("item_id"), F.col("r").alias("item_r"), "len", "exact", "h", F.col("total").alias("wanted"), F.col("whole").alias("all"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     pairs = found.drop("total", "whole").join(own, ["len", "exact", "h"]).withColumn("diagonal", F.col("item_pos") - F.col("pos"))
     # one diagonal has a window per item position at most, so what is gathered is no longer than the item
-    diagonals = pairs.groupBy("id", "r", "item_id", "item_r", "wanted", "all", "len", "diagonal").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("exact")).alias("n_template"), F.min("pos").alias("first"), F.max("pos").alias("last"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("t"))))).alias("slots"),
-    )
+    text_item = ["id", "r", "item_id", "item_r", "wanted", "all", "len"]
+    slots = F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("t")))
+    found_at = F.collect_set(F.struct(F.col("item_pos").alias("p"), F.col("exact").alias("e")))
+    diagonals = pairs.groupBy(*text_item, "diagonal").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), found_at.alias("at"), F.array_distinct(F.flatten(slots)).alias("slots"))
     values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f])))
+    steady = diagonals.filter(values("i") == F.size("slots"))
+    # diagonals of one text and item, those that lie close together numbered alike
+    near = Window.partitionBy("id", "r", "item_id", "item_r", "len").orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > matching.drift, F.lit(False))
+    numbered = steady.withColumn("apart", apart.cast("int")).withColumn("band", F.sum("apart").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    # sets of single windows and slots: no larger than the item, however many diagonals a text that repeats itself has
+    none = lambda kind: F.lit(None).cast(kind)
+    single = F.concat(
+        F.transform("at", lambda w: F.struct(w.alias("at"), none("struct<i:string,t:string>").alias("slot"))),
+        F.transform("slots", lambda s: F.struct(none("struct<p:bigint,e:boolean>").alias("at"), F.struct(s["i"].alias("i"), s["t"].alias("t")).alias("slot"))))
+    bands = numbered.select(*text_item, "band", "diagonal", "first", "last", F.explode(single).alias("x")).groupBy(*text_item, "band").agg(
+        (F.max("diagonal") > F.min("diagonal")).alias("several"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.collect_set("x.at").alias("at"), F.collect_set("x.slot").alias("slots"))
+    together = bands.filter(F.col("several") & (values("i") == F.size("slots")))
+    each = [*text_item, "first", "last", "at", "slots"]
     # of the templates, or of all windows, whichever is more: exact windows add to what is found and take nothing away
-    share = F.greatest(F.when(F.col("wanted") > 0, F.col("n_template") / F.col("wanted")), F.col("n") / F.col("all"))
-    steady = diagonals.withColumn("share", share).filter((values("i") == F.size("slots")) & (F.col("share") >= matching.min_share)).withColumn("merged", F.size("slots") - values("t"))
+    n, n_template = F.size("at"), F.size(F.filter("at", lambda w: ~w["e"]))
+    share = F.greatest(F.when(F.col("wanted") > 0, n_template / F.col("wanted")), n / F.col("all"))
+    steady = steady.select(*each).unionByName(together.select(*each)).withColumn("share", share).filter(
+        F.col("share") >= matching.min_share).withColumn("merged", F.size("slots") - values("t"))
     best = F.max(F.struct(F.col("share"), (-F.col("first")).alias("early"), (F.col("last") + F.col("len") - 1).alias("last"),
                           F.exists("slots", lambda s: s["i"] != s["t"]).alias("changed"), F.col("merged")))
     return steady.groupBy("id", "r", "item_id").agg(best.alias("b")).select(

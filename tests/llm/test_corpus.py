@@ -112,6 +112,69 @@ def test_leaks(spark, documents, prose):
     assert templates.leaks(docs, bench.limit(0)).count() == 0 and templates.leaks(docs.limit(0), bench).count() == 0
 
 
+def plain_leaks(texts, items, m=templates.Matching()):
+    """(text number, item id) by comparing all windows of all pairs, from the tokens alone."""
+    words, out = templates.Words(), set()
+    def read(t):
+        ids, types, hashes = templates.tokens(t, words)
+        return [(int(k), words.text[i]) for i, k in zip(ids, types, strict=True)]
+    def template(window):
+        return tuple(w if k == templates.LITERAL else k for k, w in window)
+    for item_id, item in items:
+        w = read(item)
+        size = min(m.window, len(w))
+        if not size:
+            continue
+        n = len(w) - size + 1
+        wins = [w[i:i + size] for i in range(n)]
+        loose = [size >= m.min_literals and sum(k == templates.LITERAL for k, _ in x) >= m.min_literals for x in wins]
+        strict = [sum(k == templates.LITERAL for k, _ in x) < m.min_literals for x in wins]
+        for t, text in enumerate(texts):
+            v = read(text)
+            diagonals = {}
+            for p in range(len(v) - size + 1):
+                own = v[p:p + size]
+                for i in range(n):
+                    if loose[i] and template(own) == template(wins[i]) or strict[i] and [x for _, x in own] == [x for _, x in wins[i]]:
+                        at, slots = diagonals.setdefault(i - p, (set(), set()))
+                        at.add(i)
+                        if loose[i]:
+                            slots.update((a, b) for a, b in zip(wins[i], own, strict=True) if a[0])
+            steady = lambda s: len({a for a, _ in s}) == len(s)
+            good = sorted((d, x) for d, x in diagonals.items() if steady(x[1]))
+            bands = []
+            for d, x in good:
+                if bands and d - bands[-1][-1][0] <= m.drift:
+                    bands[-1].append((d, x))
+                else:
+                    bands.append([(d, x)])
+            sums = [(set().union(*(x[0] for _, x in b)), set().union(*(x[1] for _, x in b))) for b in bands]
+            for at, slots in [x for _, x in good] + [x for x in sums if steady(x[1])]:
+                templated = sum(loose[i] for i in at)
+                if max(templated / sum(loose) if any(loose) else 0, len(at) / n) >= m.min_share:
+                    out.add((t, item_id))
+    return out
+
+
+def test_leaks_equal_brute_force(spark, documents, prose):
+    dice = np.random.default_rng(12)
+    items = [(i, prose(200 + i, n)) for i, n in enumerate((36, 60, 9, 5, 8, 120))] + [(50, QUESTION), (51, "What is 12 + 34?"), (52, "Add 3 apples and 4 apples to 5 km.")]
+    texts = []
+    for _, item in items:
+        w = item.split()
+        for step in (3, 6, 9, 12, 1000):  # a word put in, or left out, after so many
+            texts.append(" ".join(x for i, a in enumerate(w) for x in ([a, "xx"] if i % step == step - 1 else [a])))
+            texts.append(prose(7, 20) + " " + " ".join(a for i, a in enumerate(w) if i % step != step - 1))
+        cut = int(dice.integers(0, max(1, len(w) - 3)))
+        texts += [" ".join(w[cut:cut + 14]), item.replace("Tom", "Bob").replace("12", "7"), item + " " + item]
+    texts += [prose(300 + k, 60) for k in range(10)]
+    got = {(r["doc_id"], r["item_id"]) for r in templates.leaks(documents(*texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_leaks(texts, items) and 40 < len(got) < len(texts) * len(items) / 3
+    spread = items[0][1].split()  # a word after each twelve: under 30 % of the windows on any one diagonal
+    torn = " ".join(x for i, a in enumerate(spread) for x in ([a, "put"] if i % 12 == 11 else [a]))
+    assert templates.leaks(documents(torn), spark.createDataFrame(items[:1], "item_id long, text string")).count() == 1
+
+
 def test_new_values_may_coincide(spark, documents):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     same = QUESTION.replace("12", "9").replace("5", "9")
