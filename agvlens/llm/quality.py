@@ -7,11 +7,13 @@ fixed bounds, and a text whose squared Mahalanobis distance exceeds the cutoff i
 The estimate needs no group in one place: every concentration step is a pair of aggregations that combine before the
 shuffle, one counting distances on a fixed grid (which gives the exact grid cell of the h-quantile), one adding up
 moments of the rows inside it. Two starts (grid medians and spreads; plain moments) are run side by side and the one
-of smaller determinant wins. Groups under ``min_group`` rows are pooled by language, those still too small all
-together; with too few rows even then nothing is rejected by distance.
+of smaller determinant wins. Groups under ``min_group`` rows are pooled by language; those still too small are held against an
+estimate over all good rows of the corpus, so rare languages keep no outliers either. Only a corpus that itself has fewer than
+``inner_share * min_group / 2`` good rows has no estimate, and rejects nothing by distance.
 
 Defined cases: a null text is an empty one; null languages and sources are groups of their own; a text that fails the
-fixed bounds takes no part in the estimates; an empty table gives an empty table; repeated rows count each.
+fixed bounds takes no part in the estimates; an empty table gives an empty table; repeated rows count each; a very long text is
+counted whole, in memory that grows with its length.
 """
 
 from __future__ import annotations
@@ -184,14 +186,17 @@ def distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+EVERY = "all"  # the pool of all good rows
+
+
 def pools(keys: DataFrame, min_group: int) -> DataFrame:
-    """The pool of each (lang, source): itself, its language's small groups, or all small groups."""
+    """The pool of each (lang, source): itself, its language's small groups, or ``EVERY`` row."""
     counts = keys.groupBy("lang", "source").agg(F.sum(F.col("good").cast("long")).alias("n"))
     own = counts.withColumn("pool", F.when(F.col("n") >= min_group, F.concat(F.lit("s:"), group_key("lang", "source"))))
     small = own.filter(F.col("pool").isNull())
     by_lang = small.groupBy(group_key("lang").alias("l")).agg(F.sum("n").alias("m"))
     placed = own.withColumn("l", group_key("lang")).join(by_lang, "l", "left")
-    pool = F.coalesce("pool", F.when(F.col("m") >= min_group, F.concat(F.lit("l:"), F.col("l"))), F.lit("all"))
+    pool = F.coalesce("pool", F.when(F.col("m") >= min_group, F.concat(F.lit("l:"), F.col("l"))), F.lit(EVERY))
     return placed.select(group_key("lang", "source").alias("key"), pool.alias("pool"))
 
 
@@ -200,7 +205,11 @@ def fit(stats: DataFrame, bounds: QualityBounds = QualityBounds()) -> DataFrame:
     good = ~base_failed("stats", bounds)
     placed = written(pools(stats.select("lang", "source", good.alias("good")), bounds.min_group), "quality-pools")
     rows = stats.filter(good).select(group_key("lang", "source").alias("key"), *[x.alias(f"x{i}") for i, x in enumerate(vector("stats"))])
-    rows = written(rows.join(placed, "key").drop("key"), "quality-vectors")
+    # groups without a pool of their own size are measured against all rows; if there are none such, that pool stays empty
+    left_over = placed.filter(F.col("pool") == EVERY).select("pool").distinct()  # a row or none
+    every = rows.drop("key").withColumn("pool", F.lit(EVERY)).join(F.broadcast(left_over), "pool", "left_semi")
+    own = rows.join(placed.filter(F.col("pool") != EVERY), "key").drop("key")
+    rows = written(own.unionByName(every), "quality-vectors")
 
     cells = rows.select("pool", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * GRID) for i in range(P)])).alias("part", "cell"))
     spread = _grid_quantiles(cells.groupBy("pool", "part", "cell").agg(F.count(F.lit(1)).alias("n")), ["pool", "part"], [0.25, 0.5, 0.75])

@@ -7,6 +7,7 @@ import textwrap
 import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 from agvlens.llm import licenses, line_dedup, quality, secrets, url_rules
 from pyspark.sql import functions as F
@@ -227,3 +228,48 @@ def test_secrets_against_plain_matching(documents):
         assert got[i]["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k, *_ in base] == [sum(s[2] == k for s in spans) for k, *_ in base]
     assert "github:0:44" in got[6]["spans"] and got[9]["spans"] == "pem:0:31"
+
+
+def _made_up_stats(dice, n, outliers):
+    """Counts of texts that scatter evenly, and of some that do not."""
+    rows = []
+    for i in range(n + outliers):
+        words = int(dice.integers(150, 900))
+        odd = i >= n
+        rows.append((words, int(words * (dice.normal(9, 0.2) if odd else dice.normal(5, 0.25))), int(words * 0.2) if odd else int(dice.integers(0, 3)),
+                     int(dice.integers(0, 2)), 0, 12, int(words * dice.uniform(0.1, 0.15)), int(words * dice.uniform(0.08, 0.12))))
+    return rows
+
+
+def test_estimate_equals_a_search_over_many_starts(spark):
+    dice = np.random.default_rng(7)
+    counts = _made_up_stats(dice, 320, 60)
+    kind = "lang string, source string, stats struct<" + ",".join(f"{c}:bigint" for c in quality.COUNTS) + ">"
+    stats = spark.createDataFrame([("en", "web", c) for c in counts], kind)
+    got = [r["distance2"] for r in quality.verdicts(stats.withColumn("at", F.monotonically_increasing_id()), quality.fit(stats)).orderBy("at").collect()]
+    x = np.array([[r[f"x{i}"] for i in range(quality.P)] for r in stats.select(*[v.alias(f"x{i}") for i, v in enumerate(quality.vector("stats"))]).collect()])
+    h, best = int(np.ceil(0.75 * len(x))), (np.inf, None)
+    for _ in range(150):
+        inner = dice.choice(len(x), quality.P + 2, replace=False)
+        for _ in range(12):
+            center, scatter = x[inner].mean(0), np.cov(x[inner].T, bias=True) + np.diag(quality.FLOOR**2)
+            d2 = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(scatter), x - center)
+            inner = np.argsort(d2)[:h]
+        best = min(best, (np.linalg.slogdet(scatter)[1], inner.tolist()), key=lambda b: b[0])
+    inner = np.array(best[1])
+    scatter = np.cov(x[inner].T, bias=True) * quality.consistency(0.75) + np.diag(quality.FLOOR**2)
+    d2 = np.einsum("ij,jk,ik->i", x - x[inner].mean(0), np.linalg.inv(scatter), x - x[inner].mean(0))
+    assert ((np.array(got) > 40) == (d2 > 40)).all() and (d2[320:] > 40).all() and (d2[:320] < 40).all()
+    assert abs(np.median(np.array(got) / d2) - 1) < 0.1
+
+
+def test_rare_languages_are_held_against_all_rows(spark):
+    dice = np.random.default_rng(8)
+    kind = "lang string, source string, stats struct<" + ",".join(f"{c}:bigint" for c in quality.COUNTS) + ">"
+    rare = _made_up_stats(dice, 20, 5)
+    rows = [("en", "web", c) for c in _made_up_stats(dice, 400, 0)] + [("xx", "web", c) for c in rare]
+    stats = spark.createDataFrame(rows, kind)
+    kept = quality.verdicts(stats.withColumn("at", F.monotonically_increasing_id()), quality.fit(stats)).orderBy("at").collect()[400:]
+    assert [r["kept"] for r in kept] == [True] * 20 + [False] * 5
+    few = spark.createDataFrame(rows[400:], kind)
+    assert all(r["kept"] for r in quality.verdicts(few, quality.fit(few)).collect())  # no estimate: not by distance
