@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,24 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pd.DataFrame], pd.Data
             yield work(batch)
 
     return df.mapInPandas(run, schema)
+
+
+def bit_map(df: DataFrame, key: Column, bits: int) -> bytes:
+    """A map of 2^``bits`` bits, those set that a 64-bit ``key`` of some row begins with. The driver gets its words, a fixed number at most."""
+    bit = F.shiftrightunsigned("k", 64 - bits)
+    words = df.select(key.alias("k")).select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(k, {64 - bits}) & 63))").alias("b"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out.tobytes()
+
+
+def maybe_in(key: Column, shared, bits: int) -> Column:
+    """Whether a key may be one of those of a broadcast :func:`bit_map`: no is certain, yes is not."""
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = np.frombuffer(shared.value, np.uint64)
+        for k in batches:
+            bit = k.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            yield pd.Series((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0)
+
+    return F.pandas_udf(look, "boolean")(key)

@@ -14,7 +14,8 @@ words removed are those of all windows that also start in a smaller document.
 
 Only anchors, five or so for a hundred words, are shuffled for all documents; windows only where blocks differ, and each distinct block's
 once. Counts combine before every shuffle, so a passage that very many documents share is a handful of rows behind it, and there is no pair of documents
-anywhere. The text is shuffled once, and a second time for documents with boundaries in them.
+anywhere. The text is shuffled once, of documents that share blocks (a bit map of ``MAP_BITS`` bits, whatever the size, keeps most others back, and
+never one that does), and a second time of those with boundaries in them.
 
 Defined cases: a null or blank text has no words; a null doc_id is neither smaller nor larger than another, so such documents keep all and
 take nothing; equal doc_ids take nothing from each other; repeated rows get equal results; an empty table gives an empty table; other columns are left
@@ -32,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bit_map, maybe_in, written
 
 WINDOW = 50
 SEED = 10
 PACK = 150_000  # words that are hashed together
+MAP_BITS = 26  # 8 MB
 
 _WRAP = 1 << 64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd: of anchors, of windows and blocks
@@ -187,47 +189,53 @@ def _index(rows: DataFrame, texts: bool) -> DataFrame:
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """(doc, td, at, anchor, ref_doc, ref_at): blocks that a smaller document holds, with where; without, blocks to be looked into."""
+    """(doc, td, at, anchor, asks, ref_doc, ref_at): blocks that a smaller document holds, with where; without, blocks to be looked into."""
     occurring = index.filter("id is not null").select(
         F.col("id").cast("long").alias("doc"), "td", F.explode(F.arrays_zip("at", "anchor", "content")).alias("b")).select("doc", "td", "b.*")
     often = occurring.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
     live = written(occurring.join(often, "anchor", "left_semi"), "lz-live")
     owners = live.groupBy("anchor", "content").agg(F.min("doc").alias("ref_doc"), F.min_by("at", "doc").alias("ref_at"), F.max("doc").alias("hi"))
     owners = written(owners, "lz-owners")
-    differing = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("differing"))
+    differing = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ref_doc").alias("lo")).filter("n > 1").select("anchor", "lo", F.lit(True).alias("differing"))
     useful = owners.join(differing, "anchor", "left").filter("hi > ref_doc or differing").drop("hi")
     placed = live.join(useful, ["anchor", "content"])
     whole = F.col("ref_doc") < F.col("doc")
+    # blocks of an anchor's smallest document are looked up by others, and have nothing to look up themselves
     return placed.filter(whole | F.col("differing")).select(
-        "doc", "td", "at", "anchor", F.when(whole, F.col("ref_doc")).alias("ref_doc"), F.when(whole, F.col("ref_at")).alias("ref_at"))
+        "doc", "td", "at", "anchor", (F.col("doc") > F.col("lo")).alias("asks"), F.when(whole, F.col("ref_doc")).alias("ref_doc"), F.when(whole, F.col("ref_at")).alias("ref_at"))
 
 
 def _looked_into(rows: DataFrame, shared: DataFrame, texts: bool) -> DataFrame:
     """Documents that share blocks: finished if all these are whole, else with their text and the windows to be looked up."""
-    block = F.struct("at", "anchor", "ref_doc", "ref_at")
+    block = F.struct("at", "anchor", "asks", "ref_doc", "ref_at")
     listed = shared.groupBy("doc", "td").agg(F.collect_set(block).alias("b"))  # a set, as rows may be repeated
     whole, rims = F.filter("b", lambda b: b["ref_doc"].isNotNull()), F.filter("b", lambda b: b["ref_doc"].isNull())
     field = lambda blocks, name: F.transform(blocks, lambda b: b[name])
-    listed = listed.select("doc", "td", *[field(whole, c).alias(c) for c in ("at", "ref_doc", "ref_at")], field(rims, "at").alias("rim"), field(rims, "anchor").alias("rim_anchor"))
-    joined = rows.withColumn("doc", F.col("id").cast("long")).drop("id").join(listed, ["doc", "td"])
+    listed = listed.select("doc", "td", *[field(whole, c).alias(c) for c in ("at", "ref_doc", "ref_at")], field(rims, "at").alias("rim"), field(rims, "anchor").alias("rim_anchor"),
+                           F.transform(rims, lambda b: b["asks"].cast("long")).alias("rim_asks"))
+    listed = written(listed, "lz-listed")
+    place = F.xxhash64("doc", "td")
+    kept = rows.sparkSession.sparkContext.broadcast(bit_map(listed, place, MAP_BITS))
+    known = rows.filter("id is not null").withColumn("doc", F.col("id").cast("long")).drop("id").filter(maybe_in(place, kept, MAP_BITS))
+    joined = known.join(listed, ["doc", "td"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ("at", "ref_doc", "ref_at", "rim", "rim_anchor")
+        lists = ("at", "ref_doc", "ref_at", "rim", "rim_anchor", "rim_asks")
         for part, all_words in _packs(batches):
             hashed, begin, done = None, 0, []
             out: dict[str, list[np.ndarray]] = {c: [] for c in (*_WINDOWS, *_RIMS)}
             has_rim = []
-            for words, at, ref_doc, ref_at, rim, rim_anchor in zip(all_words, *[_rows_of(part.column(c)) for c in lists], strict=True):
+            for words, at, ref_doc, ref_at, rim, rim_anchor, rim_asks in zip(all_words, *[_rows_of(part.column(c)) for c in lists], strict=True):
                 b, start = _windows_of(at)
                 windows = start, ref_doc[b], start + ((ref_at >> 12) - (at >> 12))[b]
                 has_rim.append(len(rim) > 0)
                 if len(rim):
                     hashed = Rolling(_hashed(all_words), _BASES[1]) if hashed is None else hashed
                     b, y = _windows_of(rim)
-                    rims = rim_anchor[b], y, hashed.of(begin + y, begin + y + WINDOW).view(np.int64)
+                    rims = rim_anchor[b], y, hashed.of(begin + y, begin + y + WINDOW).view(np.int64), rim_asks[b]
                     done.append((None,) * len(_DONE))
                 else:
-                    rims = (_NOTHING,) * 3
+                    rims = (_NOTHING,) * len(_RIMS)
                     done.append(_finished(words, parsed(*windows), texts))
                 for c, values in zip(out, (*windows, *rims), strict=True):
                     out[c].append(values)
@@ -236,18 +244,18 @@ def _looked_into(rows: DataFrame, shared: DataFrame, texts: bool) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc": part.column("doc"), "td": part.column("td"), "text": text} | {c: _lists(v) for c, v in out.items()} | _done_columns(done))
 
     schema = f"doc long, td long, text string, {', '.join(f'{c} array<long>' for c in (*_WINDOWS, *_RIMS))}, {_DONE_SCHEMA}"
-    return joined.select("doc", "td", "text", "at", "ref_doc", "ref_at", "rim", "rim_anchor").mapInArrow(work, schema)
+    return joined.select("doc", "td", "text", "at", "ref_doc", "ref_at", "rim", "rim_anchor", "rim_asks").mapInArrow(work, schema)
 
 
-_WINDOWS, _RIMS = ("start", "ref_doc", "ref_start"), ("rim_anchor", "rim_start", "rim_window")
+_WINDOWS, _RIMS = ("start", "ref_doc", "ref_start"), ("rim_anchor", "rim_start", "rim_window", "rim_asks")
 
 
 def _at_boundaries(looked: DataFrame) -> DataFrame:
     """(doc, td, found): the windows at boundaries that a smaller document holds, with where."""
-    zipped = F.arrays_zip(F.col("rim_anchor").alias("anchor"), F.col("rim_start").alias("start"), F.col("rim_window").alias("window"))
+    zipped = F.arrays_zip(F.col("rim_anchor").alias("anchor"), F.col("rim_start").alias("start"), F.col("rim_window").alias("window"), F.col("rim_asks").alias("asks"))
     windows = looked.filter("text is not null").select("doc", "td", F.explode(zipped).alias("w")).select("doc", "td", "w.*")
     least = windows.groupBy("anchor", "window").agg(F.min("doc").alias("ref_doc"), F.min_by("start", "doc").alias("ref_start"), F.max("doc").alias("hi")).filter("hi > ref_doc")
-    known = windows.join(least.drop("hi"), ["anchor", "window"]).filter("ref_doc < doc").select("doc", "td", "start", "ref_doc", "ref_start").distinct()
+    known = windows.filter("asks = 1").drop("asks").join(least.drop("hi"), ["anchor", "window"]).filter("ref_doc < doc").select("doc", "td", "start", "ref_doc", "ref_start").distinct()
     return known.groupBy("doc", "td").agg(F.collect_list(F.struct("start", "ref_doc", "ref_start")).alias("found"))
 
 
