@@ -159,8 +159,8 @@ def test_event_time_mode_sets_late_and_repeated_readings_aside(spark, telemetry,
 def test_batches_open_the_buckets_they_touch(spark, tmp_path):
     """What a batch reads and writes of the state follows the batch, not the fleet."""
     store = BatchStore(spark, str(tmp_path / "s"))
-    row = "'idle' as status, 1.0D as battery_pct, timestamp'2031-01-01' as recorded_at, 0.0D as speed_mps, 0.0D as pos_x, 0.0D as pos_y"
-    fleet = spark.range(2000).selectExpr("concat('v', id) as vehicle_id", row, "id as last_seq").select(*CURRENT_STATE.names)
+    row = ["'idle' as status", "1.0D as battery_pct", "timestamp'2031-01-01' as recorded_at", "0.0D as speed_mps", "0.0D as pos_x", "0.0D as pos_y"]
+    fleet = spark.range(2000).selectExpr("concat('v', id) as vehicle_id", *row, "id as last_seq").select(*CURRENT_STATE.names)
     store.upsert(fleet, "state", CURRENT_STATE, "vehicle_id", 0, 64, jobs.newer_state)
     store.commit(0)
     assert len(store.pointer()["buckets"]["state"]["at"]) == 64
