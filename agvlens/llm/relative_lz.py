@@ -193,10 +193,12 @@ def _shared(index: DataFrame) -> DataFrame:
     occurring = index.filter("id is not null").select(
         F.col("id").cast("long").alias("doc"), "td", F.explode(F.arrays_zip("at", "anchor", "content")).alias("b")).select("doc", "td", "b.*")
     often = occurring.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
+    often = written(often, "lz-often")  # as a table of its own, so that the rows of a hot anchor can be split in the join
     live = written(occurring.join(often, "anchor", "left_semi"), "lz-live")
     owners = live.groupBy("anchor", "content").agg(F.min("doc").alias("ref_doc"), F.min_by("at", "doc").alias("ref_at"), F.max("doc").alias("hi"))
     owners = written(owners, "lz-owners")
     differing = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ref_doc").alias("lo")).filter("n > 1").select("anchor", "lo", F.lit(True).alias("differing"))
+    differing = written(differing, "lz-differing")
     useful = owners.join(differing, "anchor", "left").filter("hi > ref_doc or differing").drop("hi")
     placed = live.join(useful, ["anchor", "content"])
     whole = F.col("ref_doc") < F.col("doc")
@@ -255,6 +257,7 @@ def _at_boundaries(looked: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(F.col("rim_anchor").alias("anchor"), F.col("rim_start").alias("start"), F.col("rim_window").alias("window"), F.col("rim_asks").alias("asks"))
     windows = looked.filter("text is not null").select("doc", "td", F.explode(zipped).alias("w")).select("doc", "td", "w.*")
     least = windows.groupBy("anchor", "window").agg(F.min("doc").alias("ref_doc"), F.min_by("start", "doc").alias("ref_start"), F.max("doc").alias("hi")).filter("hi > ref_doc")
+    least = written(least, "lz-windows")
     known = windows.filter("asks = 1").drop("asks").join(least.drop("hi"), ["anchor", "window"]).filter("ref_doc < doc").select("doc", "td", "start", "ref_doc", "ref_start").distinct()
     return known.groupBy("doc", "td").agg(F.collect_list(F.struct("start", "ref_doc", "ref_start")).alias("found"))
 
