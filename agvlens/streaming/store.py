@@ -15,6 +15,7 @@ import json
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyarrow.fs import FileSystem
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ DAY = StructField("dt", DateType(), True)
 
 
 class BatchStore:
-    def __init__(self, spark: SparkSession, root: str, fan: int = 8, keep: int = 20):
+    def __init__(self, spark: SparkSession, root: str, fan: int = 8, keep: int = 20, filesystem: FileSystem | None = None):
+        """``filesystem`` is for addresses that Arrow cannot open by itself, or that need other credentials than Spark's."""
         self.spark, self.root, self.fan, self.keep = spark, root.rstrip("/"), fan, keep
-        self.folder = Folder(self.root)
+        self.folder = Folder(self.root, filesystem)
         self._parts: dict[str, dict] = {}
         self._buckets: dict[str, dict] = {}
 
