@@ -27,7 +27,7 @@ from .common import whole_row, written
 SHARDS = 24
 PROBES = 16  # candidates per open splitter and round
 TOLERANCE = 0.001  # of a shard's bytes
-BUCKET_BYTES = 1 << 28  # about what a bucket should hold; only layout depends on it
+BUCKET_BYTES = 1 << 26  # about what a bucket should hold; only layout depends on it
 LAW = "bytes"
 _LOW = -(1 << 63)
 RESULT = ("size", "text_crc32", "law", "shard", "slot")
