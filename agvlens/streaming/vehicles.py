@@ -1,8 +1,10 @@
 """Vehicles in Spark's state store: the previous reading of each, and a timer for its silence.
 
-Readings pass through with the reading before them, so no table of the fleet has to be read in a micro-batch. A vehicle's rows of
-a batch are put in order and shifted as numpy arrays; its state is read and written once. The timer stands at the first whole
-second after the timeout and is moved by every reading; the store finds expired timers by their time, without passing over the fleet.
+Readings pass through with the reading before them, so no table of the fleet has to be read in a micro-batch. Vehicles are dealt into
+``GROUPS`` groups by hash. A group's rows of a batch are put in order and shifted as numpy arrays, all its vehicles at once, since a call
+for each vehicle costs far more than its rows; the state of a vehicle that has rows is read and written once. A vehicle is due at the first
+whole second after the timeout of its last reading. A group keeps its vehicles by the second they are due, with one timer a second: the store
+finds expired timers by their time, without passing over the fleet. A vehicle that has been heard since is still listed there, and passed over.
 
 Time is the event time of a clock column that readings do not carry, so Spark drops no reading as late. Ticks (of a clock stream, or
 the newest recorded time in a replay) move it. A silence is told with the second it began to be one, however late the batch
@@ -32,6 +34,7 @@ READING, SILENCE, LATE, REPEAT = "reading", "silence", "late", "repeat"
 _NUMBERS = ["battery_pct", "speed_mps", "pos_x", "pos_y"]
 _TIME_BIT = 1 << len(_NUMBERS)
 _CARRIED = ["seq", "us", "nulls", "status", *_NUMBERS]
+GROUPS = 512  # fixed in a checkpoint
 _STATE = "seq long, us long, nulls int, status string, battery_pct double, speed_mps double, pos_x double, pos_y double, told boolean, recent array<long>"
 _ROW = ("seq long, us long, nulls int, status string, battery_pct double, speed_mps double, pos_x double, pos_y double, "
         "zone_entered string, error_codes array<string>")
@@ -51,86 +54,100 @@ def _tracker(timeout_us: int, by_readings: bool, state: str, carried: list[str],
     def deadlines(us, nulls):
         return np.where(nulls & time_bit, never, (us + timeout_us) // second * second + second)
 
-    def silences(vehicle, seqs, at) -> pd.DataFrame:
-        n = len(seqs)
-        kinds = dict(c.split() for c in output)
-        columns = {c: [None if kind.startswith("array") else blank[kind]] * n for c, kind in kinds.items()}
-        return pd.DataFrame(columns | {"vehicle_id": [vehicle] * n, "seq": seqs, "silent_us": at, "fate": [silence] * n})
+    kinds = dict(c.split() for c in output)
 
-    names = [c.split()[0] for c in output]
+    def filled(columns: dict, n: int) -> pd.DataFrame:
+        return pd.DataFrame({c: columns[c] if c in columns else [None if kind.startswith("array") else blank[kind]] * n for c, kind in kinds.items()})
+
+    def silences(vehicles, seqs, at) -> pd.DataFrame:
+        return filled({"vehicle_id": vehicles, "seq": seqs, "silent_us": at, "fate": [silence] * len(vehicles)}, len(vehicles))
 
     class Tracker(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.last = handle, handle.getValueState("last", state)
+            self.handle, self.last = handle, handle.getMapState("last", "vehicle_id string", state)
+            self.due = handle.getMapState("due", "us long", "vehicles array<string>")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            parts = [f[~f["tick"]] for f in rows]
+            parts = list(rows)
             frame = pd.concat(parts) if len(parts) > 1 else parts[0]
-            if not len(frame):
-                return
-            frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
-            known = self.last.get() if self.last.exists() else None
-            recent = [] if known is None else list(known[-1])
+            numbers, vehicles = pd.factorize(frame["vehicle_id"], use_na_sentinel=False)
+            vehicles = [None if pd.isna(v) else v for v in vehicles]
+            order = np.lexsort((frame["seq"].to_numpy(), numbers))
+            frame, numbers = frame.iloc[order], numbers[order]
+            known = [self.last.getValue((v,)) for v in vehicles]
+            recent = [[] if k is None else list(k[-1]) for k in known]
+            clock_ms = timerValues.getCurrentWatermarkInMs()
             if by_readings:
-                passed = timerValues.getCurrentWatermarkInMs() * 1000
+                passed = clock_ms * 1000
                 us, timed = frame["us"].to_numpy(), (frame["nulls"].to_numpy() & time_bit) == 0
                 is_late = timed & (us <= passed) if passed > 0 else np.zeros(len(us), bool)
-                recent = [x for x in recent if x > passed]
-                again = ~is_late & timed & (frame["us"].isin(recent).to_numpy() | frame["us"].where(~is_late & timed).duplicated().to_numpy())
+                recent = [[x for x in r if x > passed] for r in recent]
+                seen = np.array([(i, x) for i, r in enumerate(recent) for x in r], np.int64).reshape(-1, 2)
+                may = timed & ~is_late
+                again = np.zeros(len(us), bool)
+                again[may] = pd.DataFrame(np.concatenate([seen, np.column_stack([numbers[may], us[may]])])).duplicated().to_numpy()[len(seen):]
                 refused = is_late | again
                 if refused.any():
-                    out = frame[refused].copy()
-                    out["fate"] = np.where(is_late[refused], late, repeat)
-                    yield self.filled(key[0], out)
-                    frame = frame[~refused].reset_index(drop=True)
+                    out = frame[refused]
+                    yield filled({c: out[c].to_numpy() for c in kinds if c in out} | {"fate": np.where(is_late[refused], late, repeat)}, len(out))
+                    frame, numbers = frame[~refused], numbers[~refused]
                     if not len(frame):
                         return
-                recent += frame["us"][(frame["nulls"].to_numpy() & time_bit) == 0].tolist()
+                timed = (frame["nulls"].to_numpy() & time_bit) == 0
+                for i, x in zip(numbers[timed].tolist(), frame["us"].to_numpy()[timed].tolist(), strict=True):
+                    recent[i].append(x)
+            n, us, nulls = len(frame), frame["us"].to_numpy(), frame["nulls"].to_numpy()
+            begins = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+            ends = np.r_[begins[1:], n] - 1
+            there = numbers[begins].tolist()
+            earlier = [known[i] for i in there]
+            new = np.array([k is None for k in earlier])
+            was_told = np.array([k is not None and k[-2] for k in earlier])
             before = {}
             for i, c in enumerate(carried):
                 column = frame[c].to_numpy()
-                first = column[:1] if known is None else np.array([known[i]], column.dtype)
-                before[c] = np.concatenate([first, column[:-1]])
-            has_prior = np.ones(len(frame), bool)
-            has_prior[0] = known is not None
+                before[c] = column[np.maximum(np.arange(n) - 1, 0)]
+                before[c][begins] = [column[at] if k is None else k[i] for at, k in zip(begins, earlier, strict=True)]
+            has_prior = np.ones(n, bool)
+            has_prior[begins] = ~new
             due = deadlines(before["us"], before["nulls"])
-            timed = (frame["nulls"].to_numpy() & time_bit) == 0
-            silent = has_prior & timed & (due < frame["us"].to_numpy())
-            if known is not None and known[-2]:
-                silent[0] = False  # its timer has told
-            out = frame.assign(fate=reading, has_prior=has_prior, **{f"p_{c}": v for c, v in before.items()})
-            yield self.filled(key[0], out)
-            if silent.any():
-                yield silences(key[0], before["seq"][silent], due[silent])
-            end = frame.iloc[-1]
-            now = int(deadlines(np.array([end["us"]]), np.array([end["nulls"]]))[0])
-            old = int(due[0]) if known is not None and due[0] != never else None
+            silent = has_prior & ((nulls & time_bit) == 0) & (due < us)
+            silent[begins[was_told]] = False  # its timer has told
+            yield filled({c: frame[c].to_numpy() for c in kinds if c in frame} | {f"p_{c}": v for c, v in before.items()}
+                         | {"fate": [reading] * n, "has_prior": has_prior}, n)
+            now, old = deadlines(us[ends], nulls[ends]), due[begins]
+            timer = ~new & (old != never)
             # a silence that was told after the reading's own time covers it, as for a sweep that looks for one since then
-            told = bool(known is not None and known[-2] and old is not None and end["us"] <= old)
-            waiting = old is not None and not known[-2]
-            if waiting and old != now:
-                self.handle.deleteTimer(old // 1000)
-            if now != never and not told and not (waiting and old == now):
-                self.handle.registerTimer(now // 1000)
-            self.last.update((*[v.item() if hasattr(v := end[c], "item") else v for c in carried], told, [int(x) for x in recent]))
-
-        def filled(self, vehicle, out) -> pd.DataFrame:
-            out["vehicle_id"] = vehicle
-            for name in output:
-                c, kind = name.split()
-                if c not in out.columns:
-                    out[c] = blank[kind]
-            return out[names]
+            told = was_told & timer & (us[ends] <= old)
+            waits = (now != never) & ~told & ~(timer & ~was_told & (old == now))
+            over = waits & (now // 1000 < clock_ms)  # a timer would go off in this very batch
+            ids = np.array(vehicles, object)
+            if silent.any() or over.any():
+                yield silences(np.r_[ids[numbers[silent]], ids[there][over]], np.r_[before["seq"][silent], frame["seq"].to_numpy()[ends][over]], np.r_[due[silent], now[over]])
+            last = zip(*[frame[c].to_numpy()[ends].tolist() for c in carried], (told | over).tolist(), strict=True)
+            for i, values in zip(there, last, strict=True):
+                self.last.updateValue((vehicles[i],), (*values, recent[i]))
+            for at in np.unique(now[waits & ~over]).tolist():
+                listed = self.due.getValue((at,))
+                if listed is None:
+                    self.handle.registerTimer(at // 1000)
+                self.due.updateValue((at,), ([*(listed[0] if listed else []), *ids[there][waits & ~over & (now == at)].tolist()],))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            if not self.last.exists():
-                return
-            known = tuple(self.last.get())
-            due = int(deadlines(np.array([known[1]]), np.array([known[2]]))[0])
-            if due == at and not known[-2]:  # else a reading moved it
-                self.last.update((*known[:-2], True, list(known[-1])))
-                yield silences(key[0], np.array([known[0]]), np.array([at]))
+            own = expiredTimerInfo.getExpiryTimeInMs()
+            if not self.due.containsKey((own * 1000,)):
+                return  # another timer of the group went off before
+            clock_ms, found = timerValues.getCurrentWatermarkInMs(), []
+            for at in sorted(k[0] for k in self.due.keys() if k[0] // 1000 == own or k[0] // 1000 < clock_ms):
+                for vehicle in self.due.getValue((at,))[0]:
+                    known = tuple(self.last.getValue((vehicle,)))
+                    due = int(deadlines(np.array([known[1]]), np.array([known[2]]))[0])
+                    if due == at and not known[-2]:  # else a reading moved it
+                        self.last.updateValue((vehicle,), (*known[:-2], True, list(known[-1])))
+                        found.append((vehicle, known[0], at))
+                self.due.removeKey((at,))
+            if found:
+                yield silences(*zip(*found, strict=True))
 
         def close(self) -> None:
             pass
@@ -142,17 +159,14 @@ def _packed(readings: DataFrame) -> DataFrame:
     """Readings as the processor takes them."""
     nulls = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate([*_NUMBERS, "recorded_at"])), F.lit(0))
     return readings.select(
-        "vehicle_id", "seq", F.coalesce(F.unix_micros("recorded_at"), F.lit(0)).alias("us"), nulls.cast("int").alias("nulls"), "status",
+        F.pmod(F.xxhash64("vehicle_id"), F.lit(GROUPS)).cast("int").alias("bucket"), "vehicle_id", "seq", F.coalesce(F.unix_micros("recorded_at"), F.lit(0)).alias("us"), nulls.cast("int").alias("nulls"), "status",
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _NUMBERS], "zone_entered", "error_codes",
-        F.lit(None).cast("timestamp").alias("clock"), F.lit(False).alias("tick"))
+        F.lit(None).cast("timestamp").alias("clock"))
 
 
-def _only_time(times: DataFrame, vehicle: Column, clock: Column) -> DataFrame:
+def _only_time(times: DataFrame, clock: Column) -> DataFrame:
     """Rows that move the clock and are nothing else. A timer goes off once the clock is past it, so one that stands on the tick waits for the millisecond after."""
-    return times.select(
-        vehicle.alias("vehicle_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("us"), F.lit(0).alias("nulls"), F.lit(None).cast("string").alias("status"),
-        *[F.lit(0.0).alias(c) for c in _NUMBERS], F.lit(None).cast("string").alias("zone_entered"), F.lit(None).cast("array<string>").alias("error_codes"),
-        (clock + F.expr("interval 1 millisecond")).alias("clock"), F.lit(True).alias("tick"))
+    return times.filter(clock.isNotNull()).select((clock + F.expr("interval 1 millisecond")).alias("clock"))
 
 
 def tracked(readings: DataFrame, ticks: DataFrame | None = None, thresholds: Thresholds = Thresholds(), lateness: str | None = None) -> DataFrame:
@@ -163,13 +177,13 @@ def tracked(readings: DataFrame, ticks: DataFrame | None = None, thresholds: Thr
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = _packed(readings)
     if lateness is not None:
-        rows = rows.unionByName(_only_time(readings.filter(F.col("recorded_at").isNotNull()), F.col("vehicle_id"), F.col("recorded_at")))
+        rows = rows.unionByName(_only_time(readings, F.col("recorded_at")), allowMissingColumns=True)
     if ticks is not None:
-        rows = rows.unionByName(_only_time(ticks.filter(F.col("now").isNotNull()), F.lit(None).cast("string"), F.col("now")))
-    rows = rows.withWatermark("clock", lateness or "0 seconds")
+        rows = rows.unionByName(_only_time(ticks, F.col("now")), allowMissingColumns=True)
+    rows = rows.withWatermark("clock", lateness or "0 seconds").filter("clock is null")  # rows of time alone have told it here
     timeout = int(thresholds.comms_loss_seconds * 1_000_000)
     processor = _tracker(timeout, lateness is not None, _STATE, _CARRIED, _OUTPUT.split(", "), _TIME_BIT, (READING, SILENCE, LATE, REPEAT))
-    out = rows.groupBy("vehicle_id").transformWithStateInPandas(
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime")
     return _unpacked(out)
 
