@@ -22,7 +22,7 @@ from ..schemas import (
 )
 from ..sources.writers import publish_version
 from . import vehicles as tracking
-from .store import BatchStore
+from .store import BatchStore, pieces_of
 
 LATE = StructType([*TELEMETRY.fields, StructField("fate", StringType(), True)])
 
@@ -114,6 +114,7 @@ class TelemetryJob:
             return passed_over(batch)  # replayed after its commit
         batch = batch.persist()
         try:
+            pieces = pieces_of(batch)  # fills the cache by one job, for the outputs to read at the same time
             plain = batch.filter(F.col("fate") == tracking.READING).select(*TELEMETRY.names)
             found = found_in(batch, self.thresholds)
             base = self.zone_counts()
@@ -130,7 +131,7 @@ class TelemetryJob:
                 outputs["late"] = batch.filter(F.col("fate").isin(tracking.LATE, tracking.REPEAT)).select(*LATE.names)
             with ThreadPoolExecutor(1) as pool:
                 kept = pool.submit(inheritable_thread_target(self.spark)(self._keep_state), plain, batch_id)
-                self.store.write_all(outputs, batch_id)
+                self.store.write_all(outputs, batch_id, pieces)
                 kept.result()
             self.store.commit(batch_id)
         finally:
@@ -249,7 +250,7 @@ def start_anomalies(readings: DataFrame, root: str, ticks: DataFrame | None = No
             return passed_over(batch)
         batch = batch.persist()
         try:
-            store.write(found_in(batch, thresholds), "anomalies", batch_id, F.to_date("detected_at"))
+            store.write(found_in(batch, thresholds), "anomalies", batch_id, F.to_date("detected_at"), pieces_of(batch))
             store.commit(batch_id)
         finally:
             batch.unpersist()

@@ -25,6 +25,7 @@ from ..sources.folders import Folder
 
 BATCH = StructField("batch_id", LongType(), True)
 DAY = StructField("dt", DateType(), True)
+FILE_ROWS = 500_000
 
 
 class BatchStore:
@@ -81,19 +82,24 @@ class BatchStore:
 
     # -- appended tables -----------------------------------------------------------------
 
-    def write(self, df: DataFrame, table: str, batch_id: int, day: Column | None = None) -> DataFrame:
-        """Write a batch's part of a table, by ``day`` if given; returns it as read back, to build on without recomputing."""
+    def write(self, df: DataFrame, table: str, batch_id: int, day: Column | None = None, pieces: int = 1) -> DataFrame:
+        """Write a batch's part of a table, by ``day`` if given; returns it as read back, to build on without recomputing.
+
+        A day's rows go to ``pieces`` tasks, see :func:`pieces_of`: a task that held rows of all days would write a file for each.
+        """
         path, level = f"part={batch_id}-{batch_id}", 0
         rows = df.withColumn(BATCH.name, F.lit(batch_id).cast("long"))
-        self._save(rows if day is None else rows.withColumn(DAY.name, day), table, path, day is not None)
+        if day is not None:
+            rows = rows.withColumn(DAY.name, day).repartition(DAY.name, F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
+        self._save(rows, table, path, day is not None)
         self._parts[table] = {"path": path, "first": batch_id, "last": batch_id, "level": level, "day": day is not None}
         return self._opened(table, df.schema, [self._parts[table]]).drop(BATCH.name)
 
-    def write_all(self, tables: dict[str, DataFrame | tuple[DataFrame, Column]], batch_id: int) -> None:
+    def write_all(self, tables: dict[str, DataFrame | tuple[DataFrame, Column]], batch_id: int, pieces: int = 1) -> None:
         """Write several parts of a batch at the same time; fails if any of them does."""
         def one(item) -> None:
             name, df = item
-            self.write(*((df[0], name, batch_id, df[1]) if isinstance(df, tuple) else (df, name, batch_id)))
+            self.write(*((df[0], name, batch_id, df[1], pieces) if isinstance(df, tuple) else (df, name, batch_id)))
 
         with ThreadPoolExecutor(max(1, len(tables))) as pool:
             list(pool.map(inheritable_thread_target(self.spark)(one), tables.items()))
@@ -180,5 +186,10 @@ class BatchStore:
             self.write_keyed(merged(self.keyed(table, schema, numbers), changes), table, key, batch_id, buckets, numbers)
 
 
+def pieces_of(batch: DataFrame) -> int:
+    """In how many pieces each day of a cached batch is written: one for every ``FILE_ROWS`` of its rows."""
+    return 1 + batch.count() // FILE_ROWS
+
+
 def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
