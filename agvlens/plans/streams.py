@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import iso_utc
-from ..operators import anomalies, comms, state, zones
+from ..operators import anomalies, feed, state, zones
 from ..operators.rules import RULES
 from ..schemas import ANOMALIES, STATUS_UPDATE, TELEMETRY
-from ..session import scratch_dir
+from ..session import scratch_dir, stored
 from ..sources.readers import read_table
 from ..sources.writers import feed_to_messages, read_at_version
 from ..streaming import jobs, live
 from ..streaming.store import BatchStore
-from .detection import instant
-from .live_view import APPLIED_SQL, board_text, whole_feed
+from .detection import anomaly_table, instant
+from .live_view import APPLIED_SQL, board_text
 from .oracle_views import HORIZON, PLAIN_HORIZON, VIEWS
 from .readings import HALF, first_half
 from .registry import query
@@ -114,10 +114,10 @@ def stream_board(t):
     """The board folded as the second half's messages arrive, from a snapshot of the first half."""
     telemetry, root = t.telemetry(), scratch_dir(t.spark, "board-job")
     before, job = first_half(telemetry), live.BoardJob(t.spark, root)
-    earlier = comms.all_anomalies(telemetry, instant(PLAIN_HORIZON)).filter(F.col("detected_at") < instant(HALF))
-    newest = anomalies.latest_per_vehicle(earlier).withColumn("detected_at", iso_utc(F.col("detected_at")))
+    found = stored(anomaly_table(t), "anomalies")  # the snapshot and the feed both start from it
+    newest = anomalies.latest_per_vehicle(found.filter(F.col("detected_at") < instant(HALF))).withColumn("detected_at", iso_utc(F.col("detected_at")))
     job.seed(state.current_state(before), zones.zone_counts(before), newest)
-    feed_to_messages(whole_feed(t).filter(F.col("ts") >= instant(HALF))).select("seq", "slot", "value").write.parquet(f"{root}/messages")
+    feed_to_messages(feed.change_feed_of(telemetry, found).filter(F.col("ts") >= instant(HALF))).select("seq", "slot", "value").write.parquet(f"{root}/messages")
     messages = t.spark.read.parquet(f"{root}/messages")
     deliver(messages, messages.schema, root, lambda s: job.start(s).awaitTermination())
     return board_text(job.board())
