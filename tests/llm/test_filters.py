@@ -88,6 +88,22 @@ def test_rules_equal_brute_force(spark):
     assert all(got[c] == pytest.approx(want[c]) for c in want)
 
 
+def test_rules_of_tokens_behind_many_more_telling_ones(spark):
+    """Two tokens that only say bad together, on pages with twelve tokens of a higher share of bad labels each."""
+    fill = [f"f{chr(97 + i)}" for i in range(12)]
+    baskets = [(["x", "y", *fill], True)] * 30 + [(["x", *fill], False)] * 35 + [(["y", *fill], False)] * 35 + [(["x"], False), (["y"], False)] * 40
+    rules = url_rules.mine(spark.createDataFrame(baskets, "tokens array<string>, bad boolean")).collect()
+    assert [(r["tokens"], r["confidence"], r["support"]) for r in rules] == [(["x", "y"], 1.0, pytest.approx(30 / 180))]
+
+
+def test_rules_longer_than_ten_tokens(spark):
+    """Twelve tokens that say bad only all together: every good page lacks one of them."""
+    all_of = [chr(97 + i) for i in range(12)]
+    baskets = [(all_of, True)] * 25 + [([t for t in all_of if t != gone], False) for gone in all_of for _ in range(30)]
+    rules = url_rules.mine(spark.createDataFrame(baskets, "tokens array<string>, bad boolean")).collect()
+    assert [(r["tokens"], r["confidence"]) for r in rules] == [(all_of, 1.0)]
+
+
 def test_long_urls_with_few_labels(spark):
     deep = "http://spam.example.net/" + "/".join(f"part{chr(97 + i)}" for i in range(25))
     pages = spark.createDataFrame([(i, deep if i < 31 else f"http://fine.example.net/{chr(97 + i - 31)}") for i in range(41)] + [(99, deep + "/" + "x/" * 50_000)], "page_id long, url string")
