@@ -221,6 +221,40 @@ def test_probabilities_sum_to_one_over_next_words():
     assert len(scores) == 6 and np.all(scores < 0) and np.all(ends < scores)
 
 
+def test_scores_equal_a_plain_forward_pass():
+    """One document at a time, one word after another, whatever the lanes and windows."""
+    shape, dice = Shape(classes=3, per_class=4, hidden=5, lanes=3, window=4), np.random.default_rng(4)
+    w = {k: v + dice.normal(0, 0.5, v.shape) for k, v in start_weights(shape, np.arange(12)).items()}
+    docs = [dice.integers(0, 12, n) for n in (0, 1, 23, 4, 9, 3, 17, 0)]
+    for d, got in zip(docs, Model(shape, w).run(docs, False), strict=True):
+        h, want = np.zeros(5), 0.0
+        for x, y in zip([0, *d], [*d, 0], strict=True):
+            g, hu = w["x"][x] + w["b"], h @ w["u"]
+            z, r = 1 / (1 + np.exp(-(g + hu)[:5])), 1 / (1 + np.exp(-(g + hu)[5:10]))
+            h = z * h + (1 - z) * np.tanh(g[10:] + r * hu[10:])
+            cls, inner = h @ w["wc"] + w["bc"], h @ w["ww"][y // 4] + w["bw"][y // 4]
+            want += cls[y // 4] - np.log(np.exp(cls).sum()) + inner[y % 4] - np.log(np.exp(inner).sum())
+        assert math.isclose(got, want, rel_tol=1e-5)
+
+
+def test_network_follows_the_counts():
+    counts = (1e6 / np.arange(1, 200_001)).astype(np.int64)
+    for words, share in ((counts, 0.6), (counts[:5000], 0.6), (np.full(30_000, 3), 0.6), (counts, 0.4)):
+        shape = lm.shape_for(words, int(words.sum()), share)
+        assert words[:shape.words - 2].sum() >= share * words.sum() > 0 and shape.classes == shape.per_class
+    assert lm.shape_for(counts, int(counts.sum()), 0.9).hidden > lm.shape_for(counts, int(counts.sum()), 0.4).hidden
+    assert lm.shape_for(np.zeros(0, np.int64), 0, 0.6).words == 256
+
+
+def test_words_beyond_the_first_254_are_told_apart(documents):
+    """1,200 words of which each is followed by the next: a network that knows them needs less than their unigrams to tell a text."""
+    texts = [" ".join(f"w{(7 * i + j) % 1200}" for j in range(400)) for i in range(600)]
+    held = {i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 1}
+    rows = [r for r in lm.score(documents(*texts), lm.Config(group_tokens=20_000)).collect() if r["doc_id"] in held]
+    gain = sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    assert gain > 0.6  # 0.5 with 254 words
+
+
 def test_scores(documents, prose):
     common = ["the of and to in a is it was for"] * 30
     texts = [None, "", "Zebra quagga"] + [f"{t} {prose(i, 12)}" for i, t in enumerate(common)] * 2
