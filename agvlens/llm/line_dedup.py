@@ -10,6 +10,8 @@ as pages each; an empty table gives an empty table. Other columns of the input p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +30,32 @@ _HIDDEN = r"<(?:(?i:script|style)\b[^<]*+(?:<(?!/(?i:script|style)>)[^<]*+)*+</(
 _TAG = r"<[^>]*+>"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, worked out once however often ``then`` uses it.
+
+    Spark finds repeated parts of plain expressions itself, but not beside or below functions with a lambda.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def html_lines(html: Column) -> Column:
     """The visible text of a page, each run of text between two tags on a line of its own."""
-    bare = F.regexp_replace(html, _HIDDEN, "\n")
-    # no tag begins behind the last ">", and looking for its end from each "<" there would take the square of their number
-    rest = F.substring_index(bare, ">", -1)
-    return F.concat(F.regexp_replace(F.left(bare, F.length(bare) - F.length(rest)), _TAG, "\n"), rest)
+    def untagged(bare: Column) -> Column:
+        # no tag begins behind the last ">", and looking for its end from each "<" there would take the square of their number
+        rest = F.substring_index(bare, ">", -1)
+        return F.concat(F.regexp_replace(F.left(bare, F.length(bare) - F.length(rest)), _TAG, "\n"), rest)
+
+    return _once(F.regexp_replace(html, _HIDDEN, "\n"), untagged)
 
 
 def _line_id(trimmed: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
+def _n_solid(lines: Column) -> Column:
+    return F.size(F.filter(lines, lambda s: F.trim(s) != ""))
+
+
 def drop_boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: float = MAX_RATIO,
                      min_pages: int = MIN_PAGES, out: str = "text") -> DataFrame:
     """``pages`` with ``out`` (the lines kept), ``n_lines`` and ``n_dropped``; same rows, same other columns."""
@@ -66,17 +82,16 @@ def drop_boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: fl
         .groupBy(F.col("site").alias(_OWN[0]), F.col("page").alias(_OWN[2])).agg(F.collect_set("line").alias(_OWN[3]))
     )
     joined = rows.join(drops, [_OWN[0], _OWN[2]], "left")
-    all_lines = F.split(_OWN[1], "\n")
-    dropped = F.coalesce(F.col(_OWN[3]), F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    kept = F.filter(all_lines, lambda s: ~F.array_contains(dropped, _line_id(F.trim(s))))
-    solid = F.size(F.filter(all_lines, lambda s: F.trim(s) != ""))
-    solid_kept = F.size(F.filter(kept, lambda s: F.trim(s) != ""))
-    untouched = F.col(_OWN[3]).isNull()
-    return joined.select(
+    drop = F.col(_OWN[3])
+    kept = lambda lines: F.filter(lines, lambda s: ~F.array_contains(drop, _line_id(F.trim(s))))
+    # the lines are cut, hashed and looked up once, where any goes at all: a column of its own, as it is used more than once
+    cut = _once(F.split(_OWN[1], "\n"), lambda lines: F.struct(_n_solid(lines).alias("n"), F.when(drop.isNotNull(), kept(lines)).alias("kept")))
+    n, left = F.col(f"{_OWN[3]}.n"), F.col(f"{_OWN[3]}.kept")
+    return joined.withColumn(_OWN[3], cut).select(
         *[F.col(f"`{c}`") for c in plain],
-        F.when(untouched, F.col(_OWN[1])).otherwise(F.array_join(kept, "\n")).alias(out),
-        F.when(F.col(_OWN[1]).isNull(), 0).otherwise(solid).cast("long").alias("n_lines"),
-        F.when(untouched, 0).otherwise(solid - solid_kept).cast("long").alias("n_dropped"),
+        F.when(left.isNull(), F.col(_OWN[1])).otherwise(F.array_join(left, "\n")).alias(out),
+        F.when(F.col(_OWN[1]).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.when(left.isNull(), 0).otherwise(n - _n_solid(left)).cast("long").alias("n_dropped"),
     )
 
 

@@ -48,6 +48,18 @@ def test_hidden_parts_end_at_their_first_end(spark):
     assert got[3000] == "\nz" and got[3003] is None
 
 
+def test_pages_are_stripped_and_looked_up_once(spark):
+    """Neither is a regular expression run twice on a page in one pass, nor are its lines hashed twice; the rows are by hand."""
+    pages = [(i, f"http://A.org/{i}", f"<p>Menu<script>x</script></p> own {i} <br>end {i}<b") for i in range(6)]
+    pages += [(6, "http://a.org/6", "<p>Menu <!-- > --> </p>"), (7, "http://a.org/7", None), (8, None, "<p>Menu</p>x"), (9, "http://a.org/9", "")]
+    got = line_dedup.page_lines(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(s) for s in ("script|style)\\b", "regexp_replace(", "split(__text", "xxhash64(trim(")] == [1, 2, 1, 1]
+    rows = {r["page_id"]: (r["host"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()}
+    assert rows[3] == ("a.org", "own 3\nend 3<b", 3, 1) and rows[6] == ("a.org", "", 1, 1)
+    assert rows[7] == ("a.org", None, 0, 0) and rows[8] == ("", "Menu\nx", 2, 0) and rows[9] == ("a.org", "", 0, 0)
+
+
 @pytest.mark.parametrize("url,host,path,rule,verdict", [
     ("http://A.Org/x?y#z", "a.org", "/x", "org/", "allow"), ("https://example.org/es/1", "example.org", "/es/1", "example.org/es/", "block"),
     ("http://m.example.org/en/12", "m.example.org", "/en/12", "example.org/en/1", "block"), ("http://x.com/de/", "x.com", "/de/", "com/de/", "block"),
