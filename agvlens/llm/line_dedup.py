@@ -52,10 +52,6 @@ def _line_id(trimmed: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
-def _n_solid(lines: Column) -> Column:
-    return F.size(F.filter(lines, lambda s: F.trim(s) != ""))
-
-
 def drop_boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: float = MAX_RATIO,
                      min_pages: int = MIN_PAGES, out: str = "text") -> DataFrame:
     """``pages`` with ``out`` (the lines kept), ``n_lines`` and ``n_dropped``; same rows, same other columns."""
@@ -82,16 +78,15 @@ def drop_boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: fl
         .groupBy(F.col("site").alias(_OWN[0]), F.col("page").alias(_OWN[2])).agg(F.collect_set("line").alias(_OWN[3]))
     )
     joined = rows.join(drops, [_OWN[0], _OWN[2]], "left")
-    drop = F.col(_OWN[3])
-    kept = lambda lines: F.filter(lines, lambda s: ~F.array_contains(drop, _line_id(F.trim(s))))
-    # the lines are cut, hashed and looked up once, where any goes at all: a column of its own, as it is used more than once
-    cut = _once(F.split(_OWN[1], "\n"), lambda lines: F.struct(_n_solid(lines).alias("n"), F.when(drop.isNotNull(), kept(lines)).alias("kept")))
-    n, left = F.col(f"{_OWN[3]}.n"), F.col(f"{_OWN[3]}.kept")
-    return joined.withColumn(_OWN[3], cut).select(
+    # only where a line goes are the lines cut, hashed and looked up: a column of its own, as it is used more than once
+    kept = lambda lines: F.filter(lines, lambda s: ~F.array_contains(F.col(_OWN[3]), _line_id(F.trim(s))))
+    pair = lambda lines: _once(kept(lines), lambda left: F.struct(F.array_join(left, "\n").alias("text"), (F.size(lines) - F.size(left)).alias("n")))
+    all_lines, cut = F.split(_OWN[1], "\n"), F.col(_OWN[3])
+    return joined.withColumn(_OWN[3], F.when(cut.isNotNull(), _once(all_lines, pair))).select(
         *[F.col(f"`{c}`") for c in plain],
-        F.when(left.isNull(), F.col(_OWN[1])).otherwise(F.array_join(left, "\n")).alias(out),
-        F.when(F.col(_OWN[1]).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.when(left.isNull(), 0).otherwise(n - _n_solid(left)).cast("long").alias("n_dropped"),
+        F.when(cut.isNull(), F.col(_OWN[1])).otherwise(cut["text"]).alias(out),
+        F.when(F.col(_OWN[1]).isNull(), 0).otherwise(F.size(F.filter(all_lines, lambda s: F.trim(s) != ""))).cast("long").alias("n_lines"),
+        F.when(cut.isNull(), 0).otherwise(cut["n"]).cast("long").alias("n_dropped"),  # blank lines are never among them
     )
 
 

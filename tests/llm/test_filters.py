@@ -54,7 +54,9 @@ def test_pages_are_stripped_and_looked_up_once(spark):
     pages += [(6, "http://a.org/6", "<p>Menu <!-- > --> </p>"), (7, "http://a.org/7", None), (8, None, "<p>Menu</p>x"), (9, "http://a.org/9", "")]
     got = line_dedup.page_lines(spark.createDataFrame(pages, "page_id long, url string, html string"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert [plan.count(s) for s in ("script|style)\\b", "regexp_replace(", "split(__text", "xxhash64(trim(")] == [1, 2, 1, 1]
+    assert [plan.count(s) for s in ("script|style)\\b", "regexp_replace(", "split(__text", "xxhash64(trim(")] == [1, 2, 2, 1]  # one split for n_lines
+    docs = spark.createDataFrame([("a\nb", "s")], "text string, source string")
+    assert line_dedup.document_lines(docs)._jdf.queryExecution().optimizedPlan().toString().count("split(__text") == 1  # only where a line goes
     rows = {r["page_id"]: (r["host"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()}
     assert rows[3] == ("a.org", "own 3\nend 3<b", 3, 1) and rows[6] == ("a.org", "", 1, 1)
     assert rows[7] == ("a.org", None, 0, 0) and rows[8] == ("", "Menu\nx", 2, 0) and rows[9] == ("a.org", "", 0, 0)
