@@ -101,8 +101,12 @@ def _statistics_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def text_statistics(text: str) -> Column:
-    """COUNTS of a text column, as a struct."""
-    return F.pandas_udf(_statistics_of, _STATS)(F.col(text))
+    """COUNTS of a text column, as a struct.
+
+    Marked as if two runs could differ: a filter on the counts would otherwise be moved below them with a copy of this call, which reads
+    every text twice and keeps two Python workers for a task.
+    """
+    return F.pandas_udf(_statistics_of, _STATS).asNondeterministic()(F.col(text))
 
 
 def base_failed(s: str, b: QualityBounds) -> Column:

@@ -238,6 +238,11 @@ def test_outliers_go_and_clean_documents_stay(documents, prose):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_texts_are_counted_once_where_documents_go(documents):
+    plan = quality.keep_good(documents("a b c", None))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1  # not again below the filter on the counts
+
+
 def test_trigram_queries_are_mandatory():
     assert not next(r for r in secrets.RULES if r.kind == "assign").scans_all
     assert [r.kind for r in secrets.RULES if r.scans_all] == ["hex"]
